@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, decontaminate, line_templates, quality_rules, simhash, url_filter
+from sparkloom.llm import bpe, decontaminate, kneser_ney, line_templates, quality_rules, rindex, simhash, url_filter
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -26,6 +26,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents", "doc_id", "text", "lang")).drop("text", "lang")
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    model = kneser_ney.train(docs.filter(kneser_ney.learns(F.col("doc_id"))))
+    scored = kneser_ney.score(docs, model)
+    return scored.select("doc_id", (~kneser_ney.learns(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filter.filter_urls(_table(spark, sf_dir, "pages", "page_id", "url"))
     return out.select("page_id", "host", "path", "rule", "verdict", F.array_join("strict_terms", ",").alias("strict_found"), F.array_join("soft_terms", ",").alias("soft_found"))
@@ -47,6 +54,17 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(_table(spark, sf_dir, "documents", "doc_id", "text"), *ranks_and_pattern()))
 
 
+def op8_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rindex.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -65,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_url_filter, op4_decontaminate, op5_bpe, op9_simhash, op10_line_templates, pipeline)
+    for f in (op1_quality_rules, op2_kneser_ney, op3_url_filter, op4_decontaminate, op5_bpe, op8_run_length_index, op9_simhash, op10_line_templates, pipeline)
 }
 
 
