@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, decontaminate, kneser_ney, line_templates, quality_rules, rindex, simhash, url_filter
+from sparkloom.llm import bpe, decontaminate, kneser_ney, license_scan, line_templates, quality_rules, rindex, simhash, url_filter, weak_labels
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -54,6 +54,21 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(_table(spark, sf_dir, "documents", "doc_id", "text"), *ranks_and_pattern()))
 
 
+def op6_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_blocks",
+        F.size("found").cast("long").alias("n_licenses"),
+        F.array_join(F.array_sort(F.array_distinct("found.license")), ",").alias("licenses"),
+        F.aggregate("found.n_differences", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_differences"),
+    )
+
+
 def op8_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rindex.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select(
@@ -83,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_kneser_ney, op3_url_filter, op4_decontaminate, op5_bpe, op8_run_length_index, op9_simhash, op10_line_templates, pipeline)
+    for f in (op1_quality_rules, op2_kneser_ney, op3_url_filter, op4_decontaminate, op5_bpe, op6_weak_labels, op7_license_scan, op8_run_length_index, op9_simhash, op10_line_templates, pipeline)
 }
 
 
