@@ -98,9 +98,15 @@ class VoteModel:
 
 
 def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> VoteModel:
-    """Expectation maximisation from the majority of the votes; add-one smoothing of all rates."""
-    balance = (patterns - 1).sum(axis=1)
-    good = np.where(balance > 0, 0.9, np.where(balance < 0, 0.1, 0.6))
+    """Expectation maximisation with add-one smoothing of all rates.
+
+    The start weighs each vote by how rare it is among the labeller's votes: most labellers
+    find most documents good, so a few bad votes say more than many good ones.
+    """
+    shares = np.array([[1 + counts @ (patterns[:, k] == v) for v in (0, 2)] for k in range(patterns.shape[1])])
+    rare = -np.log(shares / shares.sum(axis=1, keepdims=True))
+    balance = ((patterns == 2) * rare[:, 1] - (patterns == 0) * rare[:, 0]).sum(axis=1)
+    good = 1 / (1 + np.exp(-np.clip(balance, -4, 4)))
     for _ in range(rounds):
         rates = np.ones((patterns.shape[1], 2, 3))
         for vote in range(3):
