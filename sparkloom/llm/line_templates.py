@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.shared import written
+
 MIN_DOCS, MIN_TOKENS, DEPTH = 5, 3, 3
 # ASCII white space, and what marks a variable field.
 SPACE, VARIABLE, FIELD = r"[ \t\x0B\f\r]+", r"[0-9]", "<*>"
@@ -50,20 +52,24 @@ def drop_recurring(
     """``docs`` with ``clean_text``, ``n_lines``, ``n_dropped``."""
     rows = docs.drop("clean_text", "n_lines", "n_dropped")
     row_key = F.xxhash64(F.col(id_col), F.col(text_col))
-    lines = (
+    # Parsed once and written: 40 bytes a line, no text.
+    lines = written(
         rows.select(F.col(id_col).alias("doc"), row_key.alias("row"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line"))
         .select("doc", "row", "at", masked_tokens(F.col("line")).alias("tokens"))
         .filter(F.size("tokens") >= min_tokens)
         .select("doc", "row", "at", template(F.col("tokens"), depth).alias("t"))
-        .select("doc", "row", "at", "t.leaf", "t.rest")
+        .select("doc", "row", "at", "t.leaf", "t.rest"),
+        "lines",
     )
-    recurring = (
+    # Written, so that the join below reads both sides from plain exchanges and can split a hot template.
+    recurring = written(
         lines.select("leaf", "rest", "doc")
         .distinct()
         .groupBy("leaf", "rest")
         .agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"))
         .filter(F.col("n") >= min_docs)
-        .select("leaf", "rest", "first")
+        .select("leaf", "rest", "first"),
+        "recurring",
     )
     dropped = lines.join(recurring, ["leaf", "rest"])
     if keep_first:
