@@ -126,6 +126,21 @@ def _op3_sql() -> str:
     FROM c"""
 
 
+def _op4_sql() -> str:
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    n = decontaminate.WINDOW
+    return f"""
+    WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+    b AS (SELECT item_id, w, least({n}, len(w)) AS m FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) > 0),
+    bw AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS s FROM (SELECT *, unnest(generate_series(1, len(w) - m + 1)) AS i FROM b)),
+    dp AS (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM d, (SELECT DISTINCT m FROM b) WHERE len(w) >= m),
+    h AS (SELECT dw.doc_id, dw.i, dw.m, bw.item_id FROM (SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS s FROM dp) dw JOIN bw ON dw.m = bw.m AND dw.s = bw.s),
+    p AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + m - 1)) AS pos FROM (SELECT DISTINCT doc_id, i, m FROM h)) GROUP BY 1),
+    t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY 1)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
 def _op10_sql() -> str:
     return f"""
     WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
@@ -140,4 +155,4 @@ def _op10_sql() -> str:
     FROM m GROUP BY doc_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": _op3_sql(), "op10_line_templates": _op10_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": _op3_sql(), "op4_decontaminate": _op4_sql(), "op10_line_templates": _op10_sql()}
