@@ -1,10 +1,13 @@
 """Line dedup by log templates, in DataFrame operations only.
 
-Each line is parsed to a fixed depth: its token count, then its leading tokens, then the rest.
-Tokens with a digit are variable fields and become ``<*>`` at every depth.  Lines with one
-such path share a template.  A template found in ``min_docs`` different documents or more is
-recurring, and its lines are dropped; the document with the smallest id that has it keeps them
-(``keep_first``), so that a group of copies does not lose its only text.
+Each line is parsed to a fixed depth: its token count, then its leading tokens; these name its
+leaf.  Variable fields are generalised in two ways.  Tokens with a digit are ``<*>`` wherever
+they stand.  The tokens behind the leading ones are cut into ``PARTS`` parts, and a line has,
+beside the template of all its tokens, one template with each part as ``<*>`` (if at least
+``MIN_FIXED`` tokens stay): lines of a leaf that differ in one part only share that one.
+A template found in ``min_docs`` different documents or more is recurring, and its lines are
+dropped; the document with the smallest id that has it keeps them (``keep_first``), so that a
+group of copies does not lose its only text.
 
 Defined results: null text stays null with no lines; an empty text has one empty line.  Lines
 with fewer than ``min_tokens`` tokens are never dropped.  A null id counts as one document and
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.shared import written
 
-MIN_DOCS, MIN_TOKENS, DEPTH = 5, 3, 3
+MIN_DOCS, MIN_TOKENS, DEPTH, PARTS, MIN_FIXED = 5, 3, 2, 4, 6
 # ASCII white space, and what marks a variable field.
 SPACE, VARIABLE, FIELD = r"[ \t\x0B\f\r]+", r"[0-9]", "<*>"
 
@@ -30,14 +33,16 @@ def masked_tokens(line: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.rlike(VARIABLE), F.lit(FIELD)).otherwise(t))
 
 
-def template(tokens: Column, depth: int = DEPTH) -> Column:
-    """The path in the tree: token count, leading tokens, the rest, as one 64-bit key pair."""
-    count = F.size(tokens)
-    lead = F.array_join(F.slice(tokens, 1, depth), " ")
-    return F.struct(
-        F.xxhash64(count, lead).alias("leaf"),
-        F.xxhash64(F.array_join(tokens, " ")).alias("rest"),
-    )
+def templates(tokens: Column, depth: int = DEPTH) -> Column:
+    """The templates of a line, each as two 64-bit keys: of its leaf and of all it keeps fixed."""
+    n = F.size(tokens)
+    leaf = F.xxhash64(n, F.slice(tokens, 1, depth))
+    found = [F.xxhash64(F.lit(-1), tokens)]
+    for j in range(PARTS):
+        first, past = (F.lit(depth) + F.floor((n - depth) * k / PARTS).cast("int") for k in (j, j + 1))
+        fixed = F.xxhash64(F.lit(j), F.slice(tokens, F.lit(1), first), F.slice(tokens, past + 1, n - past))
+        found.append(F.when((n > depth) & (past > first) & (n - past + first >= MIN_FIXED), fixed))
+    return F.transform(F.array_compact(F.array(*found)), lambda rest: F.struct(leaf.alias("leaf"), rest.alias("rest")))
 
 
 def drop_recurring(
@@ -52,12 +57,12 @@ def drop_recurring(
     """``docs`` with ``clean_text``, ``n_lines``, ``n_dropped``."""
     rows = docs.drop("clean_text", "n_lines", "n_dropped")
     row_key = F.xxhash64(F.col(id_col), F.col(text_col))
-    # Parsed once and written: 40 bytes a line, no text.
+    # Parsed once and written: keys and places only, no text.
     lines = written(
         rows.select(F.col(id_col).alias("doc"), row_key.alias("row"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line"))
         .select("doc", "row", "at", masked_tokens(F.col("line")).alias("tokens"))
         .filter(F.size("tokens") >= min_tokens)
-        .select("doc", "row", "at", template(F.col("tokens"), depth).alias("t"))
+        .select("doc", "row", "at", F.explode(templates(F.col("tokens"), depth)).alias("t"))
         .select("doc", "row", "at", "t.leaf", "t.rest"),
         "lines",
     )

@@ -13,7 +13,10 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    # A scan of fewer splits than cores is a small one; dealing it out lets all cores work.
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def ranks_and_pattern() -> tuple[str, str]:
@@ -142,14 +145,19 @@ def _op4_sql() -> str:
 
 
 def _op10_sql() -> str:
+    d, k = line_templates.DEPTH, line_templates.PARTS
     return f"""
     WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
     l AS (SELECT doc_id, unnest(generate_series(1, len(parts))) AS i, unnest(parts) AS line FROM d),
     t AS (SELECT doc_id, i, line, list_transform(list_filter(regexp_split_to_array(line, '[ \\t\\x0B\\f\\r]+'), lambda x: x <> ''),
-            lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens FROM l),
-    k AS (SELECT doc_id, i, line, len(tokens) AS n, array_to_string(tokens, ' ') AS template FROM t),
-    r AS (SELECT template, min(doc_id) AS first FROM k WHERE n >= {line_templates.MIN_TOKENS} GROUP BY template HAVING count(DISTINCT doc_id) >= {line_templates.MIN_DOCS}),
-    m AS (SELECT k.doc_id, k.i, k.line, r.first IS NOT NULL AND r.first <> k.doc_id AS gone FROM k LEFT JOIN r ON k.template = r.template AND k.n >= {line_templates.MIN_TOKENS})
+            lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l),
+    p AS (SELECT DISTINCT doc_id, i, w, len(w) AS n, j, CASE WHEN j < 0 THEN 0 ELSE {d} + CAST(floor((len(w) - {d}) * j / {k}) AS BIGINT) END AS a,
+            CASE WHEN j < 0 THEN 0 ELSE {d} + CAST(floor((len(w) - {d}) * (j + 1) / {k}) AS BIGINT) END AS b FROM t, range(-1, {k}) r(j) WHERE len(w) >= {line_templates.MIN_TOKENS}),
+    k AS (SELECT doc_id, i, CASE WHEN j < 0 THEN array_to_string(w, ' ') ELSE array_to_string(w[1:a], ' ') || chr(10) || array_to_string(w[b + 1:n], ' ') || chr(10) || j || ' ' || n END AS template
+          FROM p WHERE j < 0 OR (n > {d} AND b > a AND n - b + a >= {line_templates.MIN_FIXED})),
+    r AS (SELECT template, min(doc_id) AS first FROM k GROUP BY template HAVING count(DISTINCT doc_id) >= {line_templates.MIN_DOCS}),
+    g AS (SELECT DISTINCT k.doc_id, k.i FROM k JOIN r ON k.template = r.template AND r.first <> k.doc_id),
+    m AS (SELECT l.doc_id, l.i, l.line, g.i IS NOT NULL AS gone FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i)
     SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS clean_text,
       CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped
     FROM m GROUP BY doc_id"""

@@ -327,6 +327,10 @@ def test_line_templates(spark):
     assert got[0] == (rows[0][1], 3, 0)
     assert got[3] == ("own line d of text\nok", 3, 1)
     assert (got[9], got[10], got[None]) == ((None, 0, 0), ("", 1, 0), ("", 1, 1))
+    named = [(i, f"welcome back to the site dear {n} we missed you") for i, n in enumerate(["ann", "bob", "cyd", "dee", "eve", "fay"])]
+    named += [(10 + i, f"welcome back to a {n} shop where all is {n} and new") for i, n in enumerate("pqrstu")]
+    out = {r.doc_id: r.n_dropped for r in line_templates.drop_recurring(spark.createDataFrame(named, "doc_id long, text string")).collect()}
+    assert out == {i: int(0 < i < 10) for i, _ in named}  # one part differs; two parts differ
     plan = line_templates.drop_recurring(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
