@@ -141,7 +141,9 @@ def null_key_group(spark, d):
 
 @query("SELECT user_id, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def latest_per_key(spark, d):
-    return OP["order_dependent_dedup"]({"df": table(spark, d, "events")}, {"key": "user_id", "order": ["ts", "event_id"]}).select("user_id", "event_id", "ts", "value")
+    # Columns are chosen first: the row that is kept is one struct, which the scan cannot prune behind it.
+    df = table(spark, d, "events").select("user_id", "event_id", "ts", "value")
+    return OP["order_dependent_dedup"]({"df": df}, {"key": "user_id", "order": ["ts", "event_id"]})
 
 
 @query("""WITH s AS (SELECT time_bucket(INTERVAL 1 HOUR, ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR AS ts, sum(value) AS v FROM events WHERE event_type = 'error' GROUP BY 1),
