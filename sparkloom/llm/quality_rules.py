@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.shared import short_batches, text_bytes
+from sparkloom.llm.shared import short_batches, text_bytes, written
 
 # Common function words of each language.
 COMMON_WORDS = {
@@ -61,6 +61,11 @@ def _class_table() -> np.ndarray:
 _TABLE = _class_table()
 
 
+_ANY = frozenset(w.encode() for words in COMMON_WORDS.values() for w in words)
+#: A common word with this many bytes of punctuation around it is none.
+_LONGEST = 32
+
+
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     """Jensen-Shannon distance (square root of the divergence to base 2), 0 to 1."""
     p, q = p / p.sum(), q / q.sum()
@@ -71,24 +76,24 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
 
 
 class _Batch:
-    """Word numbers of a batch of texts, shared by all counts."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+    """Word numbers of the texts of a batch, shared by all counts."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        known: dict[bytes, int] = {}
+        self.ids = [np.array([known.setdefault(w, len(known)) for w in t.split()], dtype=np.int64) for t in texts]
+        self.known = known
+        # Most words are common in no language; the few that are, found once for all languages.
+        self.hits = [(i, f) for i, w in enumerate(known) if len(w) <= _LONGEST and (f := w.lower().strip(PUNCTUATION)) in _ANY]
         self.common: dict[str, np.ndarray] = {}
 
-    def words(self, text: bytes) -> np.ndarray:
-        known = self.known
-        return np.array([known.setdefault(w, len(known)) for w in text.split()], dtype=np.int64)
-
     def common_cells(self, lang: str) -> np.ndarray:
         """For each word number the cell of the common word, or the last cell."""
-        cells = {w.encode(): i for i, w in enumerate(COMMON_WORDS[lang])}
-        done = self.common.get(lang, np.empty(0, dtype=np.int64))
-        if len(done) < len(self.known):
-            more = [cells.get(w.lower().strip(PUNCTUATION), len(cells)) for w in list(self.known)[len(done) :]]
-            self.common[lang] = done = np.concatenate([done, np.array(more, dtype=np.int64)])
-        return done
+        if lang not in self.common:
+            cells = {w.encode(): i for i, w in enumerate(COMMON_WORDS[lang])}
+            table = self.common[lang] = np.full(len(self.known), len(cells), dtype=np.int64)
+            for i, f in self.hits:
+                table[i] = cells.get(f, len(cells))
+        return self.common[lang]
 
 
 def _histograms(batch: _Batch, text: bytes, ids: np.ndarray, lang: str | None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -134,9 +139,9 @@ def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple[str, str], np.ndarray] = {}
         for rb in batches:
-            batch = _Batch()
-            for text, lang in zip(text_bytes(rb, "text"), rb.column("lang").to_pylist(), strict=True):
-                ids = batch.words(text)
+            texts = text_bytes(rb, "text")
+            batch = _Batch(texts)
+            for text, ids, lang in zip(texts, batch.ids, rb.column("lang").to_pylist(), strict=True):
                 if lang is None or len(ids) < MIN_WORDS or len(text) < MIN_CHARS:
                     continue
                 classes, words = _histograms(batch, text, ids, lang)
@@ -150,11 +155,13 @@ def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         )
 
     short_batches(docs.sparkSession)
-    cells = (
+    # Written, because it is read three times below and each time would be a pass over all texts.
+    cells = written(
         docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
         .mapInArrow(sums, "lang string, kind string, cell int, total long")
         .groupBy("lang", "kind", "cell")
-        .agg(F.sum("total").alias("total"))
+        .agg(F.sum("total").alias("total")),
+        "references",
     )
     counts = cells.filter((F.col("kind") == "class") & (F.col("cell") == len(CLASSES))).select("lang", F.col("total").alias("n"))
     n_all = counts.agg(F.sum("n")).scalar()
@@ -184,9 +191,9 @@ def judge(
 
     def verdicts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            batch, rows = _Batch(), []
-            for text, lang in zip(text_bytes(rb, text_col), rb.column(lang_col).cast(pa.string()).to_pylist(), strict=True):
-                ids = batch.words(text)
+            texts, rows = text_bytes(rb, text_col), []
+            batch = _Batch(texts)
+            for text, ids, lang in zip(texts, batch.ids, rb.column(lang_col).cast(pa.string()).to_pylist(), strict=True):
                 counts = base_counts(text, ids, len(batch.known))
                 failed = len(ids) < 50 or 100 * counts[3] > 50 * len(ids)
                 near: dict[str, float | None] = {"class": None, "word": None}
