@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.compare import multiset_differs, normalised, scalar_cell, subset_equal
+from sparkloom.compare import multiset_differs, normalised, scalar_cell, signature, subset_equal
 from sparkloom.functions.expressions import close, normal_key
 from sparkloom.operators.transforms import OPERATORS
 from sparkloom.params import Inputs, MissingRole, Params, listed
@@ -380,6 +380,16 @@ def candidate_verdict(inputs: Inputs, params: Params, name: str, correct: DataFr
     return "VIABLE-FRAGILE" if any(fired[2:]) else "VIABLE"
 
 
+def contract_score(name: str, inputs: Inputs, params: Params, results: list[DataFrame], order: list[str]) -> tuple[int, int]:
+    """Without an answer key: how many results of the largest agreeing group pass, and how many probes of it fire."""
+    seen = [tuple(signature(r).first()) for r in results]
+    most = max(seen, key=seen.count)
+    agreed = [r for r, s in zip(results, seen, strict=True) if s == most]
+    changed = list(probes(agreed[0], order).values())
+    passes = verdicts([(name, inputs, params, r) for r in agreed]).filter("not fired").count()
+    return passes, verdicts([(name, inputs, params, r) for r in changed]).filter("fired").count()
+
+
 def probes(result: DataFrame, order: list[str]) -> dict[str, DataFrame]:
     """Metamorphic changes of a right result that a contract should notice."""
     numeric = [c for c, t in result.dtypes if t in ("double", "float", "bigint", "int")]

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from sparkloom.compare import equal, subset_equal
 from sparkloom.contracts.engine import CONTRACTS, run_all, verdict
 from sparkloom.operators.transforms import OPERATORS
 from sparkloom.params import Inputs, Params
@@ -51,3 +52,18 @@ def repair(name: str, inputs: Inputs, params: Params, result: DataFrame | None,
         if not verdict(name, inputs, params, result).first().fired:
             return "contract_pass", result, attempt
     return "budget", result, budget
+
+
+def run_arm(arm: str, name: str, inputs: Inputs, params: Params, result: DataFrame, gold: DataFrame, budget: int = 3, backend: Backend = library_backend) -> tuple[bool, int]:
+    """One arm of a comparison: stop when the result no longer changes, its contract is silent, or it equals gold.
+
+    Whether the last result equals gold, and the attempts used.
+    """
+    for attempt in range(1, budget + 1):
+        if arm == "contract" and not verdict(name, inputs, params, result).first().fired or arm == "gold" and subset_equal(result, gold):
+            return subset_equal(result, gold), attempt - 1
+        new = backend(name, inputs, params, attempt)
+        if new is None or arm == "fixpoint" and equal(new, result):
+            return subset_equal(result, gold), attempt
+        result = new
+    return subset_equal(result, gold), budget

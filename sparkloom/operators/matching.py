@@ -109,6 +109,20 @@ def first_source(**sources: DataFrame | None) -> tuple[str, DataFrame] | None:
     return next(((k, v) for k, v in sources.items() if v is not None), None)
 
 
+def best_source(truth: DataFrame, order: str, least: float = 0.75, **sources: DataFrame | None) -> tuple[str, float] | None:
+    """The most trusted table; if its F1 is under ``least``, the first later one that does better."""
+    best = None
+    for name, pred in sources.items():
+        if pred is None:
+            continue
+        score = f1(greedy_match(pred, truth, order)).first().f1
+        if best is None or score > best[1]:
+            best = (name, score)
+        if best[1] >= least:
+            break
+    return best
+
+
 def weighted_score(scores: dict[str, Column | None], weights: dict[str, float]) -> Column:
     """Mean of the scores there are, each cut to [0, 1], by weight."""
     there = {k: v for k, v in scores.items() if v is not None}

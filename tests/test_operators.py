@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from sparkloom.compare import column_status, equal, modal_result, new_errors, scalar_equal, subset_equal
 from sparkloom.contracts import engine
-from sparkloom.contracts.repair import diagnose, repair
+from sparkloom.contracts.repair import diagnose, repair, run_arm
 from sparkloom.operators.slips import SLIPS
 from sparkloom.operators.transforms import OPERATORS
 from sparkloom.params import MissingRole, nan_to_null
+from sparkloom.plans.tasks import Task, generate
 
 T = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
 
@@ -158,3 +159,19 @@ def test_own_contract(spark):
         assert [r.fired for r in rows] == [False, True]
     finally:
         del engine.CONTRACTS["few_rows"]
+
+
+def test_contract_score_and_arms(given):
+    inputs, params, *_ = given["cumulative_running"]
+    right, slip = (f["cumulative_running"](inputs, params) for f in (OPERATORS, SLIPS))
+    assert engine.contract_score("cumulative_running", inputs, params, [right, slip, right], ["day"])[0] == 2
+    for arm, used in (("contract", 1), ("gold", 1), ("fixpoint", 2)):
+        assert run_arm(arm, "cumulative_running", inputs, params, slip, right) == (True, used)
+
+
+def test_generated_tasks_are_validated(spark):
+    rows = [("ab"[i % 2], float(i * i % 7 + 1), float(i % 5 + 1) if i % 4 else None) for i in range(12)]
+    tasks = generate(spark.createDataFrame(rows, "g string, v double, w double"))
+    assert Task("median_not_mean", {"group": "g", "value": "v"}) in tasks and Task("nan_as_zero_sum", {"group": "g", "value": "w"}) in tasks
+    assert generate(spark.createDataFrame(rows, "g string, v double, w double"), cap=2) == tasks[:2]
+    assert generate(spark.createDataFrame([(1,)], "x int")) == []

@@ -75,6 +75,7 @@ def test_greedy_match_rules(spark):
     assert (f.tp, f.fp, f.fn) == (3, 3, 0) and f.f1 == pytest.approx(2 / 3)
     empty = matching.f1(matching.greedy_match(pred.filter("false"), truth, "n")).first()
     assert (empty.tp, empty.fn, empty.f1) == (0, 4, 0.0)
+    assert matching.best_source(truth, "n", drawn=pred, given=truth.withColumn("n", F.lit(1)))[0] == "given"
     assert matching.rnss(pred, truth, "n").first().tp == 4
 
 
