@@ -39,7 +39,7 @@ from sparkloom.llm.shared import map_arrays, mix, pack, put_arrays, scratch, sha
 
 LENGTH, ANCHOR = 50, 20
 #: Text bytes for one shard, bytes hashed at once, bytes whose anchors are counted together.
-SHARD_BYTES, PIECE, CHUNK_BYTES = 12_000_000, 1 << 19, 16_000_000
+SHARD_BYTES, PIECE, CHUNK_BYTES = 8_000_000, 1 << 19, 16_000_000
 COVERED, COMPARE = 1, 2
 _ODD, _SIGN = np.uint64(0x9E3779B97F4A7C15), np.uint64(1 << 63)
 _BASE = 0x5851F42D4C957F2D
@@ -49,8 +49,11 @@ _BYTE = mix(np.arange(1, 257, dtype="<u8") * _ODD)
 # ---------------------------------------------------------------- the index
 
 
-def suffix_array(codes: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; the first seven codes (below 257) are sorted at once."""
+def suffix_array(codes: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Suffix array by prefix doubling; the first seven codes (below 257) are sorted at once.
+
+    With ``depth``, suffixes that agree on so many codes may stand in any order.
+    """
     n = len(codes)
     key = np.zeros(n, dtype=np.int64)
     padded = np.concatenate([codes.astype(np.int64) + 1, np.zeros(7, dtype=np.int64)])
@@ -62,7 +65,7 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
         ranked = key[order]
         new = np.empty(n, dtype=np.int64)
         new[order] = np.cumsum(np.concatenate([[0], (ranked[1:] != ranked[:-1]).astype(np.int64)]))
-        if n == 0 or new[order[-1]] == n - 1:
+        if n == 0 or new[order[-1]] == n - 1 or depth and step >= depth:
             return order
         after = np.zeros(n, dtype=np.int64)
         if step < n:
@@ -72,11 +75,15 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
 
 
 class RunLengthIndex:
-    """Run-length BWT of a text with suffix positions sampled at both ends of each run."""
+    """Run-length BWT of a text with suffix positions sampled at both ends of each run.
+
+    If no query is longer than ``longest``, suffixes need not be sorted deeper: rows that agree
+    on more than that stay together under the mapping, and text positions are kept apart from rows.
+    """
 
-    def __init__(self, codes: np.ndarray) -> None:
+    def __init__(self, codes: np.ndarray, longest: int | None = None) -> None:
         n = len(codes)
-        sa = suffix_array(codes)
+        sa = suffix_array(codes, longest and longest + 1)
         bwt = codes[sa - 1]  # of the first suffix: the last code, a separator
         start = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
         end = np.append(start[1:], n) - 1
@@ -84,6 +91,8 @@ class RunLengthIndex:
         self.start, self.head = start, bwt[start].astype(np.int64)
         self.first_sample, self.last_sample = sa[start], sa[end]
         size = end - start + 1
+        self.end = end
+        self.run_of = np.repeat(np.arange(len(start), dtype=np.int32), size)  # of each row
         by_head = np.argsort(self.head, kind="stable")
         # Where the last-to-first mapping sends the first row of each run.
         self.to = np.empty(len(start), dtype=np.int64)
@@ -111,7 +120,7 @@ class RunLengthIndex:
             if not len(live):
                 break
             c = queries[live, i].astype(np.int64)
-            run = np.searchsorted(self.start, row[live], "right") - 1
+            run = self.run_of[row[live]]
             same = self.head[run] == c
             at = live[same]
             row[at] = self.to[run[same]] + row[at] - self.start[run[same]]
@@ -135,7 +144,7 @@ class RunLengthIndex:
             better = common > best[rows]
             rows, other, common = rows[better], other[better], common[better]
             best[rows] = common
-            inside = (np.append(self.start[1:], self.n)[other] - 1 - self.start[other]) if last else 0
+            inside = self.end[other] - self.start[other] if last else 0
             row[at[rows]] = self.to[other] + inside
             text[at[rows]] = sample[other] - 1
         size[at] = best + 1
@@ -386,7 +395,7 @@ def repeated_windows(contexts: list[bytes], left: np.ndarray, ids: np.ndarray, l
     width = int(size.max())
     codes = np.zeros(len(text) + len(use), dtype=np.uint16)  # zero ends each context
     codes[np.arange(len(text)) + np.repeat(np.arange(len(use)), size)] = text.astype(np.uint16) + 1
-    index = RunLengthIndex(codes)
+    index = RunLengthIndex(codes, width)
     begin = first + np.arange(len(use))
     # The smallest document of each different window, by its places in the indexed text.
     starts = np.concatenate([b + np.arange(max(0, n - length + 1)) for b, n in zip(begin.tolist(), size.tolist(), strict=True)])

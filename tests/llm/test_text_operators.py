@@ -78,11 +78,12 @@ def test_repeats_in_pieces(monkeypatch):
     assert {tuple(map(int, r)) for r in zip(*whole)} == {tuple(map(int, r)) for r in zip(*parts)}
 
 
-def test_index_matching_statistics_of_foreign_queries():
+@pytest.mark.parametrize("longest", [None, 62])
+def test_index_matching_statistics_of_foreign_queries(longest):
     rng = random.Random(2)
     text = "".join(rng.choice("abc") for _ in range(400)) * 2
     codes = np.array([ord(c) - 96 for c in text] + [0], dtype=np.uint16)
-    index = rindex.RunLengthIndex(codes)
+    index = rindex.RunLengthIndex(codes, longest)
     assert index.runs < len(codes) * 0.7
     queries = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 60))) for _ in range(50)] + [text[37:99]]
     width = max(map(len, queries))
