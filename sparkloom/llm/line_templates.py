@@ -23,26 +23,41 @@ from pyspark.sql import functions as F
 from sparkloom.llm.shared import written
 
 MIN_DOCS, MIN_TOKENS, DEPTH, PARTS, MIN_FIXED = 5, 3, 2, 4, 6
-# ASCII white space, and what marks a variable field.
-SPACE, VARIABLE, FIELD = r"[ \t\x0B\f\r]+", r"[0-9]", "<*>"
+# ASCII white space but the line end (each becomes a blank), digits (each becomes 0), the mark of a field.
+FROM, TO, FIELD = "\t\x0b\f\r0123456789", "    0000000000", "<*>"
 
 
 def masked_tokens(line: Column) -> Column:
-    """The tokens of a line with variable fields generalised."""
-    tokens = F.filter(F.split(line, SPACE), lambda t: t != "")
-    return F.transform(tokens, lambda t: F.when(t.rlike(VARIABLE), F.lit(FIELD)).otherwise(t))
+    """The tokens of a line with variable fields generalised.
+
+    Single characters are mapped and split at, which needs no regular expression; the walk over
+    the tokens is taken only by lines with a digit.
+    """
+    plain = F.translate(line, FROM, TO)
+    tokens = F.array_remove(F.split(plain, " "), "")
+    masked = F.transform(tokens, lambda t: F.when(F.contains(t, F.lit("0")), F.lit(FIELD)).otherwise(t))
+    return F.when(F.contains(plain, F.lit("0")), masked).otherwise(tokens)
+
+
+def leaf_of(tokens: Column, depth: int = DEPTH) -> Column:
+    """The leaf of a line, as a 64-bit key of its token count and leading tokens."""
+    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
 
 
 def templates(tokens: Column, depth: int = DEPTH) -> Column:
-    """The templates of a line, each as two 64-bit keys: of its leaf and of all it keeps fixed."""
+    """64-bit keys of the line's templates within its leaf: of what each keeps fixed."""
     n = F.size(tokens)
-    leaf = F.xxhash64(n, F.slice(tokens, 1, depth))
     found = [F.xxhash64(F.lit(-1), tokens)]
     for j in range(PARTS):
         first, past = (F.lit(depth) + F.floor((n - depth) * k / PARTS).cast("int") for k in (j, j + 1))
         fixed = F.xxhash64(F.lit(j), F.slice(tokens, F.lit(1), first), F.slice(tokens, past + 1, n - past))
         found.append(F.when((n > depth) & (past > first) & (n - past + first >= MIN_FIXED), fixed))
-    return F.transform(F.array_compact(F.array(*found)), lambda rest: F.struct(leaf.alias("leaf"), rest.alias("rest")))
+    return F.array_compact(F.array(*found))
+
+
+def _in_documents(keys: DataFrame, by: list[str], least: int) -> DataFrame:
+    """Keys found in at least so many different documents, and the first of these."""
+    return keys.distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).filter(F.col("n") >= least).drop("n")
 
 
 def drop_recurring(
@@ -57,25 +72,20 @@ def drop_recurring(
     """``docs`` with ``clean_text``, ``n_lines``, ``n_dropped``."""
     rows = docs.drop("clean_text", "n_lines", "n_dropped")
     row_key = F.xxhash64(F.col(id_col), F.col(text_col))
-    # Parsed once and written: keys and places only, no text.
+    # Parsed once and written: keys and places only, no text.  Short lines are left out when it is
+    # read: a filter here would be pushed below the parsing and parse every line a second time.
+    tokens = F.col("tokens")
     lines = written(
         rows.select(F.col(id_col).alias("doc"), row_key.alias("row"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line"))
         .select("doc", "row", "at", masked_tokens(F.col("line")).alias("tokens"))
-        .filter(F.size("tokens") >= min_tokens)
-        .select("doc", "row", "at", F.explode(templates(F.col("tokens"), depth)).alias("t"))
-        .select("doc", "row", "at", "t.leaf", "t.rest"),
+        .select("doc", "row", "at", leaf_of(tokens, depth).alias("leaf"), F.when(F.size(tokens) >= min_tokens, templates(tokens, depth)).alias("rests")),
         "lines",
-    )
-    # Written, so that the join below reads both sides from plain exchanges and can split a hot template.
-    recurring = written(
-        lines.select("leaf", "rest", "doc")
-        .distinct()
-        .groupBy("leaf", "rest")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"))
-        .filter(F.col("n") >= min_docs)
-        .select("leaf", "rest", "first"),
-        "recurring",
-    )
+    ).filter("rests is not null")
+    # All templates of a line lie in its leaf, so only leaves with enough documents need a look.
+    # Small sides are written, so that the joins read plain exchanges and can split a hot key.
+    busy = written(_in_documents(lines.select("leaf", "doc"), ["leaf"], min_docs).select("leaf"), "leaves")
+    lines = written(lines.join(busy, "leaf", "left_semi").select("doc", "row", "at", "leaf", F.explode("rests").alias("rest")), "templates")
+    recurring = written(_in_documents(lines.select("leaf", "rest", "doc"), ["leaf", "rest"], min_docs), "recurring")
     dropped = lines.join(recurring, ["leaf", "rest"])
     if keep_first:
         dropped = dropped.filter(~F.col("doc").eqNullSafe(F.col("first")))
