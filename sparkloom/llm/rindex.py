@@ -49,41 +49,51 @@ _BYTE = mix(np.arange(1, 257, dtype="<u8") * _ODD)
 # ---------------------------------------------------------------- the index
 
 
-def suffix_array(codes: np.ndarray, depth: int | None = None) -> np.ndarray:
+def suffix_array(codes: np.ndarray, strings: bool = False) -> np.ndarray:
     """Suffix array by prefix doubling; the first seven codes (below 257) are sorted at once.
 
-    With ``depth``, suffixes that agree on so many codes may stand in any order.
+    With ``strings``, zeros end strings and all differ, the earlier the smaller: suffixes are
+    compared up to their first zero and then by place, so sorting is whole as soon as the
+    compared depth is over the longest string.
     """
     n = len(codes)
     key = np.zeros(n, dtype=np.int64)
     padded = np.concatenate([codes.astype(np.int64) + 1, np.zeros(7, dtype=np.int64)])
+    ended = np.zeros(n, dtype=bool)  # the suffix has met its zero
     for k in range(7):
-        key = key * 258 + padded[k : k + n]
+        own = padded[k : k + n]
+        key = key * 258 + np.where(ended, 0, own)
+        if strings:
+            ended |= own == 1
     step = 7
+    order = np.argsort(key, kind="stable")
     while True:
-        order = np.argsort(key)
         ranked = key[order]
         new = np.empty(n, dtype=np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], (ranked[1:] != ranked[:-1]).astype(np.int64)]))
-        if n == 0 or new[order[-1]] == n - 1 or depth and step >= depth:
+        new[order] = np.cumsum(np.concatenate([[0], ((ranked[1:] != ranked[:-1]) | ended[order[1:]]).astype(np.int64)])[:n])
+        if n == 0 or new[order[-1]] == n - 1:
             return order
+        ended[:] = False  # such suffixes have ranks of their own by now
         after = np.zeros(n, dtype=np.int64)
         if step < n:
             after[: n - step] = new[step:] + 1
         key = new * (n + 1) + after
         step *= 2
+        order = np.argsort(key)
 
 
 class RunLengthIndex:
     """Run-length BWT of a text with suffix positions sampled at both ends of each run.
 
-    If no query is longer than ``longest``, suffixes need not be sorted deeper: rows that agree
-    on more than that stay together under the mapping, and text positions are kept apart from rows.
+    A row and its text position move together, so suffixes are in one strict order that a code
+    put before them keeps.  With ``longest``, zeros end strings of at most so many codes, and no
+    query has a zero: order among equal strings is by place, which that mapping keeps too, and
+    no suffix need be sorted deeper than its string.
     """
 
     def __init__(self, codes: np.ndarray, longest: int | None = None) -> None:
         n = len(codes)
-        sa = suffix_array(codes, longest and longest + 1)
+        sa = suffix_array(codes, longest is not None)
         bwt = codes[sa - 1]  # of the first suffix: the last code, a separator
         start = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
         end = np.append(start[1:], n) - 1

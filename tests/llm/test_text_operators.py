@@ -78,6 +78,31 @@ def test_repeats_in_pieces(monkeypatch):
     assert {tuple(map(int, r)) for r in zip(*whole)} == {tuple(map(int, r)) for r in zip(*parts)}
 
 
+def test_repeated_windows_of_many_documents_with_one_passage():
+    rng = random.Random(4)
+    some = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    passages = [some(n) for n in (60, 75, 90, 110, 140)]
+    texts = []
+    for _ in range(120):
+        texts.append(b"".join(rng.choice(b"xyz").to_bytes(1, "little") * rng.randint(0, 2) + some(rng.randint(0, 3)) + p[rng.randint(0, 6) :] for p in rng.sample(passages, 3)))
+    d, at, _, _ = rindex.anchors(texts)
+    contexts = [texts[i][max(0, p - 30) : p + 50] for i, p in zip(d.tolist(), at.tolist(), strict=True)]
+    row, first, past = rindex.repeated_windows(contexts, np.minimum(at, 30), d.astype("<u8"))
+    start = np.maximum(at - 30, 0)[row]
+    got = {(i, a) for i, a in zip(d[row].tolist(), (start + first).tolist(), strict=True)}
+    # Contexts equal to a smaller document's are settled before the index.
+    owner = {}
+    for i, p, c in zip(d.tolist(), at.tolist(), contexts, strict=True):
+        owner.setdefault((min(p, 30), c), i)
+    got |= {(i, max(0, p - 30) + k) for i, p, c in zip(d.tolist(), at.tolist(), contexts, strict=True) if owner[min(p, 30), c] < i for k in range(len(c) - 49)}
+    least = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 49):
+            least.setdefault(t[k : k + 50], i)
+    want = {(i, k) for i, t in enumerate(texts) for k in range(len(t) - 49) if least[t[k : k + 50]] < i}
+    assert len(want) > 1000 and got == want
+
+
 @pytest.mark.parametrize("longest", [None, 62])
 def test_index_matching_statistics_of_foreign_queries(longest):
     rng = random.Random(2)
