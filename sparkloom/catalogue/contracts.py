@@ -17,7 +17,6 @@ def cases(spark, d):
     t = lambda n: table(spark, d, n)
     orders, events, lines, customer, nation, supplier = (t(n) for n in ("orders", "events", "lineitem", "customer", "nation", "supplier"))
     fan = lines.select(F.col("l_orderkey").alias("o_orderkey"))
-    part = events.filter("user_id < 50")
     missing = events.withColumn("v", F.when(F.col("event_type") != "error", F.col("value"))).withColumn("g", F.col("user_id") % 9)
     by_key = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("s")).filter("c_custkey % 3 <> 0")
     on = ["ts", "event_id"]
@@ -36,7 +35,7 @@ def cases(spark, d):
         "proportion_true": ({"df": orders.withColumn("passed", F.col("o_orderstatus") == "F")}, {"group": "o_orderpriority", "flag": "passed"}),
         "zscore_within_group": ({"df": events.withColumn("g", F.col("user_id") % 9)}, {"group": "g", "value": "value"}),
         "dense_rank": ({"df": events.withColumn("v", F.floor("value"))}, {"value": "v"}),
-        "cumcount_per_group": ({"df": part}, {"group": "user_id", "order": on}),
+        "cumcount_per_group": ({"df": events}, {"group": "user_id", "order": on}),
         "rank_pct": ({"df": events}, {"value": "value"}),
         "clip_outlier": ({"df": events}, {"value": "value", "lo": 10.0, "hi": 60.0}),
         "index_align": ({"df": customer, "df2": by_key}, {"key": "c_custkey", "value": "c_acctbal", "addend": "s"}),
@@ -48,7 +47,7 @@ def cases(spark, d):
         "join_fanout": ({"df": orders, "df2": fan}, {"group": "o_orderpriority", "measure": "o_totalprice", "matched_on": "o_orderkey"}),
         "null_in_agg_count": ({"df": missing}, {"group": "g", "value": "v"}),
         "scale_before_split_leakage": ({"df": events.withColumn("split", F.when(F.col("value") > 40, "test").otherwise("train"))}, {"feature": "value", "split": "split", "train_label": "train"}),
-        "lookahead_return": ({"df": part}, {"price": "value", "group": "user_id", "order": on}),
+        "lookahead_return": ({"df": events}, {"price": "value", "group": "user_id", "order": on}),
         "latlon_swap": ({"df": supplier.select((F.col("s_nationkey") * 3.0).alias("lat"), (F.col("s_acctbal") / 60).alias("lon"))}, {"lat": "lat", "lon": "lon"}),
         "array_difference": ({"df": t("embeddings").withColumn("back", F.reverse("embedding"))}, {"a": "embedding", "b": "back"}),
     }

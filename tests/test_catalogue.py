@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from sparkloom import catalogue
+from sparkloom.catalogue import contracts
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -48,3 +49,10 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalogue.QUERIES) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["cumcount_per_group", "lookahead_return"])
+def test_contract_cases_have_all_events(spark, name):
+    d = "/root/testdata/sf0.01"  # the smallest tables have no user over 50
+    (inputs, _), events = contracts.cases(spark, d)[name], spark.read.parquet(f"{d}/events.parquet")
+    assert inputs["df"].exceptAll(events).count() == 0 and inputs["df"].count() == events.count() > 0
