@@ -86,3 +86,20 @@ def test_each_template_is_its_own_best(name):
 def test_saving_ranks_the_right_template_first():
     ranked = license_scan.savings(license_scan.TEMPLATES["GPL-3.0-header"].replace("program", "library"), license_scan.TEMPLATES)
     assert ranked[0][0] == "GPL-3.0-header" and ranked[0][1] > 0.5
+
+
+@pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
+def test_notice_inside_a_long_line(name):
+    rng = random.Random(8)
+    some = lambda n: " ".join("".join(rng.choice("abdeilmnorst") for _ in range(rng.randint(2, 9))) if j % 3 else rng.choice(["the", "of", "and", "to", "this", "under", "in"]) for j in range(n))
+    line = some(400) + " " + license_scan.TEMPLATES[name] + " " + some(400) + " licensed"
+    assert [(a, d) for a, _, d in license_scan.scan_block(line, license_scan.TEMPLATES)] == [(name, 0)]
+    twice = license_scan.scan_block(f"{line} {line}", license_scan.TEMPLATES)
+    assert [(a, d) for a, _, d in twice] == [(name, 0)] * 2
+
+
+def test_notice_with_few_words_changed_inside_a_long_line():
+    words = license_scan.TEMPLATES["MIT-text"].split()
+    del words[5], words[12]
+    line = "the license of this and the copy to any person " * 30 + " ".join(words) + " and other words of the text" * 30
+    assert [(a, d) for a, _, d in license_scan.scan_block(line, license_scan.TEMPLATES)] == [("MIT-text", 2)]
