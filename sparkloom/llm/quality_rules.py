@@ -7,8 +7,10 @@ integer sums; the second pass compares each document with the reference of its `
 
 Defined results
 * null text: an empty text (no words, ``base_failed``, not kept);
-* null or unseen ``lang``, or one with under 1/4096 of all documents: no reference, so only
-  the base rules decide (this bounds what is sent to the workers at 4096 languages);
+* null ``lang``: no reference, so only the base rules decide;
+* the 4096 languages with most documents, those with a word list first, have references of
+  their own; all others share one of character classes, learned from their documents together
+  (this bounds what is sent to the workers);
 * texts shorter than the guards: no distance (null), only the base rules decide;
 * empty table: empty result.  Repeated rows: each is judged.  Extra columns are ignored.
 """
@@ -41,7 +43,7 @@ MIN_CHARS, MIN_WORDS = 200, 50
 # The sum of both distances, or the class distance where the language has no word list.
 MAX_DISTANCE, MAX_CLASS_DISTANCE = 0.45, 0.25
 SCALE = 1 << 30
-LEAST_SHARE = 4096
+MOST_LANGUAGES = 4096
 
 
 def _class_table() -> np.ndarray:
@@ -133,8 +135,8 @@ def base_counts(text: bytes, ids: np.ndarray, size: int) -> tuple[int, int, int,
     return word_chars, n_symbols, len(lines) - len(set(lines)), repeat_words(ids, size)
 
 
-def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, dict[str, np.ndarray]]:
-    """Mean histograms by language over all documents that reach the guards."""
+def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str | None, dict[str, np.ndarray]]:
+    """Mean histograms by language over all documents that reach the guards; those of the rest under None."""
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple[str, str], np.ndarray] = {}
@@ -164,9 +166,10 @@ def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         "references",
     )
     counts = cells.filter((F.col("kind") == "class") & (F.col("cell") == len(CLASSES))).select("lang", F.col("total").alias("n"))
-    n_all = counts.agg(F.sum("n")).scalar()
-    usual = cells.join(counts, "lang").filter(F.col("n") * LEAST_SHARE >= F.lit(1) * n_all)
-    out: dict[str, dict[str, np.ndarray]] = {}
+    most = counts.orderBy(F.col("lang").isin(list(COMMON_WORDS)).desc(), F.col("n").desc(), "lang").limit(MOST_LANGUAGES).select("lang", F.lit(True).alias("own"))
+    named = cells.join(most, "lang", "left").withColumn("lang", F.when(F.col("own"), F.col("lang"))).filter("own or kind = 'class'")
+    usual = named.groupBy("lang", "kind", "cell").agg(F.sum("total").alias("total"))
+    out: dict[str | None, dict[str, np.ndarray]] = {}
     for r in usual.orderBy("lang", "kind", "cell").collect():
         kinds = out.setdefault(r.lang, {})
         kinds[r.kind] = np.append(kinds.get(r.kind, np.empty(0)), r.total)
@@ -197,10 +200,11 @@ def judge(
                 counts = base_counts(text, ids, len(batch.known))
                 failed = len(ids) < 50 or 100 * counts[3] > 50 * len(ids)
                 near: dict[str, float | None] = {"class": None, "word": None}
-                if lang in references and len(text) >= MIN_CHARS and len(ids) >= MIN_WORDS:
+                known = references.get(lang, references.get(None, {})) if lang is not None else {}
+                if known and len(text) >= MIN_CHARS and len(ids) >= MIN_WORDS:
                     for kind, own in zip(near, _histograms(batch, text, ids, lang), strict=True):
-                        if own is not None and kind in references[lang]:
-                            near[kind] = round(js_distance(own, references[lang][kind]), 9)
+                        if own is not None and kind in known:
+                            near[kind] = round(js_distance(own, known[kind]), 9)
                 if near["word"] is None:
                     far = (near["class"] or 0) > max_class_distance
                 else:

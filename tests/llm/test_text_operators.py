@@ -321,6 +321,20 @@ def test_quality_rejects_junk_and_keeps_prose(spark):
     assert quality_rules.js_distance(np.array([1, 0]), np.array([0, 1])) == pytest.approx(1)
 
 
+def test_quality_compares_documents_of_rare_languages(spark, monkeypatch):
+    prose, junk = "some words of prose as they are, and more. " * 12, "#5 %%7 <9> &2 *|* $44 " * 20
+    rows = spark.range(9000).selectExpr("id as doc_id", "'en' as lang").unionByName(spark.createDataFrame([(-1, "rare")], "doc_id long, lang string"))
+    got = quality_rules.judge(rows.selectExpr("doc_id", f"'{prose}' as text", "lang")).filter("doc_id < 0").first()
+    assert got.class_distance == 0
+
+    # Past the languages with references of their own, one for all others.
+    monkeypatch.setattr(quality_rules, "MOST_LANGUAGES", 1)
+    rows = [(i, prose.replace("words", f"words {i}"), lang) for i, lang in enumerate(["en", *[f"x{k}" for k in range(30)], None])]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame([*rows, (99, junk, "x99")], "doc_id long, text string, lang string")).collect()}
+    assert got[0].class_distance == 0 and got[31].class_distance is None
+    assert all(0 < got[i].class_distance < 0.25 for i in range(1, 31)) and got[99].class_distance > 0.25 and not got[99].kept
+
+
 def test_repeat_words_with_many_different_words():
     ids = np.array([1, 2, 3, 9, 1, 2, 3, 8])
     assert quality_rules.repeat_words(ids, 10) == quality_rules.repeat_words(ids, 1 << 22) == 6
