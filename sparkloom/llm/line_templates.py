@@ -12,7 +12,9 @@ group of copies does not lose its only text.
 Defined results: null text stays null with no lines; an empty text has one empty line.  Lines
 with fewer than ``min_tokens`` tokens are never dropped.  A null id counts as one document and
 never as the first unless no other has the template.  Rows with equal id and text get equal
-results.  Columns named like the results are replaced, others stay.  Only ``\n`` ends a line.
+results.  Columns named like the results are replaced, all others stay, whatever their names.
+Only ``\n`` ends a line.  A text may have any number of lines: they are handed on one by one with
+two numbers each, and what is kept is picked by place in time linear in the lines.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.shared import written
+from sparkloom.llm.shared import unused, written
 
 MIN_DOCS, MIN_TOKENS, DEPTH, PARTS, MIN_FIXED = 5, 3, 2, 4, 6
 # ASCII white space but the line end (each becomes a blank), digits (each becomes 0), the mark of a field.
@@ -71,12 +73,16 @@ def drop_recurring(
 ) -> DataFrame:
     """``docs`` with ``clean_text``, ``n_lines``, ``n_dropped``."""
     rows = docs.drop("clean_text", "n_lines", "n_dropped")
+    row, parts, marked_doc, marked_row, gone = unused(rows.columns, "row", "parts", "marked_doc", "marked_row", "gone")
     row_key = F.xxhash64(F.col(id_col), F.col(text_col))
-    # Parsed once and written: keys and places only, no text.  Short lines are left out when it is
-    # read: a filter here would be pushed below the parsing and parse every line a second time.
+    # Parsed once and written: keys and places only, no text.  The key of a row is made below the
+    # explode, which then hands on two numbers beside each line and never the whole text.  Short
+    # lines are left out when it is read: a filter here would be pushed below the parsing and parse
+    # every line a second time.
     tokens = F.col("tokens")
     lines = written(
-        rows.select(F.col(id_col).alias("doc"), row_key.alias("row"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line"))
+        rows.select(F.col(id_col).alias("doc"), row_key.alias("row"), F.split(F.col(text_col), "\n").alias("parts"))
+        .select("doc", "row", F.posexplode("parts").alias("at", "line"))
         .select("doc", "row", "at", masked_tokens(F.col("line")).alias("tokens"))
         .select("doc", "row", "at", leaf_of(tokens, depth).alias("leaf"), F.when(F.size(tokens) >= min_tokens, templates(tokens, depth)).alias("rests")),
         "lines",
@@ -89,13 +95,15 @@ def drop_recurring(
     dropped = lines.join(recurring, ["leaf", "rest"])
     if keep_first:
         dropped = dropped.filter(~F.col("doc").eqNullSafe(F.col("first")))
-    marks = dropped.select("row", "at").distinct().groupBy("row").agg(F.collect_list("at").alias("gone"))
-    out = rows.withColumn("__row", row_key).join(marks.withColumnRenamed("row", "__row"), "__row", "left")
-    parts = F.split(F.col(text_col), "\n")
-    kept = F.filter(F.transform(parts, lambda line, i: F.struct(line.alias("line"), i.alias("i"))), lambda x: ~F.array_contains(F.col("gone"), x["i"]))
+    marks = dropped.groupBy("doc", "row").agg(F.collect_set("at").alias("gone")).toDF(marked_doc, marked_row, gone)
+    # The lines cross the join in place of the text, so that a kept line is one step from its place.
+    cut = rows.withColumns({row: row_key, parts: F.split(F.col(text_col), "\n")}).drop(*([text_col] if text_col != id_col else []))
+    out = cut.join(marks, F.col(id_col).eqNullSafe(F.col(marked_doc)) & (F.col(row) == F.col(marked_row)), "left")
+    text = F.array_join(parts, "\n")
+    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
     return out.select(
-        *[F.col(c) for c in rows.columns],
-        F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).alias("clean_text"),
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[text.alias(c) if c == text_col else F.col(c) for c in rows.columns],
+        F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.transform(places, lambda at: F.get(parts, at)), "\n")).alias("clean_text"),
+        F.when(F.col(parts).isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -53,6 +53,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores until no taken name equals it in any case."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name in have:
+            name += "_"
+        have.add(name)
+        out.append(name)
+    return out
+
+
 def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """Whole texts of a batch as UTF-8 bytes; a null text is empty."""
     return [b or b"" for b in batch.column(column).cast(pa.binary()).to_pylist()]

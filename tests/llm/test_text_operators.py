@@ -1,7 +1,6 @@
 """The text operators against plain brute-force versions on a small hard fixture."""
 
 import collections
-import hashlib
 import math
 import random
 import re
@@ -9,6 +8,8 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import lit as F_lit
+from pyspark.sql.functions import xxhash64 as F_hash
 
 from sparkloom.llm import bpe, decontaminate, kneser_ney, line_templates, quality_rules, rindex, simhash, url_filter
 from sparkloom.llm.queries import ranks_and_pattern
@@ -385,5 +386,23 @@ def test_empty_tables(docs, build):
     assert build(docs.filter("false")).collect() == []
 
 
-def test_digest_columns_are_hex():
-    assert re.fullmatch("[0-9a-f]{64}", hashlib.sha256(b"").hexdigest())
+def test_line_templates_on_long_texts_and_clashing_names(spark):
+    clash = "gone long, gone_ string, row string, __row string, parts string, marked_doc string, DOC string, n_dropped string"
+    rows = [(i, "\n".join(f"entry {j % 7} of the log says {'abc'[j % 3] * 3} {i if j % 2 else 'x'}" if j % 5 else f"own {i * 100000 + j:x}q".translate(str.maketrans("0123456789", "ghijklmnop")) for j in range(30000)), i, "a", "b", "c", "d", "e", "f", "g") for i in range(8)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, {clash}").repartition(4)
+    out = line_templates.drop_recurring(df)
+    assert out.columns == [*[c for c in df.columns if c != "n_dropped"], "clean_text", "n_lines", "n_dropped"]
+    for r in out.collect():
+        lines = rows[r.doc_id][1].split("\n")
+        keep = lines if r.doc_id == 0 else [x for x in lines if x.startswith("own")]
+        assert r.clean_text == "\n".join(keep) and (r.text, r.n_lines, r.n_dropped) == (rows[r.doc_id][1], 30000, 30000 - len(keep))
+        assert (r.gone, r.gone_, r.row, r["__row"], r.parts, r.marked_doc, r.DOC) == rows[r.doc_id][2:9]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # the lines are parsed before, into a written table
+
+
+def test_equal_row_keys_do_not_drop_lines_of_another_document(spark, monkeypatch):
+    monkeypatch.setattr(line_templates.F, "xxhash64", lambda *c: F_hash(*c) if len(c) != 2 or "text" not in str(c[1]) else F_lit(7))
+    rows = [(i, f"the same line for all of them\nown line {'abcdefgh'[i]} of text") for i in range(6)] + [(9, "one\ntwo")]
+    out = line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_dropped for r in out} == {0: 0, **{i: 1 for i in range(1, 6)}, 9: 0}
