@@ -3,7 +3,9 @@
 Long texts are split before encoding, at places where the pre-tokeniser surely ends a match:
 a character that is not white space, followed by white space.  No pattern of this family looks
 back, and none matches white space after another character, so the ids are those of the whole.
-A stretch without such a place stays whole.
+A stretch without such a place stays whole.  The pre-tokeniser looks ahead over white space and
+its stack ends at about a million characters, so a long run of it is cut out by the same rule: all
+but its last character (all, at the end of the text) is one match, whose bytes are merged directly.
 
 Defined results: null text is an empty text (no ids).  Empty tables give empty results, repeated
 rows are each encoded, extra columns are ignored.  No special tokens are ever produced.
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 from sparkloom.llm.shared import short_batches
 
 PIECE_CHARS = 1 << 16
-_CUT = re.compile(r"\S(?=\s)")
+# The characters with the Unicode property White_Space (Python's own class has four more).
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CUT = re.compile(f"[^{_SPACE}](?=[{_SPACE}])")
 
 
 @functools.lru_cache(maxsize=4)
@@ -37,23 +41,46 @@ def encoding(ranks_path: str, pattern: str):
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.lru_cache(maxsize=4)
+def _long_run(size: int) -> re.Pattern[str]:
+    return re.compile(f"[{_SPACE}]{{{max(size, 2)},}}")
+
+
+def _parts(text: str, size: int) -> Iterator[tuple[str, bool]]:
+    """The text in order: pieces of whole matches, and single matches of long white space."""
+
+    def cut(start: int, past: int) -> Iterator[tuple[str, bool]]:
+        while past - start > size:
+            found = _CUT.search(text, start + size, past)
+            if not found:
+                break
+            yield text[start : found.end()], False
+            start = found.end()
+        if start < past:
+            yield text[start:past], False
+
+    start = 0
+    for run in _long_run(size).finditer(text):
+        past = run.end() if run.end() == len(text) else run.end() - 1
+        yield from cut(start, run.start())
+        yield text[run.start() : past], True
+        start = past
+    yield from cut(start, len(text))
+
+
 def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     """The text in order, cut at the first safe boundary after each ``size`` characters."""
-    start = 0
-    while len(text) - start > size:
-        found = _CUT.search(text, start + size)
-        if not found:
-            break
-        yield text[start : found.end()]
-        start = found.end()
-    yield text[start:]
+    return (piece for piece, _ in _parts(text, size))
 
 
 def encode_text(text: str, ranks_path: str, pattern: str, size: int = PIECE_CHARS) -> list[int]:
     enc = encoding(ranks_path, pattern)
     if len(text) <= size:
         return enc.encode_ordinary(text)
-    return [i for piece in pieces(text, size) for i in enc.encode_ordinary(piece)]
+    out: list[int] = []
+    for piece, match in _parts(text, size):
+        out += enc._core_bpe.encode_single_piece(piece.encode()) if match else enc.encode_ordinary(piece)
+    return out
 
 
 def _lists(values: list[list[int]]) -> pa.Array:

@@ -289,10 +289,25 @@ def test_bpe_pieces_do_not_change_ids():
         for size in (1, 7, 40):
             assert "".join(bpe.pieces(text, size)) == text
             assert bpe.encode_text(text, *ranks, size) == bpe.encode_text(text, *ranks)
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "!", " " * 9, "\n" * 8, "\x1c" * 9, "!\x1f", "\u3000" * 3, "\xa0\x85", " \n\t" * 5]) for _ in range(40))
+        assert "".join(bpe.pieces(text, 7)) == text and bpe.encode_text(text, *ranks, 7) == bpe.encode_text(text, *ranks)
     odd = bpe.encoding(*ranks).encode_ordinary("字")[:1]
     assert bpe.encoding(*ranks).decode_bytes(odd) == "字".encode()[: len(bpe.encoding(*ranks).decode_bytes(odd))]
 
 
+def test_bpe_of_very_long_texts(spark):
+    ranks = ranks_and_pattern()
+    enc = bpe.encoding(*ranks)
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "a" + " " * 1_500_000 + "b c", "x\u3000" + "\t" * 1_200_000 + "\n!", "^" * 1_500_000, "a" * 300_000, "some words, " * 100_000, "don't " * 40_000 + "\r\n" * 600_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for r in bpe.encode_decode(df, *ranks).collect():
+        assert bytes(r.bytes).decode() == texts[r.doc_id]
+    # Runs that the library can still encode whole: equal ids with and without a cut.
+    for text in (" " * 700_000, " " * 700_000 + "x", "x" + "\n" * 700_000, "x " + "\n" * 700_000 + " y", " \t" * 300_000 + "1"):
+        assert bpe.encode_text(text, *ranks) == enc.encode_ordinary(text)
+
+
 # ---------------------------------------------------------------- rules and URLs
 
 
