@@ -4,11 +4,12 @@ Overlapping heuristic labellers vote good, bad or abstain on every document.  Ex
 maximisation over the counts of the vote patterns (at most 3 to the number of labellers, the
 only thing the driver sees) estimates each labeller's rates of votes on good and on bad
 documents, and so the posterior of each pattern.  A logistic scorer over hashed words and word
-shapes is trained on the posteriors of at most ``SAMPLE_ROWS`` documents, taken by a hash of
-the id, and then scores every document.
+shapes is trained on the posteriors of at most ``SAMPLE_ROWS`` documents with ``SAMPLE_ENTRIES``
+entries together, taken by a hash of id and text, and then scores every document.
 
 Defined results: null text is an empty text.  Ties of the votes get the prior's side.  With no
-rows there is no model and no result.  Repeated rows count and are scored each.  Extra columns
+rows there is no model and no result.  Repeated rows count and are scored each; in the sample they
+are one.  Extra columns
 are ignored.  If all documents have one pattern the posterior is the prior and all are kept.
 """
 
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.quality_rules import COMMON_WORDS, PUNCTUATION, SYMBOLS, repeat_words
-from sparkloom.llm.shared import short_batches, text_bytes
+from sparkloom.llm.shared import short_batches, text_bytes, written
 
-#: Bound of the training sample, size of the hashed weight vector, passes, step, penalty.
-SAMPLE_ROWS, BUCKETS, EPOCHS, STEP, PENALTY = 8000, 1 << 16, 60, 1.0, 1e-5
+#: Bounds of the training sample: documents, and entries of their vectors (12 bytes each).
+SAMPLE_ROWS, SAMPLE_ENTRIES = 8000, 6_000_000
+#: Size of the hashed weight vector, passes, step, penalty.
+BUCKETS, EPOCHS, STEP, PENALTY = 1 << 16, 60, 1.0, 1e-5
 KEEP_FROM = 0.5
 LABELLERS = ("length", "symbols", "repeats", "lines", "common_words", "sentences", "shapes", "capitals", "shouts", "diversity", "most_frequent", "wordless")
 _COMMON = {w.encode() for words in COMMON_WORDS.values() for w in words}
@@ -178,7 +181,7 @@ class Classifier:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Classifier | None:
     """The vote model of all documents and the scorer of the sample; None for an empty table."""
     short_batches(docs.sparkSession)
-    rows = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
 
     def vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -192,23 +195,33 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     model = fit_votes(patterns, counts)
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # of this task's part of the sample; repeated rows are one
         for rb in batches:
-            cache, texts = Features(), text_bytes(rb, "text")
-            split = [t.split() for t in texts]
+            cache, texts, keys = Features(), text_bytes(rb, "text"), rb.column("h").to_pylist()
+            own = [i for i, h in enumerate(keys) if not (h in seen or seen.add(h))]
+            split = [texts[i].split() for i in own]
             vectors = [cache.of(w) for w in split]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "h": rb.column("h"),
-                    "votes": pa.array([votes(t, w) for t, w in zip(texts, split, strict=True)], pa.string()),
+                    "h": pa.array([keys[i] for i in own], pa.int64()),
+                    "votes": pa.array([votes(texts[i], w) for i, w in zip(own, split, strict=True)], pa.string()),
                     "at": pa.array([v[0].astype(np.int32) for v in vectors], pa.list_(pa.int32())),
                     "value": pa.array([v[1].astype(np.float32) for v in vectors], pa.list_(pa.float32())),
                 }
             )
 
-    # About twice the bound by a hash, so that few texts are read twice; then the bound itself.
+    # About twice the bound by a hash, so that few texts are read twice; a wider part where that has
+    # no row, as in a table of one text.  Then both bounds, in the order of the hash.
     share = max(1, int(counts.sum() // (2 * sample_rows)))
-    part = rows.filter(F.pmod("h", F.lit(share)) == 0).mapInArrow(features, "h long, votes string, at array<int>, value array<float>")
-    sample = part.orderBy("h").limit(sample_rows).toArrow()
+    while True:
+        part = written(rows.filter(F.pmod("h", F.lit(share)) == 0).mapInArrow(features, "h long, votes string, at array<int>, value array<float>"), "sample").dropDuplicates(["h"])
+        sizes = part.select("h", F.size("at").alias("n")).orderBy("h").limit(sample_rows).toArrow()
+        if len(sizes) or share == 1:
+            break
+        share = max(1, share // 8)
+    fits = np.cumsum(sizes["n"].to_numpy()) <= SAMPLE_ENTRIES
+    taken = max(1, int(fits.sum()))
+    sample = part.orderBy("h").limit(taken).toArrow()
     labels = model.posterior(np.array([[int(c) for c in v] for v in sample["votes"].to_pylist()]))
     vectors = [(np.array(a, dtype=np.int64), np.array(v)) for a, v in zip(sample["at"].to_pylist(), sample["value"].to_pylist(), strict=True)]
     return Classifier(model, *fit_scorer(vectors, labels))
