@@ -1,20 +1,25 @@
 """Benchmark decontamination by a generalised suffix automaton of the test items' words.
 
 Items are dealt to blocks of bounded size; one task builds the automaton of a block and puts it
-in the shared folder.  Workers load one block at a time and stream the documents' words, keeping
-the longest match that ends at each word.  A match of ``window`` words or more covers a window
-of an item; an item with fewer words counts when all of it occurs.
+in the shared folder as flat sorted arrays.  Workers map these (about 60 bytes a word of the items,
+shared by the workers of a machine) and stream the documents' words, keeping the longest match
+that ends at each word.  Two limits make a match a hit: it has ``window`` words or more, or it
+covers the share ``coverage`` of an item or more.  The default of 1 means: all of an item, which
+matters for items of fewer words than the window.  Hit spans are removed.
 
 Defined results: null text or a text without words has no spans.  Items without words (or null)
 never match.  Equal items are both reported.  Empty tables give empty results; repeated rows are
-each judged; columns of ``docs`` with the names of the results are replaced, others stay.
+each judged; columns of ``docs`` with the names of the results are replaced, others stay.  Each
+block is streamed over all documents, so time grows with the size of the items by blocks.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import pickle
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.shared import map_file, put_file, scratch, short_batches, text_bytes
+from sparkloom.llm.shared import map_arrays, put_arrays, scratch, short_batches, text_bytes
 
-WINDOW = 10
-#: Characters of items in one automaton; what a worker holds is bounded by this.
-BLOCK_CHARS = 8_000_000
+WINDOW, COVERAGE = 10, 1.0
+#: Characters of items in one automaton; what a task that builds one holds is bounded by this.
+BLOCK_CHARS = 2_000_000
 
 # Everything but 0-9, a-z and non-ASCII separates words; A-Z becomes a-z.
 _NORMAL = bytes(ord(chr(b).lower()) if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -41,7 +46,7 @@ def words_of(text: bytes) -> list[bytes]:
 class SuffixAutomaton:
     """States with suffix links over word numbers; built item by item."""
 
-    def __init__(self, items: list[tuple[object, bytes]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[object, bytes]], window: int = WINDOW, coverage: float = COVERAGE) -> None:
         self.window, self.vocabulary = window, {}
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -51,7 +56,8 @@ class SuffixAutomaton:
                 self.names.append(name)
                 sequences.append(ids)
                 self._add(ids)
-        self.shortest = min([window, *map(len, sequences)])
+        #: The words in order that are a hit, for each item.
+        self.least = [min(window, max(1, math.ceil(coverage * len(ids) - 1e-9))) for ids in sequences]
         self._label(sequences)
 
     def _new(self, length: int, step: dict[int, int], link: int) -> int:
@@ -86,41 +92,117 @@ class SuffixAutomaton:
             last = new
 
     def _label(self, sequences: list[list[int]]) -> None:
-        """The state of the window that ends a long match, its items, and the short items that end at a state."""
+        """The state of the window that ends a long match and its items; the shorter hits that end at a state."""
         window, n = self.window, len(self.length)
+        by_length = sorted(range(1, n), key=self.length.__getitem__)
         self.cut, self.short = [-1] * n, [()] * n
-        for v in sorted(range(1, n), key=self.length.__getitem__):
+        for v in by_length:
             up = self.link[v]
             if self.length[v] >= window:
                 self.cut[v] = v if self.length[up] < window else self.cut[up]
         self.items: dict[int, set[int]] = {}
-        own: dict[int, list[tuple[int, int]]] = {}
-        for k, ids in enumerate(sequences):
-            for v, size in self.matches(ids):
+        own: dict[int, set[tuple[int, int]]] = {}
+        for k, (ids, least) in enumerate(zip(sequences, self.least, strict=True)):
+            for v, size in self._matches(ids):
                 if size >= window:
                     self.items.setdefault(self.cut[v], set()).add(k)
-            if len(ids) < window:
-                own.setdefault(v, []).append((len(ids), k))
-        for v in sorted(range(1, n), key=self.length.__getitem__):
-            self.short[v] = self.short[self.link[v]] + tuple(own.get(v, ()))
+                if least < window and size >= least:
+                    while self.length[self.link[v]] >= least:
+                        v = self.link[v]
+                    own.setdefault(v, set()).add((least, k))
+        for v in by_length:
+            up = self.short[self.link[v]]
+            self.short[v] = up + tuple(sorted(own[v])) if v in own else up
+
+    def _matches(self, ids: list[int]) -> Iterator[tuple[int, int]]:
+        """State and length at each word of an item."""
+        v = 0
+        for size, w in enumerate(ids, 1):
+            v = self.step[v][w]
+            yield v, size
 
-    def matches(self, ids: Iterable[int]) -> Iterator[tuple[int, int]]:
+    def arrays(self) -> list[np.ndarray]:
+        """The automaton as flat arrays, in the order in which ``MappedAutomaton`` takes them."""
+        import xxhash
+
+        n = len(self.length)
+        words = sorted((xxhash.xxh64_intdigest(w), w, i) for w, i in self.vocabulary.items())
+        root = np.zeros(len(words), dtype="<u4")
+        for w, v in self.step[0].items():
+            root[w] = v
+        first = [next(iter(s.items()), (len(words), 0)) if v else (len(words), 0) for v, s in enumerate(self.step)]
+        more = sorted((v << 32 | w, q) for v, s in enumerate(self.step) if v for w, q in s.items() if w != first[v][0])
+        known: dict[tuple, int] = {}
+        short_of = [known.setdefault(x, len(known)) for x in self.short]
+        cuts = sorted(self.items)
+        of = [sorted(self.items[v]) for v in cuts]
+        number = lambda x, kind="<u4": np.array(list(x), dtype=kind)
+        edges = lambda lists: np.cumsum([0, *map(len, lists)]).astype("<u4")
+        return [
+            number([self.window, min([self.window, *self.least])]),
+            number((h for h, _, _ in words), "<u8"), number(i for _, _, i in words), edges([w for _, w, _ in words]), np.frombuffer(b"".join(w for _, w, _ in words), dtype="<u1"),
+            number([0, *self.link[1:]]), number(self.length), root,
+            number(w for w, _ in first), number(q for _, q in first), number((len(s) > 1 for s in self.step), "<u1"), number((k for k, _ in more), "<u8"), number(q for _, q in more),
+            number(np.searchsorted(cuts, c) if c >= 0 else len(cuts) for c in self.cut), edges(of), number(k for o in of for k in o),
+            number(short_of[:n]), edges(known), number(m for x in known for m, _ in x), number(k for x in known for _, k in x),
+            np.frombuffer(pickle.dumps(self.names), dtype="<u1"),
+        ]
+
+
+class MappedAutomaton:
+    """An automaton read from its mapped arrays."""
+
+    def __init__(self, arrays: list[np.ndarray]) -> None:
+        limits, self.hashes, self.ids, self.word_edges, self.words = arrays[:5]
+        self.window, self.shortest = limits.tolist()
+        # Views with native items: the cheapest access by place.
+        rest = [a.data for a in arrays[5:-1]]
+        self.link, self.length, self.root, self.one_word, self.one_state, self.branches, self.more, self.more_state, self.cut, self.item_edges, self.item, self.short, self.short_edges, self.short_words, self.short_item = rest
+        self.names = pickle.loads(arrays[-1].tobytes())
+
+    def numbers(self, words: Iterable[bytes]) -> dict[bytes, int]:
+        """The numbers of those words that the items have; hashes find them, bytes confirm."""
+        import xxhash
+
+        words = list(words)
+        if not len(self.hashes) or not words:
+            return {}
+        wanted = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype="<u8")
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        found = {}
+        for i in np.flatnonzero(self.hashes[at] == wanted).tolist():
+            j = int(at[i])
+            while j < len(self.hashes) and self.hashes[j] == wanted[i]:
+                if self.words[self.word_edges[j] : self.word_edges[j + 1]].tobytes() == words[i]:
+                    found[words[i]] = int(self.ids[j])
+                j += 1
+        return found
+
+    def matches(self, ids: list[int]) -> Iterator[tuple[int, int]]:
         """State and length of the longest match that ends at each word."""
+        link, length, root, one_word, one_state, branches, more, more_state = self.link, self.length, self.root, self.one_word, self.one_state, self.branches, self.more, self.more_state
         v = size = 0
-        step, link, length = self.step, self.link, self.length
         for w in ids:
-            while v and w not in step[v]:
+            while v:
+                if one_word[v] == w:
+                    v = one_state[v]
+                    break
+                if branches[v]:
+                    key = v << 32 | w
+                    j = bisect_left(more, key)
+                    if j < len(more) and more[j] == key:
+                        v = more_state[j]
+                        break
                 v = link[v]
                 size = length[v]
-            if w in step[v]:
-                v = step[v][w]
-                size += 1
+            else:
+                v = root[w]
+            size = size + 1 if v else 0
             yield v, size
 
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Word spans (first, past last; merged) covered by windows, and the items that have those."""
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, -1) for w in words), dtype=np.int32, count=len(words))
+    def hits(self, words: list[bytes], numbers: dict[bytes, int]) -> tuple[list[tuple[int, int]], set[int]]:
+        """Word spans (first, past last; merged) of hits, and the items that have them."""
+        ids = np.fromiter((numbers.get(w, -1) for w in words), dtype=np.int32, count=len(words))
         edges = np.flatnonzero(np.diff(np.concatenate([[0], (ids >= 0).view(np.int8), [0]])))
         spans: list[tuple[int, int]] = []
         found: set[int] = set()
@@ -131,11 +213,13 @@ class SuffixAutomaton:
                 reach = 0
                 if size >= self.window:
                     reach = self.window
-                    found |= self.items[self.cut[v]]
-                for m, k in self.short[v]:
-                    if m <= size:
+                    c = self.cut[v]
+                    found.update(self.item[self.item_edges[c] : self.item_edges[c + 1]])
+                s = self.short[v]
+                for j in range(self.short_edges[s], self.short_edges[s + 1]):
+                    if (m := self.short_words[j]) <= size:
                         reach = max(reach, m)
-                        found.add(k)
+                        found.add(self.short_item[j])
                 if reach:
                     first = i - reach
                     while spans and spans[-1][1] >= first:
@@ -164,7 +248,7 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def build_blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_chars: int) -> list[str]:
+def build_blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_chars: int, coverage: float = COVERAGE) -> list[str]:
     """Automata of all items in the shared folder, one file for each block of items."""
     spark = items.sparkSession
     rows = items.select(F.col(id_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -174,16 +258,16 @@ def build_blocks(items: DataFrame, id_col: str, text_col: str, window: int, bloc
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         path = f"{folder}/{key[0]}.bin"
-        put_file(path, pickle.dumps(SuffixAutomaton([(i, t.encode()) for i, t in zip(rows["item"], rows["text"], strict=True)], window)))
+        put_arrays(path, SuffixAutomaton([(i, t.encode()) for i, t in zip(rows["item"], rows["text"], strict=True)], window, coverage).arrays())
         return pd.DataFrame({"path": [path]})
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
     return sorted(r.path for r in dealt.groupBy("block").applyInPandas(build, "path string").collect())
 
 
-@functools.lru_cache(maxsize=1)
-def load_block(path: str) -> SuffixAutomaton:
-    return pickle.loads(map_file(path))
+@functools.lru_cache(maxsize=64)
+def load_block(path: str) -> MappedAutomaton:
+    return MappedAutomaton(map_arrays(path))
 
 
 NEW = "n_words long, n_hit long, items array<{item}>, spans array<struct<first:int,past:int>>, clean_text string"
@@ -197,12 +281,13 @@ def decontaminate(
     item_text: str = "text",
     window: int = WINDOW,
     block_chars: int = BLOCK_CHARS,
+    coverage: float = COVERAGE,
 ) -> DataFrame:
     """``docs`` with word counts, the items found, word spans, and the text without these spans.
 
-    A span is what windows cover: it is as long as the window at least, or covers a short item whole.
+    A span is what hits cover: runs of the window's words, or of the share ``coverage`` of an item.
     """
-    blocks = build_blocks(items, item_id, item_text, window, block_chars)
+    blocks = build_blocks(items, item_id, item_text, window, block_chars, coverage)
     kind = items.schema[item_id].dataType
     new = NEW.format(item=kind.simpleString())
     names = ["n_words", "n_hit", "items", "spans", "clean_text"]
@@ -212,12 +297,14 @@ def decontaminate(
         for rb in batches:
             texts = text_bytes(rb, text_col)
             split = [words_of(t) for t in texts]
+            different = set().union(*split)
             spans: list[list] = [[] for _ in texts]
             found: list[set] = [set() for _ in texts]
             for path in blocks:
                 automaton = load_block(path)
+                numbers = automaton.numbers(different)
                 for i, words in enumerate(split):
-                    s, f = automaton.hits(words)
+                    s, f = automaton.hits(words, numbers)
                     if s:
                         spans[i] += s
                         found[i] |= {automaton.names[k] for k in f}

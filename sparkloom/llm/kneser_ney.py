@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.shared import map_arrays, mix, pack, put_arrays, scratch, sharded, short_batches, text_bytes, unpack
+from sparkloom.llm.shared import MappedFolder, mix, pack, put_arrays, scratch, sharded, short_batches, text_bytes, unpack
 
 ORDER = 2
 #: Training bytes for one shard, and tokens that a worker counts before it sends blocks.
@@ -131,6 +131,8 @@ def _stats(count: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 ROW = "kind string, shard int, level int, block binary"
+#: Of an order: n-grams with count 1 to 4, all, their counts, tokens, and n-grams with count 3 or more.
+SUMS = ("n1", "n2", "n3", "n4", "n", "total", "tokens", "n3_up")
 
 
 def _level(folder: str, level: int, hot: np.ndarray, shards: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
@@ -255,9 +257,16 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, shard_byt
     rows = texts.mapInArrow(count, ROW)
     for level in range(order, 0, -1):
         rows = rows.groupBy("kind", "shard").applyInPandas(_level(folder, level, hot, shards), ROW)
+
+    def opened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            own = [[int(c[0]) for c in unpack(b, 8)] for b in rb.column("block").to_pylist()]
+            yield pa.RecordBatch.from_arrays([rb.column("level"), *(pa.array([o[i] for o in own], pa.int64()) for i in range(8))], names=["level", *SUMS])
+
+    added = rows.select("level", "block").mapInArrow(opened, ", ".join(["level int", *(f"{c} long" for c in SUMS)])).groupBy("level").agg(*[F.sum(c).alias(c) for c in SUMS])
     sums = [np.zeros(8, dtype=np.int64) for _ in range(order)]
-    for r in rows.select("level", "block").collect():
-        sums[r.level - 1] += np.array([int(c[0]) for c in unpack(bytes(r.block), 8)])
+    for r in added.collect():
+        sums[r.level - 1] += np.array([r[c] for c in SUMS])
     words = sums[0]
     return Model(folder, order, shards, hot, int(words[6]), int(words[4]), int(words[5]), (int(words[0]), int(words[1]), int(words[7])), tuple(discounts(*map(int, s[:4])) for s in sums))
 
@@ -269,15 +278,7 @@ class Reader:
     """A model's mapped files in one worker."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.files = model, {}
-
-    def _file(self, name: str) -> list[np.ndarray] | None:
-        if name not in self.files:
-            try:
-                self.files[name] = map_arrays(f"{self.model.folder}/{name}.bin")
-            except FileNotFoundError:
-                self.files[name] = None  # a shard without rows
-        return self.files[name]
+        self.model, self._file = model, MappedFolder(model.folder).get
 
     @staticmethod
     def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

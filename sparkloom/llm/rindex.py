@@ -11,18 +11,23 @@ a document with a smaller id, and cuts those bytes out.
 2. A shard of anchors tells, for each anchor, which documents repeat a whole context of a smaller
    document (covered), and which share the anchor with other contexts only (to be compared).
 3. The contexts to be compared, and only those, go to their shard as bytes.  There a run-length
-   BWT with samples at both ends of its runs is built over the different contexts, these are
-   streamed through it for matching statistics, and places with a match of ``length`` bytes or
-   more whose string has a smaller document are covered.
+   BWT with samples at both ends of its runs is built over the different contexts, beside the
+   ranges of its rows that start with one recurring string of ``length`` bytes and the smallest
+   document of each.  All contexts are streamed through it for matching statistics; a match of
+   ``length`` bytes or more ends in a row, and the range of that row tells whether a smaller
+   document has the string.  Which rows belong together comes from the ranks of the suffix sort,
+   so bytes are compared and not hashes of them.
 4. A last pass merges the spans of each document and cuts them.
 
 Steps 2 and 3 leave their spans in sorted files in the shared folder, which the next pass maps;
-texts are never shuffled.  Contexts count as equal when 64 bits of the anchor and 48 of the
-context agree, windows in step 3 when the search finds them and 64 bits agree.
+texts are never shuffled.  Contexts count as equal in step 2 when 64 bits of the anchor and 48 of
+the context agree.
 
 Defined results: null text is an empty text, which keeps nothing and loses nothing.  Documents
-of one id never cover one another.  A null id is larger than all others.  Strings do not cross
-documents.  Empty tables give empty results; extra columns are ignored.
+of one id never cover one another; of those, rows whose texts agree in 32 bits of their hash are
+taken for repeated rows.  A null id is larger than all others (and equal to the largest long).
+Ids that are not whole numbers are numbered in their order first, which takes a join on the id.
+Strings do not cross documents.  Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +39,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkloom.llm.shared import map_arrays, mix, pack, put_arrays, scratch, sharded, short_batches, text_bytes, unpack
+from sparkloom.llm.shared import MappedFolder, mix, pack, put_arrays, scratch, sharded, short_batches, text_bytes, unpack, unused, written
 
 LENGTH, ANCHOR = 50, 20
 #: Text bytes for one shard, bytes hashed at once, bytes whose anchors are counted together.
@@ -49,9 +55,12 @@ _BYTE = mix(np.arange(1, 257, dtype="<u8") * _ODD)
 # ---------------------------------------------------------------- the index
 
 
-def suffix_array(codes: np.ndarray, strings: bool = False) -> np.ndarray:
+def suffix_array(codes: np.ndarray, strings: bool = False, depth: int = 0) -> tuple[np.ndarray, np.ndarray | None, int]:
     """Suffix array by prefix doubling; the first seven codes (below 257) are sorted at once.
 
+    Beside it the ranks of all suffixes by their first ``d`` codes, and ``d``: the largest of the
+    compared lengths that is not over ``depth`` (none if suffixes differ before).
+
     With ``strings``, zeros end strings and all differ, the earlier the smaller: suffixes are
     compared up to their first zero and then by place, so sorting is whole as soon as the
     compared depth is over the longest string.
@@ -65,14 +74,16 @@ def suffix_array(codes: np.ndarray, strings: bool = False) -> np.ndarray:
         key = key * 258 + np.where(ended, 0, own)
         if strings:
             ended |= own == 1
-    step = 7
+    step, ranks, ranked_by = 7, None, 0
     order = np.argsort(key, kind="stable")
     while True:
         ranked = key[order]
         new = np.empty(n, dtype=np.int64)
         new[order] = np.cumsum(np.concatenate([[0], ((ranked[1:] != ranked[:-1]) | ended[order[1:]]).astype(np.int64)])[:n])
         if n == 0 or new[order[-1]] == n - 1:
-            return order
+            return order, ranks, ranked_by
+        if step <= depth:
+            ranks, ranked_by = new, step
         ended[:] = False  # such suffixes have ranks of their own by now
         after = np.zeros(n, dtype=np.int64)
         if step < n:
@@ -91,9 +102,9 @@ class RunLengthIndex:
     no suffix need be sorted deeper than its string.
     """
 
-    def __init__(self, codes: np.ndarray, longest: int | None = None) -> None:
+    def __init__(self, codes: np.ndarray, longest: int | None = None, owner: np.ndarray | None = None, length: int = 0) -> None:
         n = len(codes)
-        sa = suffix_array(codes, longest is not None)
+        sa, ranks, depth = suffix_array(codes, longest is not None, length)
         bwt = codes[sa - 1]  # of the first suffix: the last code, a separator
         start = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
         end = np.append(start[1:], n) - 1
@@ -102,7 +113,6 @@ class RunLengthIndex:
         self.first_sample, self.last_sample = sa[start], sa[end]
         size = end - start + 1
         self.end = end
-        self.run_of = np.repeat(np.arange(len(start), dtype=np.int32), size)  # of each row
         by_head = np.argsort(self.head, kind="stable")
         # Where the last-to-first mapping sends the first row of each run.
         self.to = np.empty(len(start), dtype=np.int64)
@@ -111,9 +121,47 @@ class RunLengthIndex:
         self.keys = self.head[by_head] * self.runs + by_head
         self.by_head = by_head
         self.origin = int(sa[0])
+        if owner is not None:
+            self._repeats(sa, ranks, depth, owner, length)
+
+    def _repeats(self, sa: np.ndarray, ranks: np.ndarray | None, depth: int, owner: np.ndarray, length: int) -> None:
+        """The rows that start with one string of ``length`` codes, for strings that recur, and the least owner of each.
+
+        Such rows are neighbours; two neighbours have the same ``length`` codes if both their
+        first ``depth`` and their last ``depth`` of these have equal ranks.
+        """
+        none = np.zeros(0, dtype=np.int64)
+        self.from_row, self.to_row, self.least = none, none, none.astype(owner.dtype)
+        if ranks is None or 2 * depth < length:
+            return
+        same = np.flatnonzero(ranks[sa[1:]] == ranks[sa[:-1]])
+        further = length - depth
+        a, b = sa[same] + further, sa[same + 1] + further
+        ok = (a < self.n) & (b < self.n)
+        same = same[ok][ranks[a[ok]] == ranks[b[ok]]]
+        if len(same):
+            first = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1] + 1]))
+            last = np.append(first[1:], len(same)) - 1
+            self.from_row, self.to_row = same[first], same[last] + 1
+            size = self.to_row - self.from_row + 1
+            at = np.cumsum(size) - size
+            rows = np.repeat(self.from_row - at, size) + np.arange(size.sum())
+            self.least = np.minimum.reduceat(owner[sa[rows]], at)
+
+    def least_owner(self, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The least owner of the string at each row, or ``own`` where it does not recur."""
+        if not len(self.from_row):
+            return own
+        at = np.searchsorted(self.from_row, rows, "right") - 1
+        inside = (at >= 0) & (rows <= self.to_row[at])
+        return np.where(inside, self.least[at], own)
 
     def matching_statistics(self, queries: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Length of the longest match from each place, and a text position where it occurs.
+        """Length of the longest match from each place, and a text position where it occurs."""
+        return self.stream(queries, sizes)[:2]
+
+    def stream(self, queries: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Length of the longest match from each place, a text position where it occurs, and the row of that suffix.
 
         ``queries``: codes, one row for each query, aligned at the right; ``sizes``: their lengths.
         Codes run from right to left through the last-to-first mapping; at a mismatch the search
@@ -121,7 +169,7 @@ class RunLengthIndex:
         """
         m, width = queries.shape
         length = np.zeros((m, width), dtype=np.int32)
-        place = np.zeros((m, width), dtype=np.int64)
+        place, rows = np.zeros((2, m, width), dtype=np.int64)
         row = np.zeros(m, dtype=np.int64)
         text = np.full(m, self.origin, dtype=np.int64)
         size = np.zeros(m, dtype=np.int64)
@@ -130,7 +178,7 @@ class RunLengthIndex:
             if not len(live):
                 break
             c = queries[live, i].astype(np.int64)
-            run = self.run_of[row[live]]
+            run = np.searchsorted(self.start, row[live], "right") - 1
             same = self.head[run] == c
             at = live[same]
             row[at] = self.to[run[same]] + row[at] - self.start[run[same]]
@@ -138,8 +186,8 @@ class RunLengthIndex:
             size[at] += 1
             if not same.all():
                 self._jump(queries, i, live[~same], c[~same], run[~same], row, text, size)
-            length[live, i], place[live, i] = size[live], text[live]
-        return length, place
+            length[live, i], place[live, i], rows[live, i] = size[live], text[live], row[live]
+        return length, place, rows
 
     def _jump(self, queries: np.ndarray, i: int, at: np.ndarray, c: np.ndarray, run: np.ndarray, row: np.ndarray, text: np.ndarray, size: np.ndarray) -> None:
         j = np.searchsorted(self.keys, c * self.runs + run)
@@ -264,10 +312,10 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _tags(texts: list[bytes]) -> np.ndarray:
-    """Sixteen bits of each text, to tell rows of one id apart."""
+    """Bits of each text, to tell rows of one id apart."""
     import xxhash
 
-    return np.array([xxhash.xxh32_intdigest(t) & 0xFFFF for t in texts], dtype="<u8")
+    return np.array([xxhash.xxh32_intdigest(t) for t in texts], dtype="<u8")
 
 
 def _key(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
@@ -320,16 +368,11 @@ class Spans:
     """Reads what ``_store`` wrote."""
 
     def __init__(self, folder: str, name: str, shards: int) -> None:
-        self.folder, self.name, self.shards, self.files = folder, name, shards, {}
+        self.files, self.name, self.shards = MappedFolder(folder), name, shards
 
     def of(self, number: np.uint64, key: np.uint64) -> list[np.ndarray] | None:
         s = int(mix(np.array([number]))[0] % np.uint64(self.shards))
-        if s not in self.files:
-            try:
-                self.files[s] = map_arrays(f"{self.folder}/{self.name}-{s}.bin")
-            except FileNotFoundError:
-                self.files[s] = None
-        f = self.files[s]
+        f = self.files.get(f"{self.name}-{s}")
         if f is None:
             return None
         at = int(np.searchsorted(f[0], key))
@@ -405,28 +448,19 @@ def repeated_windows(contexts: list[bytes], left: np.ndarray, ids: np.ndarray, l
     width = int(size.max())
     codes = np.zeros(len(text) + len(use), dtype=np.uint16)  # zero ends each context
     codes[np.arange(len(text)) + np.repeat(np.arange(len(use)), size)] = text.astype(np.uint16) + 1
-    index = RunLengthIndex(codes, width)
     begin = first + np.arange(len(use))
-    # The smallest document of each different window, by its places in the indexed text.
-    starts = np.concatenate([b + np.arange(max(0, n - length + 1)) for b, n in zip(begin.tolist(), size.tolist(), strict=True)])
-    owner = np.repeat(np.array(use), np.maximum(0, size - length + 1))
-    smallest = np.full(len(codes), ~np.uint64(0))
-    up, down = _powers(len(codes))
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, dtype="<u8"), np.cumsum(mix(codes.astype("<u8") * _ODD) * up[: len(codes)])])
-        by = mix((total[starts + length] - total[starts]) * down[starts])
-    order = np.lexsort((least[owner], by))
-    edge = np.concatenate([[True], by[order][1:] != by[order][:-1]])
-    smallest[starts[order]] = least[owner[order]][np.flatnonzero(edge)][np.cumsum(edge) - 1]
+    owner = least[np.array(use)]
+    index = RunLengthIndex(codes, width, np.repeat(owner, size + 1), length)
     out_of, out_at = [], []
     for k in range(0, len(use), 1 << 14):
         part = np.arange(k, min(k + (1 << 14), len(use)))
         queries = np.zeros((len(part), width), dtype=np.uint16)
         for row, i in enumerate(part.tolist()):
             queries[row, width - size[i] :] = codes[begin[i] : begin[i] + size[i]]
-        match, place = index.matching_statistics(queries, size[part])
+        match, _, rows = index.stream(queries, size[part])
         q, at = np.nonzero(match >= length)
-        older = smallest[place[q, at]] < least[np.array(use)[part[q]]]
+        own = owner[part[q]]
+        older = index.least_owner(rows[q, at], own) < own
         out_of.append(np.array(use)[part[q[older]]])
         out_at.append(at[older] - (width - size[part[q[older]]]))
     covered_of, covered_at = np.concatenate(out_of), np.concatenate(out_at)
@@ -549,8 +583,27 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return folder, shards
 
 
+def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with a long column that orders rows as their ids do (null for null), and its name.
+
+    Ids are sorted over ranges, where rows have numbers in ascending order; the numbers are written
+    before use, as a second run of the sort might number otherwise.
+    """
+    (number,) = unused(docs.columns, "number")
+    ids = docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct().orderBy("id")
+    ids = written(ids.select("id", F.monotonically_increasing_id().alias(number)), "ids")
+    return docs.join(ids, F.col(id_col) == F.col("id"), "left").drop("id"), number
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``id_col``, n_bytes, spans (first and past last byte, merged), kept (the other bytes)."""
+    docs = docs.select(id_col, text_col)
+    if not isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        docs, number = numbered(docs, id_col)
+        found = remove_repeats(docs, number, text_col, length, anchor, shard_bytes)
+        names = docs.select(number, F.col(id_col).alias("own")).distinct()
+        found = found.withColumnRenamed(number, "number")
+        return found.join(names.withColumnRenamed(number, "of"), F.col("number").eqNullSafe(F.col("of"))).select(F.col("own").alias(id_col), "n_bytes", "spans", "kept")
     folder, shards = repeated_spans(docs, id_col, text_col, length, anchor, shard_bytes)
     reach = length - anchor
 

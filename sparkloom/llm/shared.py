@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import mmap
 import os
+import re
+import sys
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch; texts are long, so batches must be short to bound a worker's memory.
 BATCH_ROWS = 256
+#: Files that one worker keeps mapped.
+MOST_MAPS = 2048
 
 
 def short_batches(spark: SparkSession) -> None:
@@ -30,13 +35,22 @@ def short_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), a temporary one."""
+    """The folder in ``spark.checkpoint.dir``, with its file system.
+
+    Where it is unset, a session of one machine (tests) gets a temporary folder; on a cluster that
+    is an error, as no folder of one machine would do.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="loom-")
         spark.conf.set("spark.checkpoint.dir", found)
-    if "://" not in found and not found.startswith("file:"):
-        found = "file://" + os.path.abspath(found)
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", found):  # a bare path lies on the default file system
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(found)
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return found.rstrip("/")
 
 
@@ -125,7 +139,7 @@ def map_file(path: str) -> memoryview:
     if local := _local(path):
         with open(local, "rb") as f:
             size = os.fstat(f.fileno()).st_size
-            return memoryview(mmap.mmap(f.fileno(), size, access=mmap.ACCESS_READ)) if size else memoryview(b"")
+            return _map(f.fileno(), size)
     from pyarrow import fs
 
     system, inner = fs.FileSystem.from_uri(path)
@@ -134,8 +148,15 @@ def map_file(path: str) -> memoryview:
             while block := source.read(1 << 22):
                 f.write(block)
         f.flush()
-        size = os.fstat(f.fileno()).st_size
-        return memoryview(mmap.mmap(f.fileno(), size, access=mmap.ACCESS_READ)) if size else memoryview(b"")
+        return _map(f.fileno(), os.fstat(f.fileno()).st_size)
+
+
+def _map(descriptor: int, size: int) -> memoryview:
+    """A read-only map that keeps no descriptor open (where Python can do without one)."""
+    if not size:
+        return memoryview(b"")
+    extra = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+    return memoryview(mmap.mmap(descriptor, size, access=mmap.ACCESS_READ, **extra))
 
 
 def put_arrays(path: str, arrays: list[np.ndarray]) -> None:
@@ -157,6 +178,31 @@ def map_arrays(path: str) -> list[np.ndarray]:
     return out
 
 
+class MappedFolder:
+    """The array files of a folder, mapped when first asked for; the least used maps are let go.
+
+    A process may have some ten thousand maps, so a worker holds ``MOST_MAPS`` at once at most.
+    """
+
+    def __init__(self, folder: str, most: int = MOST_MAPS) -> None:
+        self.folder, self.most = folder, most
+        self.files: OrderedDict[str, list[np.ndarray] | None] = OrderedDict()
+
+    def get(self, name: str) -> list[np.ndarray] | None:
+        """The arrays of a file, or None where no task had rows for it."""
+        if name in self.files:
+            self.files.move_to_end(name)
+            return self.files[name]
+        try:
+            found = map_arrays(f"{self.folder}/{name}.bin")
+        except FileNotFoundError:
+            found = None
+        self.files[name] = found
+        if len(self.files) > self.most:
+            self.files.popitem(last=False)
+        return found
+
+
 def sharded(shards: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard that has rows, with the positions of its rows in their order."""
     order = np.argsort(shards, kind="stable")

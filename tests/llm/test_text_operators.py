@@ -70,6 +70,43 @@ def test_repeats_equal_brute_force(docs, length, anchor, shard_bytes):
     assert got == brute_repeats(fixture_rows(), length)
 
 
+def test_repeats_with_ids_of_other_types(docs):
+    by_text = docs.withColumn("doc_id", docs.doc_id.cast("string"))
+    rows = [(None if i is None else str(i), t) for i, t, *_ in fixture_rows()]
+    order = {i: k for k, i in enumerate(sorted({i for i, _ in rows if i is not None}))}
+    want = {(n, b, s, k) for n, b, s, k in brute_repeats([(order.get(i), t) for i, t in rows], 50)}
+    got = {(order.get(r.doc_id), r.n_bytes, len(r.spans), bytes(r.kept)) for r in rindex.remove_repeats(by_text).collect()}
+    assert got == want and len(want) > 20
+    assert len(rindex.remove_repeats(by_text).collect()) == len(rows)
+
+
+def test_maps_are_let_go(tmp_path):
+    from sparkloom.llm.shared import MappedFolder, put_arrays
+
+    for i in range(40):
+        put_arrays(f"file://{tmp_path}/{i}.bin", [np.arange(i + 1, dtype="<u8")])
+    folder = MappedFolder(f"file://{tmp_path}", most=5)
+    for i in [*range(40), 3, 39, 41]:
+        found = folder.get(str(i))
+        assert (found is None) if i > 39 else (found[0].tolist() == list(range(i + 1)))
+        assert len(folder.files) <= 5
+    with open("/proc/self/maps") as f:
+        assert sum(str(tmp_path) in line for line in f) <= 6
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from sparkloom.llm import shared
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(cluster)
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: "/some/folder/"), sparkContext=spark.sparkContext)
+    assert shared.shared_dir(named) == "file:/some/folder"
+
+
 def test_repeats_in_pieces(monkeypatch):
     rng = random.Random(1)
     text = bytes(rng.choice(b"abcdef") for _ in range(5000))
@@ -269,6 +306,40 @@ def test_decontamination_equals_brute_force(spark, docs, window, block):
     assert len(word.findall(lower(clean.clean_text))) == clean.n_words - clean.n_hit
 
 
+@pytest.mark.parametrize("coverage", [0.3, 0.5, 0.9])
+def test_coverage_limit_equals_brute_force(spark, coverage):
+    rng = random.Random(12)
+    some = lambda n: [rng.choice("abcdefgh") for _ in range(n)]
+    items = [some(rng.choice([1, 2, 5, 8, 12, 30])) for _ in range(25)]
+    texts = [some(rng.randint(0, 40)) + rng.choice(items)[: rng.randint(0, 30)] + ["zz"] * (k % 2) + some(5) for k in range(120)]
+    want = []
+    for k, w in enumerate(texts):
+        hit, found = set(), set()
+        for j, v in enumerate(items):
+            n = min(10, max(1, math.ceil(coverage * len(v) - 1e-9)))
+            wins = {tuple(v[s : s + n]) for s in range(len(v) - n + 1)}
+            wins |= {tuple(v[s : s + 10]) for s in range(len(v) - 9)}
+            for n in {len(x) for x in wins}:
+                for s in range(len(w) - n + 1):
+                    if tuple(w[s : s + n]) in wins:
+                        hit |= set(range(s, s + n))
+                        found.add(j)
+        want.append((k, len(hit), sorted(found)))
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    table = spark.createDataFrame([(j, " ".join(v)) for j, v in enumerate(items)], "item_id long, text string")
+    assert by_row(decontaminate.decontaminate(docs, table, coverage=coverage, block_chars=60), "doc_id", "n_hit", "items") == sorted(want, key=repr)
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
+    item = [word() for _ in range(60)]
+    text = [word() for _ in range(200_000)]
+    text[50_000:50_030], text[199_980:] = item[10:40], item[-20:]
+    out = decontaminate.decontaminate(spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string"), spark.createDataFrame([("x", " ".join(item))], "item_id string, text string")).first()
+    assert (out.n_words, out.n_hit, out["items"]) == (200_000, 50, ["x"]) and [tuple(s) for s in out.spans] == [(50_000, 50_030), (199_980, 200_000)]
+
+
 # ---------------------------------------------------------------- BPE
 
 
