@@ -87,9 +87,9 @@ def chart_heatmap(spark, d):
     return out.select("o_orderstatus", *[F.round(F.col(f"`{p}`"), 4).alias(f"p{p[0]}") for p in PRIORITIES])
 
 
-@query("SELECT event_type, ts, value FROM events WHERE user_id < 20")
+@query("SELECT event_type, ts, value FROM events")
 def chart_line(spark, d):
-    return chart.line(table(spark, d, "events").filter("user_id < 20"), "ts", "value", "event_type")
+    return chart.line(table(spark, d, "events"), "ts", "value", "event_type")
 
 
 @query("""WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events), c AS (SELECT CAST(least(floor((value - lo) * 20 / (hi - lo)), 19) AS INTEGER) AS bin, count(*) AS n FROM events, e GROUP BY 1)

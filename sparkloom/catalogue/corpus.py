@@ -47,10 +47,10 @@ def dedupe_keep_first(spark, d):
     return corpus.keep_first(table(spark, d, "documents").select("text", "lang", "doc_id"), ["text", "lang"], ["doc_id"])
 
 
-@query("""WITH f AS (SELECT DISTINCT o_custkey AS c, o_orderpriority AS p FROM orders WHERE o_custkey <= 200), a AS (SELECT c, 'img' || c AS img, p AS data, CAST(NULL AS VARCHAR) AS label FROM f WHERE p < '3'),
+@query("""WITH f AS (SELECT DISTINCT o_custkey AS c, o_orderpriority AS p FROM orders), a AS (SELECT c, 'img' || c AS img, p AS data, CAST(NULL AS VARCHAR) AS label FROM f WHERE p < '3'),
 l AS (SELECT c, 'img' || c AS img, p AS data, 'L' || p AS label FROM f) SELECT 'main:' || c AS figure_key, img, data, min(CASE WHEN data < '3' THEN NULL ELSE label END) AS label FROM (SELECT * FROM a UNION ALL SELECT * FROM l) GROUP BY 1, 2, 3""")
 def figure_pairs(spark, d):
-    f = table(spark, d, "orders").filter("o_custkey <= 200").select(F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("data")).distinct()
+    f = table(spark, d, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("data")).distinct()
     figures = f.select(F.concat(F.lit("main:"), "c").alias("figure_key"), F.concat(F.lit("img"), "c").alias("img")).distinct()
     low = f.filter("data < '3'")
     anchors = low.select(F.concat(F.lit("main:"), "c").alias("figure_key"), F.concat_ws("-", "c", "data").alias("anchor"))
