@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.session import safe_unions
+
 NUMERIC = ("double", "float", "decimal", "long", "bigint", "integer", "int", "short", "byte")
 
 
@@ -14,6 +16,7 @@ def _is_numeric(df: DataFrame, column: str) -> bool:
 
 def normalised(df: DataFrame, digits: int = 6) -> DataFrame:
     """Columns by name, numbers as rounded doubles (NaN missing, no negative zero)."""
+    safe_unions(df.sparkSession)  # normalised frames are compared by exceptAll
     out: list[Column] = []
     for c in sorted(df.columns):
         v = F.col(f"`{c}`")
@@ -84,6 +87,7 @@ def new_errors(before: set[str], after: set[str]) -> set[str]:
 
 def multiset_differs(a: DataFrame, b: DataFrame, column_a: str, column_b: str, digits: int = 4) -> Column:
     """As a column: whether two columns hold different multisets of values, by counts of rounded values."""
+    safe_unions(a.sparkSession)
     one = lambda d, c, s: d.select(F.round(F.col(c).cast("double"), digits).alias("v"), F.lit(s).alias("s"))
     counts = one(a, column_a, 1).unionByName(one(b, column_b, -1)).groupBy("v").agg(F.sum("s").alias("d")).filter("d <> 0")
     return counts.agg(F.count(F.lit(1))).scalar() > 0

@@ -12,13 +12,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from sparkloom.compare import multiset_differs, normalised, scalar_cell, signature, subset_equal
 from sparkloom.functions.expressions import close, normal_key
+from sparkloom.operators import ordered
 from sparkloom.operators.transforms import OPERATORS
 from sparkloom.params import Inputs, MissingRole, Params, listed
+from sparkloom.session import safe_unions
 
 Contract = Callable[[Inputs, Params, DataFrame], Column]
 CONTRACTS: dict[str, Contract] = {}
@@ -267,8 +269,10 @@ def scale_before_split_leakage(i, p, r):
 def lookahead_return(i, p, r):
     out, price, order = _out(p, "lookahead_return"), p["price"], listed(p["order"])
     _need(r, out, price, *order)
-    w = Window.partitionBy(*listed(p.get("group"))).orderBy(*order)
-    pairs = r.select(F.col(out).alias("o"), (F.try_divide(F.col(price), F.lag(price).over(w)) - 1).alias("e")).filter("e is not null")
+    groups = listed(p.get("group"))
+    plain = groups or r.schema[order[0]].dataType.typeName() in ("string", "binary", "boolean")
+    back = r.withColumn("__back", F.lag(price).over(Window.partitionBy(*groups).orderBy(*order))) if plain else ordered.lagged(r, price, order, "__back")
+    pairs = back.select(F.col(out).alias("o"), (F.try_divide(F.col(price), F.col("__back")) - 1).alias("e")).filter("e is not null")
     return _one(pairs, F.coalesce(F.bool_or(~F.coalesce(F.abs(F.col("o") - F.col("e")) <= 1e-6, F.lit(False))), F.lit(False)))
 
 
@@ -305,6 +309,7 @@ def applicable(name: str, inputs: Inputs, params: Params) -> bool:
 def verdict(name: str, inputs: Inputs, params: Params, result: DataFrame | None, level: str = "reference") -> DataFrame:
     """One lazy row.  Abstains (``applicable`` false) where the gate says so or a column is absent."""
     spark = inputs["df"].sparkSession
+    safe_unions(spark)
 
     def row(ok: bool, fired: Column | bool | None, reason: str | None) -> DataFrame:
         fired = fired if isinstance(fired, Column) else F.lit(fired)
@@ -335,21 +340,51 @@ def verdicts(cases: list[tuple[str, Inputs, Params, DataFrame | None]], level: s
     return reduce(DataFrame.unionByName, [verdict(*c, level=level) for c in cases])
 
 
+def evaluated(cases: list[tuple[str, Inputs, Params, DataFrame | None]], level: str = "reference") -> list[Row]:
+    """The verdicts as rows.  If their one action fails, each is run alone, and one that fails has fired."""
+    try:
+        return verdicts(cases, level).collect()
+    except Exception:
+        return [_alone(c, level) for c in cases]
+
+
+def _alone(case: tuple[str, Inputs, Params, DataFrame | None], level: str) -> Row:
+    try:
+        return verdict(*case, level=level).first()
+    except Exception as e:  # an error at run time is a fire
+        return Row(contract=case[0], applicable=True, fired=True, reason=str(e)[:60])
+
+
 def family(inputs: Inputs, result: DataFrame) -> str:
     """Row-keeping operators leave the number of rows; the others reduce it."""
     sides = inputs["df"].agg(F.count(F.lit(1)).alias("a")).select("a", result.agg(F.count(F.lit(1))).scalar().alias("b")).first()
     return "row" if sides.a == sides.b else "group"
 
 
+def has_unit_column(result: DataFrame) -> bool:
+    """Whether some number of the result stays in [0, 1] and is not only 0 and 1, as a rank in per cent does."""
+    numeric = [c for c, t in result.dtypes if t in ("double", "float", "bigint", "int", "smallint", "tinyint") or t.startswith("decimal")]
+    if not numeric:
+        return False
+    v = {c: F.nullif(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in numeric}
+    tests = [F.coalesce(F.min(x).between(-1e-9, 1 + 1e-9) & F.max(x).between(-1e-9, 1 + 1e-9) & F.bool_or((x != 0) & (x != 1)), F.lit(False)) for x in v.values()]
+    return any(result.agg(*[t.alias(f"c{i}") for i, t in enumerate(tests)]).first())
+
+
 def run_all(inputs: Inputs, params_of: dict[str, Params], result: DataFrame, prune: bool = True) -> dict[str, bool]:
-    """Which contracts fire; shape mismatches count as abstaining.  Pruned to the result's family."""
+    """Which contracts fire; shape mismatches count as abstaining.
+
+    Pruned to the result's family: rows kept or reduced, and no rank in per cent without such a column.
+    """
     names = [n for n in params_of if n in CONTRACTS]
     if prune:
         kind = family(inputs, result)
         names = [n for n in names if n not in OPERATORS or OPERATORS[n].family == kind]
+        if "rank_pct" in names and not has_unit_column(result):
+            names.remove("rank_pct")
     if not names:
         return {}
-    rows = verdicts([(n, inputs, params_of[n], result) for n in names]).collect()
+    rows = evaluated([(n, inputs, params_of[n], result) for n in names])
     return {r.contract: bool(r.fired) for r in rows if r.applicable and r.reason != "shape"}
 
 
@@ -369,7 +404,7 @@ def candidate_verdict(inputs: Inputs, params: Params, name: str, correct: DataFr
     """Whether a contract earns its place: fires on the slip, silent on every right form."""
     if subset_equal(slip, correct):
         return "NOT-SILENT"
-    rows = verdicts([(name, inputs, params, r) for r in (slip, correct, *alternates)]).collect()
+    rows = evaluated([(name, inputs, params, r) for r in (slip, correct, *alternates)])
     fired = [bool(r.fired) for r in rows]
     if rows[0].reason not in ("invariant", "shape"):
         return "ERROR"
@@ -394,8 +429,7 @@ def probes(result: DataFrame, order: list[str]) -> dict[str, DataFrame]:
     """Metamorphic changes of a right result that a contract should notice."""
     numeric = [c for c, t in result.dtypes if t in ("double", "float", "bigint", "int")]
     last = numeric[-1]
-    w = Window.orderBy(*order)
-    numbered = result.withColumn("__n", F.row_number().over(w))
+    numbered = ordered.numbered(result, order, "__n")
     top = result.agg(F.count(F.lit(1))).scalar()
     back = numbered.select((top + 1 - F.col("__n")).alias("__n"), F.col(last).alias("__v"))
     return {

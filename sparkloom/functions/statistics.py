@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.expressions import wilson
+from sparkloom.operators import ordered
 
 # Patterns that tag code with a family of operators, in order.
 FAMILIES = {
@@ -67,7 +68,7 @@ def prevalence(df: DataFrame, code: str) -> DataFrame:
 def even_stride(df: DataFrame, order: list[str], keep: int) -> DataFrame:
     """Rows at the places int(j N / keep) of N, in order; all rows if there are no more."""
     n = df.agg(F.count(F.lit(1)).cast("long")).scalar()
-    numbered = df.withColumn("__p", F.row_number().over(Window.orderBy(*order)) - 1)
+    numbered = ordered.numbered(df, order, "__p").withColumn("__p", F.col("__p") - 1)
     at = F.ceil(F.col("__p") * keep / n).cast("long")
     return numbered.filter((n <= keep) | ((at < keep) & (F.floor(at * n / keep) == F.col("__p")))).drop("__p")
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.session import safe_unions
+
 RELATIVE, FLOOR = 0.015, 1.0
 
 
@@ -30,6 +34,53 @@ def fill_series(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return pred.join(one, "x", "left").withColumn("series", F.coalesce("series", "s", only)).drop("s")
 
 
+def fill_by_order(pred: DataFrame, lines: list[str], names: list[str], order: str) -> DataFrame:
+    """Missing series by the place of the line (``series_order``), the rest by colour if there are several.
+
+    Colours are taken in order of first appearance, one name each, as far as names go.
+    """
+    blank = F.coalesce(F.trim("series"), F.lit("")) == ""
+    out = pred
+    if lines and "series_order" in pred.columns:
+        by_place = F.get(F.array(*map(F.lit, lines)), F.col("series_order").cast("int"))
+        out = out.withColumn("series", F.when(blank & F.col("series_order").between(0, len(lines) - 1), by_place).otherwise(F.col("series")))
+    if names and "color" in pred.columns:
+        seen = out.filter(blank & F.col("color").isNotNull()).groupBy("color").agg(F.min(order).alias("o"))
+        # As many colours as there are names (two at least, to see whether there are several).
+        lead = seen.orderBy("o", "color").limit(max(2, len(names))).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "color"))), lambda c: c["color"])).scalar()
+        by_colour = F.get(F.array(*map(F.lit, names)), F.array_position(lead, F.col("color")).cast("int") - 1)
+        out = out.withColumn("series", F.when(blank & (F.size(lead) > 1) & (F.array_position(lead, F.col("color")) > 0), F.coalesce(by_colour, "series")).otherwise(F.col("series")))
+    return out
+
+
+def cohesion(overlays: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """How well the series of a chart go together, 0 to 1, and what does not.
+
+    ``overlays``: (chart ..., x, y, axis, style, legend, ratio, shown_order).  Penalties: different x
+    (0.35; 0.2 if only the shown order differs), several series without a legend (0.2), equal styles
+    (0.25), ratios and amounts on one axis (0.35), names that are no column (0.05 each, 0.2 at most).
+    One series alone is whole.
+    """
+    has = lambda c: F.col(c).isNotNull() & ~F.col(c).isin(*columns)
+    axis = F.coalesce("axis", F.lit("left"))
+    c = overlays.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("y").alias("series"), F.count_distinct("x").alias("xs"), F.coalesce(F.bool_or("legend"), F.lit(False)).alias("legend"),
+        F.count_distinct("style").alias("styles"), F.count("style").alias("styled"), F.coalesce(F.bool_and("shown_order"), F.lit(True)).alias("ordered"),
+        F.arrays_overlap(F.collect_set(F.when(F.col("ratio"), axis)), F.collect_set(F.when(~F.col("ratio"), axis))).alias("mixed"),
+        (F.sum(has("x").cast("int")) + F.sum(has("y").cast("int"))).alias("missing"),
+    )
+    rules = {
+        "x.inconsistent": ((F.col("xs") > 1) | ~F.col("ordered"), F.when(F.col("xs") > 1, 0.35).otherwise(0.2)),
+        "legend.missing.multi": ((F.col("series") > 1) & ~F.col("legend"), F.lit(0.2)),
+        "series.style.conflict": ((F.col("styled") >= 2) & (F.col("styles") < F.least("styled", "series")), F.lit(0.25)),
+        "ratio.axis.mismatch": (F.col("mixed"), F.lit(0.35)),
+    }
+    whole = (F.col("n") <= 1) & (F.col("series") <= 1)
+    lost = sum((F.when(test, penalty).otherwise(0.0) for test, penalty in rules.values()), F.least(F.lit(0.2), 0.05 * F.col("missing")))
+    keys = F.array_compact(F.array(*[F.when(test, F.lit(k)) for k, (test, _) in rules.items()]))
+    return c.select(*by, F.when(whole, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - lost)).alias("score"), F.when(whole, F.array().cast("array<string>")).otherwise(keys).alias("diagnostics"))
+
+
 def greedy_match(pred: DataFrame, truth: DataFrame, order: str, relative: float = RELATIVE, floor: float = FLOOR) -> DataFrame:
     """Every predicted and every left-over truth row with its kind.
 
@@ -70,25 +121,33 @@ def f1(matched: DataFrame) -> DataFrame:
     return c.select("tp", "fp", "fn", F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
 
 
-def rnss(pred: DataFrame, truth: DataFrame, order: str, relative: float = RELATIVE, floor: float = FLOOR) -> DataFrame:
+def rnss(pred: DataFrame, truth: DataFrame, order: str, relative: float = RELATIVE, floor: float = FLOOR, by: list[str] | None = None) -> DataFrame:
     """F1 on values alone: each prediction in order takes the nearest unused truth value in tolerance.
 
-    The order of all rows matters, so the values of one chart are matched in one task.
+    The order of all predictions of a chart matters, so a chart (``by``) is matched in one task, by binary search.
     """
-    both = pred.select(F.col("value").cast("double").alias("v"), F.col(order).cast("long").alias("n"), F.lit(True).alias("p")).unionByName(truth.select(F.col("value").cast("double").alias("v"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("p"))).dropna(subset=["v"])
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        values = sorted(rows.loc[~rows["p"], "v"])
-        n_truth, left, tp = len(values), list(values), 0
+    safe_unions(pred.sparkSession)
+    keys = by or ["__chart"]
+    side = lambda d, n, p: (d if by else d.withColumn("__chart", F.lit(1))).select(*keys, F.col("value").cast("double").alias("v"), n.cast("long").alias("n"), F.lit(p).alias("p"))
+    both = side(pred, F.col(order), True).unionByName(side(truth, F.lit(0), False)).dropna(subset=["v"])
+
+    def match(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left = sorted(rows.loc[~rows["p"], "v"])
+        n_truth, tp = len(left), 0
         mine = rows[rows["p"]].sort_values("n")["v"]
         for v in mine:
-            j = min(range(len(left)), key=lambda j: (abs(left[j] - v), j), default=None)
-            if j is not None and abs(left[j] - v) <= max(abs(left[j]) * relative, floor):
+            j = bisect_left(left, v)
+            if j and (j == len(left) or v - left[j - 1] <= left[j] - v):
+                j = bisect_left(left, left[j - 1])
+            if j < len(left) and abs(left[j] - v) <= max(abs(left[j]) * relative, floor):
                 tp += 1
                 left.pop(j)
-        return pd.DataFrame({"tp": [tp], "n_pred": [len(mine)], "n_truth": [n_truth], "rnss": [2 * tp / (len(mine) + n_truth) if len(mine) + n_truth else 0.0]})
+        own = {k: [x] for k, x in zip(keys, key, strict=True)}
+        return pd.DataFrame(own | {"tp": [tp], "n_pred": [len(mine)], "n_truth": [n_truth], "rnss": [2 * tp / (len(mine) + n_truth) if len(mine) + n_truth else 0.0]})
 
-    return both.withColumn("k", F.lit(1)).groupBy("k").applyInPandas(match, "tp long, n_pred long, n_truth long, rnss double")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*keys).schema.fields)
+    out = both.groupBy(*keys).applyInPandas(match, f"{kinds}, tp long, n_pred long, n_truth long, rnss double")
+    return out if by else out.drop("__chart")
 
 
 def snap_to_ticks(points: DataFrame, ticks: DataFrame) -> DataFrame:
@@ -152,10 +211,11 @@ def ablation_means(df: DataFrame, config: str, score: str, ok: str) -> DataFrame
 
 
 def wrong_value(df: DataFrame, y: str, key: list[str], seed: int = 0) -> DataFrame:
-    """One cell, chosen by a hash of its key, times 0.6 (42 for a zero)."""
-    chosen = df.agg(F.min(F.xxhash64(F.lit(seed), *key))).scalar()
+    """One cell, chosen by a hash of its key (as text, with the seed), times 0.6 (42 for a zero)."""
+    place = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    chosen = df.agg(F.min(place)).scalar()
     v = F.when(F.col(y) == 0, F.lit(42.0)).otherwise(F.col(y) * 0.6)
-    return df.withColumn(y, F.when(F.xxhash64(F.lit(seed), *key) == chosen, v).otherwise(F.col(y).cast("double")))
+    return df.withColumn(y, F.when(place == chosen, v).otherwise(F.col(y).cast("double")))
 
 
 def scale_series(df: DataFrame, y: str, factor: float = 0.7) -> DataFrame:

@@ -9,28 +9,33 @@ over one row a range.  Ranges never split equal keys, so ranks and ties stay exa
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Number of ranges; also the number of rows that the small tables can have, plus one for NULL.
-RANGES = 64
+#: Least and largest number of ranges; between them there are as many as shuffle partitions.  The small tables have
+#: one row a range and one for NULL, so their size is bounded.
+RANGES, MOST_RANGES = 64, 4096
 _PART = "__range"
 
 
-def ranged(df: DataFrame, key: str, ranges: int = RANGES) -> DataFrame:
+def _place(number: Column, cuts: list[float], first: int = 1) -> Column:
+    """The range of a number among sorted cuts: a tree of comparisons, which generated code walks in log steps."""
+    if not cuts:
+        return F.lit(first)
+    mid = len(cuts) // 2
+    return F.when(number < cuts[mid], _place(number, cuts[:mid], first)).otherwise(_place(number, cuts[mid + 1 :], first + mid + 1))
+
+
+def ranged(df: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
     """Add the range number of ``key`` (NULL first, as range 0)."""
+    ranges = ranges or max(RANGES, min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     kind = df.schema[key].dataType.typeName()
     number = F.col(key).cast("timestamp").cast("double") if kind.startswith(("timestamp", "date")) else F.col(key).cast("double")
     if kind in ("string", "binary"):
         raise TypeError(f"the leading order column {key!r} must be numeric or temporal")
-    cuts = df.select(number.alias("k")).approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.005)
-    cuts = sorted(set(cuts))
-    # A plain sum of comparisons stays in generated code; a higher-order function would not.
-    place = reduce(add, [(number >= c).cast("int") for c in cuts], F.lit(1))
-    return df.withColumn(_PART, F.when(number.isNull(), 0).otherwise(place))
+    cuts = df.select(number.alias("k")).approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.3 / ranges)
+    return df.withColumn(_PART, F.when(number.isNull(), 0).otherwise(_place(number, sorted(set(cuts)))))
 
 
 def _before(parts: DataFrame, value: Column, descending: bool) -> DataFrame:
@@ -83,6 +88,17 @@ def lagged(df: DataFrame, value: str, order: list[str], out: str) -> DataFrame:
     return _finish(rows.withColumn("__own", F.lag(value).over(w)).withColumn("__first", first), before, out, lambda b: F.when(F.col("__first"), b).otherwise(F.col("__own"))).drop("__first")
 
 
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """The number of each row in order, from 1; text as the leading column takes a window over all rows."""
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    if df.schema[order[0]].dataType.typeName() in ("string", "binary", "boolean"):
+        return df.withColumn(out, F.row_number().over(Window.orderBy(*keys)))
+    rows = ranged(df, order[0])
+    before = _before(rows.groupBy(_PART).agg(F.count(F.lit(1)).alias("n")), F.col("n"), False)
+    w = Window.partitionBy(_PART).orderBy(*keys)
+    return _finish(rows.withColumn("__own", F.row_number().over(w)), before, out, lambda b: F.col("__own") + b)
+
+
 def top_with_ties(df: DataFrame, value: str, n: int) -> DataFrame:
     """Rows whose descending rank is at most n: those from the n-th largest value on."""
     cutoff = df.select(value).filter(F.col(value).isNotNull()).orderBy(F.col(value).desc()).limit(n).agg(F.min(value)).scalar()

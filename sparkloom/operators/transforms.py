@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.expressions import clip, normal_key
@@ -53,6 +55,18 @@ def _groups(p: Params) -> list[str]:
     return listed(p["group"])
 
 
+def _beside(df: DataFrame, groups: list[str], *aggregates: Column) -> DataFrame:
+    """Rows with the aggregates of their group; a missing key is a group.
+
+    An aggregate and a join: sums meet before the shuffle and rows stay where they are if the groups
+    are few, while a window would send all rows of a group to one task.
+    """
+    keys = [f"__group{i}" for i in range(len(groups))]
+    side = df.groupBy(*[F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)]).agg(*aggregates)
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(groups, keys, strict=True)])
+    return df.join(side, same, "left").drop(*keys)
+
+
 # ---------------------------------------------------------------- aggregates
 
 
@@ -138,7 +152,8 @@ def mean_and_count(inputs, p):
 @operator("group", "value", out="share")
 def within_group_share(inputs, p):
     out = p.get("share_col") or p["out"]
-    return inputs["df"].withColumn(out, F.try_divide(F.col(p["value"]), F.sum(p["value"]).over(Window.partitionBy(*_groups(p)))))
+    rows = _beside(inputs["df"], _groups(p), F.sum(p["value"]).alias("__total"))
+    return rows.withColumn(out, F.try_divide(F.col(p["value"]), F.col("__total"))).drop("__total")
 
 
 @operator("new", "old", out="pp")
@@ -148,9 +163,9 @@ def pct_point(inputs, p):
 
 @operator("group", "value", out="z")
 def zscore_within_group(inputs, p):
-    w = Window.partitionBy(*_groups(p))
     v = F.col(p["value"])
-    return inputs["df"].withColumn(p["out"], F.try_divide(v - F.avg(v).over(w), F.stddev_pop(v).over(w)))
+    rows = _beside(inputs["df"], _groups(p), F.avg(v).alias("__mean"), F.stddev_pop(v).alias("__spread"))
+    return rows.withColumn(p["out"], F.try_divide(v - F.col("__mean"), F.col("__spread"))).drop("__mean", "__spread")
 
 
 @operator("value", constants=("lo", "hi"))

@@ -12,6 +12,7 @@ from sparkloom.params import listed
 # Name tokens that mark a ratio, a time, and the roles of overlays.
 RATIO_NAMES = ("rate", "ratio", "share", "pct", "percent", "proportion", "prob", "%")
 TIME_NAMES = ("date", "time", "month", "year", "quarter", "week", "day", "period")
+MOST_SERIES = 10_000
 ROLE_NAMES = {"target": ("target", "goal"), "forecast": ("forecast", "plan", "predict"), "baseline": ("baseline", "base", "prior"), "trend": ("trend", "moving", "avg")}
 
 
@@ -81,8 +82,11 @@ def violin(df: DataFrame, group: str, value: str, points: int = 20) -> DataFrame
 def stacked(df: DataFrame, x: str, series: str, y: str, ratio: bool = False, normalise: bool = False) -> DataFrame:
     """Every (x, series) cell with its value (mean of ratios, else sum; absent 0), bottom and top of the stack."""
     cells = df.groupBy(x, series).agg((F.avg(y) if ratio else F.sum(y)).alias(y))
-    names = df.select(series).distinct()
-    spine = df.select(x).distinct().withColumn("__all", F.lit(1)).join(names.withColumn("__all", F.lit(1)), "__all").drop("__all")
+    # The series of a chart are few: one array beside each x, not a join of all with all.
+    names = df.select(series).distinct().limit(MOST_SERIES + 1).agg(F.collect_list(F.struct(series)).alias("s"))
+    if names.select(F.size("s")).first()[0] > MOST_SERIES:
+        raise ValueError(f"a stack has at most {MOST_SERIES} series")
+    spine = df.select(x).distinct().select(x, F.inline(names.scalar()))
     full = spine.join(cells, [x, series], "left").withColumn(y, F.coalesce(F.col(y).cast("double"), F.lit(0.0)))
     if normalise:
         total = F.sum(y).over(Window.partitionBy(x))

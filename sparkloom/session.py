@@ -7,6 +7,17 @@ import os
 from pyspark.sql import SparkSession
 
 
+#: Where both sides of a union are hash-partitioned alike, Spark 4.1 takes the union for so partitioned as well,
+#: and then coalesces the sides apart: an aggregate above it finds its groups in pieces.
+UNION_SETTING = "spark.sql.unionOutputPartitioning"
+
+
+def safe_unions(spark: SparkSession) -> None:
+    """Make aggregates over unions (and ``exceptAll``, which is one) shuffle for themselves."""
+    if spark.conf.get(UNION_SETTING, "true") != "false":
+        spark.conf.set(UNION_SETTING, "false")
+
+
 def get_session(cpus: int | str | None = None, app: str = "sparkloom") -> SparkSession:
     """A local session with the settings the library expects; on a cluster use its own session."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "*")
@@ -15,6 +26,7 @@ def get_session(cpus: int | str | None = None, app: str = "sparkloom") -> SparkS
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config(UNION_SETTING, "false")
         .config("spark.driver.memory", os.environ.get("LOOM_DRIVER_MEMORY", "8g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.expressions import half_even, slug
+from sparkloom.session import safe_unions
 
 DATA_FILES = ("csv", "tsv", "xls", "xlsx", "zip", "txt")
 FIGURE = r"(?i)^\s*(extended\s+data\s+)?fig(?:ure|\.)?\s*(\d+)"
@@ -112,6 +113,7 @@ def keep_first(df: DataFrame, key: list[str], order: list[Column | str]) -> Data
 
 def pairs(anchors: DataFrame, files: DataFrame, figures: DataFrame, labelled: DataFrame) -> DataFrame:
     """Figures with data: by anchor (no label, wins), else by the label's keys; one a (figure, image, data)."""
+    safe_unions(figures.sparkSession)
     by_anchor = figures.join(anchors, "figure_key").join(files, "anchor").select("figure_key", "img", "data", F.lit(None).cast("string").alias("label"), F.lit(0).alias("source"))
     keys = labelled.select("data", "label", F.explode(label_keys(F.col("label"))).alias("figure_key"))
     by_label = figures.join(keys, "figure_key").select("figure_key", "img", "data", "label", F.lit(1).alias("source"))
@@ -179,6 +181,7 @@ def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def merge_records(existing: DataFrame, new: DataFrame, key: str, position: str) -> DataFrame:
     """By lower-case key, existing first, first of equals; blank keys go."""
+    safe_unions(existing.sparkSession)
     both = existing.withColumn("__src", F.lit(0)).unionByName(new.withColumn("__src", F.lit(1)))
     both = both.withColumn("__k", F.lower(F.trim(key))).filter("__k is not null and __k <> ''")
     return keep_first(both, ["__k"], ["__src", position]).drop("__k", "__src")
@@ -195,17 +198,42 @@ def join_search(a: DataFrame, b: DataFrame, key: str, prefer_b: list[str]) -> Da
     return a.join(right, key, "left").select(*[F.coalesce(f"__{c}", c).alias(c) if c in prefer_b else F.col(c) for c in a.columns])
 
 
-def newest_by_year(df: DataFrame, year: str, tie: list[str], per_year: int, total: int | None = None) -> DataFrame:
-    """The first ``per_year`` of each year, newest year first; an unknown year is the oldest."""
-    w = Window.partitionBy(year).orderBy(*tie)
-    rows = df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= per_year).drop("__r")
-    rows = rows.orderBy(F.col(year).desc_nulls_last(), *tie)
-    return rows.limit(total) if total else rows
+def newest_by_year(df: DataFrame, year: str, tie: list[str], per_year: int, total: int | None = None, key: list[str] | None = None) -> DataFrame:
+    """The first ``per_year`` of each year, newest year first; an unknown year is the oldest.
+
+    With ``key`` a year that has more rows than ``per_year`` is read in the second order too (the
+    last ones first), and of rows with one key the first found stays, before the total is cut.
+    """
+    first = _top_of_year(df, year, [F.col(c).asc() for c in tie], per_year)
+    if key is None:
+        rows = first.drop("__r").orderBy(F.col(year).desc_nulls_last(), *tie)
+        return rows.limit(total) if total else rows
+    capped = df.groupBy(F.col(year).alias("__y")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > per_year)
+    second = _top_of_year(df.join(capped, F.col(year).eqNullSafe(F.col("__y")), "left_semi"), year, [F.col(c).desc() for c in tie], per_year)
+    both = first.withColumn("__pass", F.lit(0)).unionByName(second.withColumn("__pass", F.lit(1)))
+    found = keep_first(both.withColumn("__age", -F.coalesce(F.col(year).cast("long"), F.lit(-1 << 40))), key, ["__age", "__pass", "__r"])
+    rows = found.orderBy("__age", "__pass", "__r", *key)
+    return (rows.limit(total) if total else rows).select(*df.columns)
+
+
+def _top_of_year(df: DataFrame, year: str, order: list[Column], n: int) -> DataFrame:
+    """The first rows of each year; the limit is applied before the shuffle too."""
+    return df.withColumn("__r", F.row_number().over(Window.partitionBy(year).orderBy(*order))).filter(F.col("__r") <= n)
+
+
+def order_records(df: DataFrame, year: str, tie: list[str], newest_first: bool = True) -> DataFrame:
+    """Records by year; an unknown year is the oldest of all."""
+    return df.orderBy(F.col(year).desc_nulls_last() if newest_first else F.col(year).asc_nulls_first(), *tie)
 
 
 def keyword_list(base: DataFrame, first: DataFrame, second: DataFrame, least: int) -> DataFrame:
-    """Base terms in order, then pairs ``first second`` until there are ``least``; lists of terms are short."""
-    combined = first.select(F.col("term").alias("a"), F.col("pos").alias("i"), F.lit(1).alias("k")).join(second.select(F.col("term").alias("b"), F.col("pos").alias("j"), F.lit(1).alias("k")), "k")
+    """Base terms in order, then pairs ``first second`` until there are ``least``.
+
+    The first ``least`` different terms of each list are enough for that, so no more are paired.
+    """
+    lead = lambda df: df.groupBy("term").agg(F.min("pos").alias("pos")).orderBy("pos", "term").limit(least)
+    ends = lead(second).agg(F.collect_list(F.struct(F.col("term").alias("b"), F.col("pos").alias("j")))).scalar()
+    combined = lead(first).select(F.col("term").alias("a"), F.col("pos").alias("i"), F.inline(ends))
     both = base.select("term", F.lit(0).alias("s"), "pos", F.lit(0).alias("j")).unionByName(combined.select(F.concat_ws(" ", "a", "b").alias("term"), F.lit(1).alias("s"), F.col("i").alias("pos"), "j"))
     firsts = both.groupBy("term").agg(F.min(F.struct("s", "pos", "j")).alias("o"))
     return firsts.orderBy("o").limit(least).select("term")
@@ -245,6 +273,32 @@ def contains_join(names: DataFrame, anchors: DataFrame, name: str, anchor: str)
     return names.withColumn("__g", F.explode(grams)).join(anchors, F.col("__g") == F.col(anchor)).drop("__g")
 
 
+def pair_metadata(pairs: DataFrame, files: DataFrame, order: str, fields: list[str]) -> DataFrame:
+    """What is known of each image: longest caption, first value of each field, sorted files and labels.
+
+    ``pairs``: (img_url, caption, data_url, label, fields ..., order); ``files``: (data), the names at hand.
+    Images and data files are told apart by the last part of their URLs; pairs without an image go.
+    """
+    name = lambda c: F.nullif(url_parts(F.col(c))["basename"], F.lit(""))
+    rows = pairs.withColumns({"__img": name("img_url"), "__data": name("data_url")}).filter("__img is not null")
+    known = files.select(F.col("data").alias("__data"), F.lit(True).alias("__known")).distinct()
+    rows = rows.join(known, "__data", "left").withColumn("__data", F.when(F.col("__known"), F.col("__data")))
+    sorted_set = lambda c: F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit(""))))
+    caption = F.nullif(F.col("caption"), F.lit(""))
+    return rows.groupBy(F.col("__img").alias("img")).agg(
+        F.max_by(caption, F.when(caption.isNotNull(), F.struct(F.length(caption), -F.col(order)))).alias("caption"),
+        *[F.min_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields],
+        sorted_set("__data").alias("files"), sorted_set("label").alias("labels"),
+    )
+
+
+def preflight(articles: DataFrame, figures: DataFrame) -> DataFrame:
+    """One row of counts before a run: articles, figures, figures without caption and without source data."""
+    blank = F.coalesce(F.length("caption"), F.lit(0)) == 0
+    f = figures.agg(F.count(F.lit(1)).alias("figures"), F.count_if(blank).alias("caption_missing"), F.count_if(F.coalesce(F.size("files"), F.lit(0)) < 1).alias("source_missing"))
+    return f.select(articles.agg(F.count(F.lit(1))).scalar().alias("articles"), "figures", "caption_missing", "source_missing")
+
+
 def article_manifest(figures: DataFrame, files: DataFrame) -> DataFrame:
     f = figures.groupBy("article").agg(F.count(F.lit(1)).alias("n_figures"), F.count_if(F.coalesce(F.length("caption"), F.lit(0)) == 0).alias("missing_captions"))
     d = files.groupBy("article").agg(F.count(F.lit(1)).alias("n_files"))

@@ -188,6 +188,82 @@ def usable(grid: DataFrame) -> DataFrame:
     return c.agg((F.count_distinct("row_idx") >= 2).alias("rows_ok"), F.coalesce(F.avg(F.when(filled(F.col("cell")), numeric_cell(F.col("cell")).cast("int"))) >= 0.3, F.lit(False)).alias("numbers_ok"))
 
 
+def repair_sheets(grid: DataFrame, by: Sequence[str] = (), look: int = 6) -> DataFrame:
+    """Each block of columns of each sheet: header, number of data rows, of numeric columns, and status.
+
+    ``by`` names the columns that tell sheets apart; a sheet's rows are (row_idx, cells).  Rows that
+    are empty within a block do not count for it; shares are of a row's filled cells.  The header is
+    the first of the top ``look`` rows that is half text with a row of half numbers among the three
+    below; a text row right under it has the units.  A block whose first row is half numbers has
+    made-up names; else there is none.  A column is numeric if half of the data rows parse.
+    """
+    keys = list(by)
+    cells = grid.select(*keys, "row_idx", F.posexplode("cells").alias("col_idx", "cell")).withColumn("cell", F.when(filled(F.col("cell")), F.regexp_replace("cell", EDGE_SPACE, "")))
+    used = cells.groupBy(*keys, "col_idx").agg((F.count("cell") > 0).alias("used"))
+    runs = used.withColumn("gaps", F.sum((~F.col("used")).cast("int")).over(Window.partitionBy(*keys).orderBy("col_idx"))).filter("used")
+    first = runs.groupBy(*keys, "gaps").agg(F.min("col_idx").alias("first_col"))
+    cells = cells.join(runs.join(first, [*keys, "gaps"]).select(*keys, "col_idx", "first_col"), [*keys, "col_idx"]).withColumn("is_number", numeric_cell(F.col("cell")))
+    block = [*keys, "first_col"]
+    rows = cells.groupBy(*block, "row_idx").agg(
+        F.count("cell").alias("n"), F.count_if(F.col("cell").isNotNull() & ~F.col("is_number")).alias("texts"), F.count_if("is_number").alias("numbers"),
+        F.array_sort(F.collect_list(F.struct("col_idx", "cell", "is_number"))).alias("cells"),
+    ).filter("n > 0").withColumn("names", F.col("cells.cell"))
+    in_order = Window.partitionBy(*block).orderBy("place")
+    top = rows.withColumns({"text": F.col("texts") / F.col("n"), "numeric": F.col("numbers") / F.col("n")}).withColumn("place", F.row_number().over(Window.partitionBy(*block).orderBy("row_idx")))
+    top = top.filter(F.col("place") <= look + 3).withColumn("below", F.max("numeric").over(in_order.rowsBetween(1, 3)))
+    after = F.struct(F.lead("row_idx").over(in_order).alias("at"), F.lead("names").over(in_order).alias("names"))
+    top = top.withColumn("units", F.when((F.lead("text").over(in_order) >= 0.5) & (F.lead("numeric").over(in_order) < 0.5), after))
+    made_up = lambda i: F.concat(F.lit("col"), i.cast("string"))
+    unit = lambda i: F.coalesce(F.concat(F.lit(" ("), F.get(F.col("units")["names"], i), F.lit(")")), F.lit(""))
+    named = F.transform("names", lambda n, i: F.concat(F.coalesce(n, made_up(i)), unit(i)))
+    head = F.min(F.when((F.col("place") <= look) & (F.col("text") >= 0.5) & (F.col("below") >= 0.5), F.struct("row_idx", F.coalesce(F.col("units")["at"], F.col("row_idx")).alias("last"), named.alias("names"))))
+    plain = F.max(F.when((F.col("place") == 1) & (F.col("numeric") >= 0.5), F.struct("row_idx", (F.col("row_idx") - 1).alias("last"), F.transform("names", lambda _, i: made_up(i)).alias("names"))))
+    heads = top.groupBy(*block).agg(F.coalesce(head, plain).alias("head")).select(*block, F.col("head.last").alias("head_row"), F.col("head.names").alias("header"))
+    data = rows.join(heads.drop("header"), block).filter("row_idx > head_row").select(*block, F.explode("cells").alias("cell"))
+    per_column = data.groupBy(*block, "cell.col_idx").agg(F.avg(F.col("cell.is_number").cast("int")).alias("share"), F.count(F.lit(1)).alias("n"))
+    sums = per_column.groupBy(*block).agg(F.max("n").alias("n_rows"), F.count_if(F.col("share") >= 0.5).alias("n_numeric"))
+    out = heads.join(sums, block, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_rows", "n_numeric")})
+    status = F.when(F.col("header").isNull(), "no_header").when((F.col("n_numeric") >= 1) & (F.col("n_rows") >= 2), "ok").otherwise("weak")
+    return out.select(*keys, "first_col", "header", "n_rows", "n_numeric", status.alias("status"))
+
+
+def plottable(df: DataFrame, columns: Sequence[str], share: float = 0.6, most: int = 3) -> DataFrame | None:
+    """A text table as (x, numbers): x the first label column (else the first numeric one), at most ``most`` numbers.
+
+    Rows without any of the numbers go; with no number beside x, or under three rows, there is nothing to plot.
+    """
+    parses = df.agg(*[F.avg(number(F.col(f"`{c}`")).isNotNull().cast("int")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    numeric = [c for i, c in enumerate(columns) if (parses[f"c{i}"] or 0) >= share]
+    x = next((c for c in columns if c not in numeric), columns[0] if columns else None)
+    ys = [c for c in numeric if c != x][:most]
+    if not ys:
+        return None
+    out = df.select(F.col(f"`{x}`").cast("string").alias(x), *[number(F.col(f"`{c}`")).alias(c) for c in ys]).dropna("all", subset=ys)
+    return out if out.limit(3).count() == 3 else None
+
+
+def sheet_alignment(pairs: DataFrame, sheets: DataFrame, sheet: str = "sheet", usable: str = "usable") -> DataFrame:
+    """Each pair (figure_key ``kind:number``, data) with the sheets of its data file that name its figure.
+
+    ``sheets``: (data, sheet name, whether it is a table of numbers).  Adds n_matched, n_usable and a
+    status: bad_figure_key, no_sheet_match, matched or usable.  Pairs keep their number of rows.
+    """
+    key = F.regexp_extract("figure_key", r"^(\w+):(\d+)$", 1), F.nullif(F.regexp_extract("figure_key", r"^(\w+):(\d+)$", 2), F.lit("")).cast("int")
+    named = sheets.select("data", sheet_key(F.col(sheet)).alias("k"), F.col(usable).alias("__ok")).select("data", F.col("k.kind").alias("__kind"), F.col("k.number").alias("__number"), "__ok")
+    found = named.filter("__number is not null").groupBy("data", "__kind", "__number").agg(F.count(F.lit(1)).alias("n_matched"), F.count_if("__ok").alias("n_usable"))
+    out = pairs.withColumns({"__kind": key[0], "__number": key[1]}).join(found, ["data", "__kind", "__number"], "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_matched", "n_usable")})
+    status = F.when(F.col("__number").isNull(), "bad_figure_key").when(F.col("n_matched") == 0, "no_sheet_match").when(F.col("n_usable") == 0, "matched").otherwise("usable")
+    return out.withColumn("status", status).drop("__kind", "__number")
+
+
+def alignment_rates(aligned: DataFrame) -> DataFrame:
+    """One row: pairs, those with a matching sheet, those with a usable one, and both rates."""
+    n = F.count(F.lit(1))
+    c = aligned.agg(n.alias("pairs"), F.count_if(F.col("n_matched") > 0).alias("matched"), F.count_if(F.col("n_usable") > 0).alias("usable"), F.count_if(F.col("status") == "bad_figure_key").alias("bad_keys"))
+    return c.withColumns({"match_rate": F.try_divide("matched", "pairs"), "usable_rate": F.try_divide("usable", "pairs")})
+
+
 SHEET = r"(?i)^\s*(ed|extended data|supp(?:lementary)?)?[\s_]*(fig|figure|table)?\.?[\s_]*(\d+)\s*([a-z](?:\s*[-,]\s*[a-z])*)?"
 
 
