@@ -76,21 +76,29 @@ def suffix_array(codes: np.ndarray, strings: bool = False, depth: int = 0) -> tu
             ended |= own == 1
     step, ranks, ranked_by = 7, None, 0
     order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    head = np.concatenate([[True], (ranked[1:] != ranked[:-1]) | ended[order[1:]]])[:n]  # a rank starts in this row
+    del ranked, key
+    rank = np.empty(n, dtype=np.int64)  # the first row of those with equal codes so far
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     while True:
-        ranked = key[order]
-        new = np.empty(n, dtype=np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], ((ranked[1:] != ranked[:-1]) | ended[order[1:]]).astype(np.int64)])[:n])
-        if n == 0 or new[order[-1]] == n - 1:
+        tied = np.flatnonzero(~(head & np.append(head[1:], True)))
+        if not len(tied):
             return order, ranks, ranked_by
         if step <= depth:
-            ranks, ranked_by = new, step
-        ended[:] = False  # such suffixes have ranks of their own by now
-        after = np.zeros(n, dtype=np.int64)
-        if step < n:
-            after[: n - step] = new[step:] + 1
-        key = new * (n + 1) + after
+            ranks, ranked_by = rank.copy(), step
+        # Only tied rows are sorted on; they stay in the rows of their rank.
+        own = order[tied]
+        after = np.zeros(len(own), dtype=np.int64)
+        more = own + step < n
+        after[more] = rank[own[more] + step] + 1
+        key = rank[own] * (n + 1) + after
+        by = np.argsort(key)
+        own, key = own[by], key[by]
+        order[tied] = own
+        head[tied] = new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[own] = np.maximum.accumulate(np.where(new, tied, 0))
         step *= 2
-        order = np.argsort(key)
 
 
 class RunLengthIndex:
@@ -113,6 +121,12 @@ class RunLengthIndex:
         self.first_sample, self.last_sample = sa[start], sa[end]
         size = end - start + 1
         self.end = end
+        # A bit for each row where a run starts, and the runs before each word of bits.
+        bits = np.zeros(n + -n % 64 + 64, dtype=np.uint8)
+        bits[start] = 1
+        self.bits = np.packbits(bits, bitorder="little").view("<u8")
+        ones = np.bitwise_count(self.bits).astype(np.int32)
+        self.before = np.cumsum(ones, dtype=np.int32) - ones - 1
         by_head = np.argsort(self.head, kind="stable")
         # Where the last-to-first mapping sends the first row of each run.
         self.to = np.empty(len(start), dtype=np.int64)
@@ -156,6 +170,12 @@ class RunLengthIndex:
         inside = (at >= 0) & (rows <= self.to_row[at])
         return np.where(inside, self.least[at], own)
 
+    def run_of(self, rows: np.ndarray) -> np.ndarray:
+        """The run of each row, by counting bits."""
+        word = rows >> 6
+        upto = ~np.uint64(0) >> (np.uint64(63) - (rows & 63).astype("<u8"))
+        return self.before[word] + np.bitwise_count(self.bits[word] & upto)
+
     def matching_statistics(self, queries: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Length of the longest match from each place, and a text position where it occurs."""
         return self.stream(queries, sizes)[:2]
@@ -178,7 +198,7 @@ class RunLengthIndex:
             if not len(live):
                 break
             c = queries[live, i].astype(np.int64)
-            run = np.searchsorted(self.start, row[live], "right") - 1
+            run = self.run_of(row[live])
             same = self.head[run] == c
             at = live[same]
             row[at] = self.to[run[same]] + row[at] - self.start[run[same]]
@@ -323,6 +343,17 @@ def _key(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
         return mix(ids * _ODD + tags)
 
 
+def _in_order(a: np.ndarray, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The order by anchor, context, document; most anchors are one row, so only ties are sorted by all three."""
+    order = np.argsort(a)
+    ranked = a[order]
+    same = ranked[1:] == ranked[:-1]
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(a) else order
+    own = order[tied]
+    order[tied] = own[np.lexsort((ids[own], x[own], a[own]))]
+    return order
+
+
 ROW = "kind string, shard int, block binary"
 _NONE = pd.DataFrame({"kind": [], "shard": [], "block": []}, dtype=object).astype({"shard": "int32"})
 
@@ -393,7 +424,7 @@ def _share(shards: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
         parts = [unpack(b, 5) for b in rows["block"]]
         a, x, ids, tags, at = (np.concatenate([np.cumsum(p[0]) if i == 0 else p[i] for p in parts]) for i in range(5))
         del parts
-        order = np.lexsort((ids, x, a))
+        order = _in_order(a, x, ids)
         a, x, ids, tags, at = a[order], x[order], ids[order], tags[order], at[order]
         new_a = np.concatenate([[True], a[1:] != a[:-1]])
         new_x = new_a | np.concatenate([[True], x[1:] != x[:-1]])
@@ -517,7 +548,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         def flush() -> pa.RecordBatch:
             a, x, ids, tags, at = (np.concatenate(c) for c in zip(*parts, strict=True))
-            order = np.lexsort((ids, x, a))
+            order = _in_order(a, x, ids)
             a, x, ids, tags, at = a[order], x[order], ids[order], tags[order], at[order]
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (x[1:] != x[:-1])])[: len(a)]
             again = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
