@@ -39,6 +39,7 @@ PUNCTUATION = b".,;:!?'\"-()"
 SPACE = b" \t\n\r\x0b\x0c"
 
 CLASSES = ("lower", "upper", "digit", "space", "line", "stop", "symbol", "other_ascii", "latin", "wide")
+#: Guards of a comparison: UTF-8 bytes and words of a text.
 MIN_CHARS, MIN_WORDS = 200, 50
 # The sum of both distances, or the class distance where the language has no word list.
 MAX_DISTANCE, MAX_CLASS_DISTANCE = 0.45, 0.25

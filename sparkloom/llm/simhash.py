@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.shared import short_batches, text_bytes, written
+from sparkloom.session import safe_unions
 
 RADIUS, SHINGLE = 3, 3
 #: Rows of one part of a bucket; larger buckets are compared part by part.
@@ -205,6 +206,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     component of diameter d takes about log d rounds; each is written, so a lost executor
     repeats one round at most.
     """
+    safe_unions(nodes.sparkSession)
     both = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
     while True:

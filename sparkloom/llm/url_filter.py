@@ -1,7 +1,8 @@
 """URL filter: host and path rules first, then a weighted vocabulary found by Aho-Corasick.
 
 A term counts where no ASCII letter or digit touches it.  One strict term, or at least
-``MIN_SOFT`` different soft terms, block a URL.
+``MIN_SOFT`` different soft terms, block a URL.  The vocabulary is a parameter; the fixed one
+below is small, ``read_vocabulary`` reads larger ones from a file.
 
 Defined results: a null URL or one without ``://`` has empty host and path, no rule fits, and
 its text (empty for null) goes to the vocabulary.  Ties between rules cannot occur: of the
@@ -14,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # host/path rules, the vocabulary.
@@ -47,6 +48,22 @@ def fitting_rule(host: str, path: str, rules: Sequence[tuple[str, str]]) -> tupl
     return best
 
 
+def read_vocabulary(spark: SparkSession, path: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strict and soft terms of a text file with one ``strict term`` or ``soft term`` a line; ``#`` starts a comment.
+
+    Terms are lower-cased (A-Z) and different.  The list is sent to the workers, so it is for vocabularies, not for lists of hosts.
+    """
+    found: dict[str, dict[str, None]] = {"strict": {}, "soft": {}}
+    for line in (r.value.strip() for r in spark.read.text(path).collect()):
+        if not line or line.startswith("#"):
+            continue
+        weight, _, term = line.partition(" ")
+        if weight not in found or not term.strip():
+            raise ValueError(f"a line names strict or soft and a term, not {line!r}")
+        found[weight][term.strip().encode().translate(_UPPER).decode()] = None
+    return tuple(found["strict"]), tuple(found["soft"])
+
+
 def build_automaton(strict: Sequence[str], soft: Sequence[str]):
     import ahocorasick
 
@@ -62,6 +79,8 @@ def find_terms(url: str, automaton) -> tuple[list[str], list[str]]:
     """The different strict and soft terms with a boundary on both sides, sorted."""
     text = url.encode().translate(_UPPER).decode()
     found: tuple[set[str], set[str]] = (set(), set())
+    if not len(automaton):
+        return [], []
     for end, (term, weight) in automaton.iter(text):
         start = end + 1 - len(term)
         before = text[start - 1] if start else ""

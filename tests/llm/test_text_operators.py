@@ -408,6 +408,87 @@ def test_quality_rejects_junk_and_keeps_prose(spark):
     assert quality_rules.js_distance(np.array([1, 0]), np.array([0, 1])) == pytest.approx(1)
 
 
+def _plain_jsd(p, q):
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    return math.sqrt(max(0.0, sum(0.5 * a * math.log2(2 * a / (a + b)) for a, b in zip(p, q) if a) + sum(0.5 * b * math.log2(2 * b / (a + b)) for a, b in zip(p, q) if b)))
+
+
+def _plain_histograms(text, lang):
+    classes = collections.Counter()
+    for c in text:
+        b = c.encode()[0]
+        kind = "line" if c == "\n" else "space" if c in " \t\r\x0b\x0c" else "stop" if c in ".,;:!?'\"-()" else "symbol" if c in "#*$%&|<>" else None
+        kind = kind or ("lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "other_ascii" if b < 128 else "latin" if b < 0xCA else "wide")
+        classes[kind] += 1
+    h = [classes[k] for k in quality_rules.CLASSES]
+    common = quality_rules.COMMON_WORDS.get(lang)
+    if not common:
+        return h, None
+    words = [w.lower().strip(".,;:!?'\"-()") for w in re.findall(SPACE, text)]
+    return h, [sum(w == c for w in words) for c in common] + [sum(w not in common for w in words)]
+
+
+def test_quality_distances_and_verdicts_equal_brute_force(spark):
+    rng = random.Random(8)
+    make = lambda: "".join(rng.choice("abdeilmnorstABé9") for _ in range(rng.randint(2, 8)))
+    texts = []
+    for i in range(60):
+        lang = ["en", "fr", "xx", None, "en"][i % 5]
+        some = quality_rules.COMMON_WORDS.get(lang, ["zu", "ba"])
+        junk = i % 7 == 0
+        words = [make() + ("%%%" if junk else "") if junk or j % 3 else rng.choice(some) for j in range(rng.choice([20, 49, 50, 90, 200]))]
+        texts.append((i, " ".join(w + rng.choice(["", "", ",", ".", "\n", " -"]) for w in words), lang))
+    long_enough = lambda t: len(re.findall(SPACE, t)) >= 50 and len(t.encode()) >= 200
+    sums = {}
+    for _, t, lang in texts:
+        if lang is None or not long_enough(t):
+            continue
+        for kind, h in zip(("class", "word"), _plain_histograms(t, lang)):
+            if h:
+                old = sums.get((lang, kind), [0.0] * len(h))
+                sums[lang, kind] = [a + x / sum(h) for a, x in zip(old, h)]
+    want = {}
+    for i, t, lang in texts:
+        found = {"class": None, "word": None}
+        if lang is not None and long_enough(t):
+            found |= {k: _plain_jsd(h, sums[lang, k]) for k, h in zip(found, _plain_histograms(t, lang)) if h}
+        words = re.findall(SPACE, t)
+        grams = collections.Counter(zip(words, words[1:], words[2:]))
+        again = {j for s in range(len(words) - 2) if grams[tuple(words[s : s + 3])] > 1 for j in range(s, s + 3)}
+        base = len(words) < 50 or 100 * len(again) > 50 * len(words)
+        far = (found["class"] or 0) > quality_rules.MAX_CLASS_DISTANCE if found["word"] is None else found["class"] + found["word"] > quality_rules.MAX_DISTANCE
+        want[i] = (found["class"], found["word"], not base and not far)
+    out = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(3)).collect()}
+    for i, (a, b, kept) in want.items():
+        assert out[i].kept == kept
+        for x, y in ((out[i].class_distance, a), (out[i].word_distance, b)):
+            assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-6)
+    assert 5 < sum(w[2] for w in want.values()) < 55 and sum(w[0] is None for w in want.values()) > 5
+
+
+def test_very_long_texts_equal_brute_force(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(3000)]
+    long = " ".join(rng.choice(words) for _ in range(60_000))
+    rows = [(1, long), (2, long[:150_000] + " other words " + long[150_200:]), (3, "x" + long[90_000:120_000]), (4, "one two three")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_bytes, len(r.spans), bytes(r.kept)) for r in rindex.remove_repeats(df).collect()), key=repr)
+    assert got == brute_repeats(rows, 50)
+    fp = {i: brute_fingerprint(t) for i, t in rows}
+    assert {r.doc_id: r.fp % (1 << 64) for r in simhash.near_duplicates(df).collect()} == fp
+    model = kneser_ney.train(df, chunk_tokens=9000, shard_bytes=100_000)
+    raw = collections.Counter(w for _, t in rows for w in tokens(t))
+    out = {r.doc_id: r for r in kneser_ney.score(df, model).collect()}
+    for i, t in rows:
+        base = sum(math.log10((raw[w] + 1) / (sum(raw.values()) + len(raw) + 1)) for w in tokens(t))
+        assert out[i].n_tokens == out[i].n_known == len(tokens(t)) and abs(out[i].base_score - base) < 1e-3
+    judged = {r.doc_id: r for r in quality_rules.judge(df.selectExpr("*", "'en' as lang")).collect()}
+    for i, t in rows:
+        w = re.findall(SPACE, t)
+        grams = collections.Counter(zip(w, w[1:], w[2:]))
+        assert judged[i].n_words == len(w) and judged[i].n_repeat_words == len({j for s in range(len(w) - 2) if grams[tuple(w[s : s + 3])] > 1 for j in range(s, s + 3)})
+
+
 def test_quality_compares_documents_of_rare_languages(spark, monkeypatch):
     prose, junk = "some words of prose as they are, and more. " * 12, "#5 %%7 <9> &2 *|* $44 " * 20
     rows = spark.range(9000).selectExpr("id as doc_id", "'en' as lang").unionByName(spark.createDataFrame([(-1, "rare")], "doc_id long, lang string"))
@@ -447,6 +528,20 @@ def test_url_filter(spark):
     assert [got[i] for i in range(len(cases))] == list(cases.values())
 
 
+def test_url_vocabulary_from_a_file(spark, tmp_path):
+    (tmp_path / "terms.txt").write_text("# weights\nstrict bad-site\nsoft one\n\nsoft two\nsoft ONE\n")
+    strict, soft = url_filter.read_vocabulary(spark, f"file://{tmp_path}/terms.txt")
+    assert (strict, soft) == (("bad-site",), ("one", "two"))
+    rows = [(1, "https://bad-site.org/"), (2, "https://x.org/one"), (3, "https://x.org/one-TWO"), (3, "https://x.org/one-TWO"), (4, None), (5, "https://x.org/ones/two"), (6, "https://x.org/" + "one " * 50000 + "two")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = sorted((r.page_id, r.verdict) for r in url_filter.filter_urls(df, strict=strict, soft=soft).collect())
+    assert got == [(1, "block"), (2, "allow"), (3, "block"), (3, "block"), (4, "allow"), (5, "allow"), (6, "block")]
+    assert url_filter.filter_urls(df.filter("false"), strict=strict, soft=soft).collect() == []
+    (tmp_path / "bad.txt").write_text("heavy word\n")
+    with pytest.raises(ValueError, match="heavy"):
+        url_filter.read_vocabulary(spark, f"file://{tmp_path}/bad.txt")
+
+
 def test_line_templates(spark):
     rows = [(i, f"Posted by user {i} at noon\nown line {'abcdefgh'[i]} of text\nok", "z") for i in range(8)] + [(9, None, "z"), (10, "", "z"), (None, "Posted by user 5 at noon", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, clean_text string")
