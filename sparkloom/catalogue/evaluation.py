@@ -173,6 +173,32 @@ def metamorphic_probes(spark, d):
     return out
 
 
+_FAN = "SELECT l_orderkey AS o_orderkey FROM lineitem"
+#: Results of SQL text, right and slip, for the operators that the first substrate query leaves out.
+_MORE_SQL = {
+    "weighted_mean": ("SELECT sum(l_discount * l_extendedprice) / sum(l_extendedprice) AS wavg FROM lineitem", "SELECT avg(l_discount) AS wavg FROM lineitem"),
+    "join_fanout": (f"SELECT o_orderpriority, sum(o_totalprice) AS o_totalprice FROM orders WHERE o_orderkey IN ({_FAN}) GROUP BY 1", f"SELECT o_orderpriority, sum(o_totalprice) AS o_totalprice FROM orders JOIN ({_FAN}) USING (o_orderkey) GROUP BY 1"),
+    "left_join_keep_all": (f"SELECT * FROM orders LEFT JOIN (SELECT DISTINCT * FROM ({_FAN}) WHERE o_orderkey % 2 = 0) USING (o_orderkey)", f"SELECT * FROM orders JOIN (SELECT DISTINCT * FROM ({_FAN}) WHERE o_orderkey % 2 = 0) USING (o_orderkey)"),
+    "dedup_then_agg": (
+        f"SELECT o_orderpriority, sum(v) AS o_totalprice FROM (SELECT o_orderkey, o_orderpriority, max(o_totalprice) AS v FROM orders JOIN ({_FAN}) USING (o_orderkey) GROUP BY 1, 2) GROUP BY 1",
+        f"SELECT o_orderpriority, sum(o_totalprice) AS o_totalprice FROM orders JOIN ({_FAN}) USING (o_orderkey) GROUP BY 1",
+    ),
+    "null_in_agg_count": ("SELECT user_id % 9 AS g, count(*) AS n FROM events GROUP BY 1", "SELECT user_id % 9 AS g, count(CASE WHEN event_type <> 'error' THEN value END) AS n FROM events GROUP BY 1"),
+}
+
+
+@query("SELECT name AS contract, form, form = 'slip' AS fired FROM (VALUES " + ", ".join(f"('{n}')" for n in _MORE_SQL) + ") t(name), (VALUES ('right'), ('slip')) u(form)")
+def contract_sql_more(spark, d):
+    """The contracts over results of SQL text, for five more operators."""
+    for n in ("lineitem", "orders", "events"):
+        table(spark, d, n).createOrReplaceTempView(n)
+    given, out = cases(spark, d), None
+    for k, form in enumerate(("right", "slip")):
+        rows = engine.verdicts([(n, *given[n], spark.sql(q[k])) for n, q in _MORE_SQL.items()]).select("contract", F.lit(form).alias("form"), "fired")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # ---------------------------------------------------------------- transform language
 
 

@@ -7,12 +7,21 @@ from bisect import bisect_left
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.session import safe_unions
 
 RELATIVE, FLOOR = 0.015, 1.0
 
 
+def infer_axes(df: DataFrame, overlay: dict[str, str] | None = None) -> tuple[str, str, str | None]:
+    """x, y and group: those that the overlay names where they are columns, else the first column and the first number."""
+    given = {k: v for k, v in (overlay or {}).items() if v in df.columns}
+    plain = [c for c in df.columns if not c.startswith("_")] or df.columns
+    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    return given.get("x") or plain[0], given.get("y") or (numbers or df.columns[-1:])[0], given.get("group") or given.get("series")
+
+
 def wide_to_long(df: DataFrame, x: str, ys: list[str]) -> DataFrame:
     """One block for each y; missing cells go."""
     return df.unpivot([x], ys, "series", "value").filter("value is not null").select("series", F.col(x).cast("string").alias("x"), F.col("value").cast("double").alias("value"))

@@ -11,6 +11,7 @@ from sparkloom import compare
 from sparkloom.contracts import engine
 from sparkloom.operators import matching, ordered
 from sparkloom.operators.transforms import OPERATORS
+from sparkloom.plans import tasks
 from sparkloom.sources import corpus, files, profile
 
 NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -143,3 +144,17 @@ def test_newest_in_two_orders_with_unknown_years(spark):
                 seen.add(r[2])
                 want.append(r)
     assert [tuple(r) for r in out] == want[:45]
+
+
+def test_axes_by_overlay_or_type(spark):
+    df = spark.createDataFrame([("a", "s", 1.0, 2)], "_i string, day string, v double, n long")
+    assert matching.infer_axes(df) == ("day", "v", None)
+    assert matching.infer_axes(df, {"x": "n", "y": "gone", "series": "day"}) == ("n", "v", "day")
+
+
+def test_generated_tasks_tell_right_from_slip(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["x", "y", None]), round(rng.random() * 50, 2), None if i % 6 == 0 else round(rng.random() * 9, 2)) for i in range(60)]
+    made = tasks.generate(spark.createDataFrame(rows, "g string, v double, w double"), cap=6)
+    names = [t.operator for t in made]
+    assert "weighted_mean" in names and "pooled_rate" in names and 4 <= len(made) <= 6
