@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.shared import short_batches, text_bytes, written
@@ -127,13 +127,16 @@ def _root(parent: np.ndarray, i: int) -> int:
     return i
 
 
-def bucket_groups(fp: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
-    """For rows sorted by bucket, the first row of each row's group: linked within its bucket."""
+def bucket_groups(fp: np.ndarray, bucket: np.ndarray, radius: int, parent: np.ndarray | None = None, edges: list[tuple[int, int]] | None = None) -> np.ndarray:
+    """For rows sorted by bucket, the first row of each row's group: linked within its bucket.
+
+    ``parent``: groups found before; ``edges`` takes the pairs of rows that joined two groups.
+    """
     n = len(fp)
-    parent = np.arange(n)
-    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    size = np.diff(np.append(edges, n))
-    left = np.repeat(edges + size, size) - np.arange(n)  # rows of the bucket from this one on
+    parent = np.arange(n) if parent is None else parent
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[:n])
+    size = np.diff(np.append(first, n))
+    left = np.repeat(first + size, size) - np.arange(n)  # rows of the bucket from this one on
     rows = np.flatnonzero(np.repeat(size, size) > 1)
     offset = 1
     while len(rows):
@@ -146,10 +149,12 @@ def bucket_groups(fp: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray
             near = _near(planes, offset, live, radius)
             a, b = rows[near], rows[near + offset]
             part = parent[a] != parent[b]
-            for i, j in zip(a[part].tolist(), b[part].tolist(), strict=True):
-                i, j = _root(parent, i), _root(parent, j)
+            for x, y in zip(a[part].tolist(), b[part].tolist(), strict=True):
+                i, j = _root(parent, x), _root(parent, y)
                 if i != j:
                     parent[max(i, j)] = min(i, j)
+                    if edges is not None:
+                        edges.append((x, y))
             while (parent != parent[parent]).any():
                 parent = parent[parent]
             offset += 1
@@ -233,3 +238,229 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(distinct, edges.union(twice))
     classes = distinct.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"))
     return prints.join(classes, "fp").select(F.col("doc").alias(id_col), "fp", "component_id")
+
+
+# ---------------------------------------------------------------- similar texts
+
+WORDS, SIMILARITY = 5, 0.8
+#: Bits in which fingerprints of similar texts may differ, tried from the nearest on.  At a similarity of 0.8 the
+#: angle of the shingle vectors is 27 degrees: 10 bits are expected, with a deviation of 3.
+NEAR_BITS = (4, 10, 16)
+#: Clusters of at most so many texts and shingles are compared whole, each in one task.
+WHOLE_TEXTS, WHOLE_SHINGLES = 1000, 4_000_000
+#: In larger clusters each text is compared with so many that most candidates share.
+HUBS = 12
+#: One document in so many tells which shingles are common; the share of these that makes one so.
+SAMPLE, COMMON_SHARE, MOST_COMMON = 16, 1 / 512, 1 << 20
+
+
+def shingle_set(text: bytes, shingle: int = WORDS) -> np.ndarray:
+    """The different XXH64 (seed 42) of the word shingles, sorted; of fewer words the whole sequence, of none nothing."""
+    import xxhash
+
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, dtype="<u8")
+    grams = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
+    h64 = xxhash.xxh64_intdigest
+    return np.unique(np.array([h64(b" ".join(g), 42) for g in grams], dtype="<u8"))
+
+
+def _signature(hashes: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 7)
+
+
+def _print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of shingles: each counts once."""
+    total = np.zeros(64, dtype=np.int64)
+    for part in range(0, len(hashes), 1 << 14):
+        total += np.unpackbits(hashes[part : part + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def leading(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of the set's shingles, common ones last, that of two similar sets these have one in common."""
+    least = int(np.ceil(similarity * len(hashes) - 1e-9))
+    order = np.lexsort((hashes, np.isin(hashes, common)))
+    return hashes[order[: len(hashes) - least + 1]]
+
+
+def spanning(fp: np.ndarray, bucket: np.ndarray, radii: tuple[int, ...] = NEAR_BITS) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Groups within buckets (rows sorted by bucket), and pairs that hold each together, the nearest rows first."""
+    edges: list[tuple[int, int]] = []
+    parent = np.arange(len(fp))
+    for radius in radii:
+        parent = bucket_groups(fp, bucket, radius, parent, edges)
+    return parent, edges
+
+
+def linked_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of sets that hold the groups of similar sets together; all pairs are compared."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    flat, of = np.concatenate(sets), np.repeat(np.arange(n), size)
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])[: len(flat)]
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column) > 1 if len(column) else np.zeros(0, dtype=bool)
+    keep = shared[column]
+    column, of = (np.cumsum(shared) - 1)[column[keep]], of[keep]
+    both = np.zeros((n, n), dtype=np.float32)
+    for first in range(0, int(shared.sum()), 2048):  # exact: counts stay far below the precision of a float
+        a, b = np.searchsorted(column, [first, first + 2048])
+        block = np.zeros((n, 2048), dtype=np.float32)
+        block[of[a:b], column[a:b] - first] = 1
+        both += block @ block.T
+    x, y = np.nonzero(np.triu(both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6, 1))
+    parent, edges = np.arange(n), []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        p, q = _root(parent, i), _root(parent, j)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            edges.append((i, j))
+    return edges
+
+
+def _candidates(rows: DataFrame, part_rows: int) -> DataFrame:
+    """Pairs ``(a, b)`` of texts that share a leading shingle and have near fingerprints.
+
+    A bucket (``key``) of at most ``part_rows`` rows is compared whole.  A larger one is cut into parts
+    at random; each part's groups are held together by pairs, and one row of each group goes on to
+    be compared with those of the other parts, so the work stays linear in the bucket.
+    """
+    spark = rows.sparkSession
+    found, level = None, rows
+    while True:
+        counts = level.groupBy("key").count().filter(F.col("count") > part_rows)
+        large = written(counts.select("key", F.ceil(F.col("count") / part_rows * 2).cast("int").alias("parts")), "large-keys")
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), level.count() // 500_000)
+        part = F.xxhash64("key", F.pmod(F.xxhash64("sig", F.lit(3)), F.col("parts")))
+        # A row crosses the shuffle as three numbers; only those of large buckets have the key beside.
+        dealt = level.join(F.broadcast(large) if large.count() < 10_000 else large, "key", "left").select("sig", "fp", F.coalesce(part, "key").alias("bucket"), F.when(F.col("parts").isNotNull(), F.col("key")).alias("key"))
+        dealt = dealt.withColumn("shard", F.pmod("bucket", F.lit(shards)).cast("int"))
+
+        def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+            order = np.lexsort((pdf["sig"].to_numpy(), pdf["fp"].to_numpy(), pdf["bucket"].to_numpy()))
+            bucket = pdf["bucket"].to_numpy()[order]
+            # Most shingles are in one text only.
+            same = bucket[1:] == bucket[:-1]
+            order = order[np.append(same, False) | np.append(False, same)] if len(bucket) else order
+            bucket, fp, sig = (pdf[c].to_numpy()[order] for c in ("bucket", "fp", "sig"))
+            inside = pdf["key"].notna().to_numpy()[order]
+            key = pdf["key"].fillna(0).astype("int64").to_numpy()[order]
+            parent, edges = spanning(np.ascontiguousarray(fp).view("<u8"), bucket)
+            x, y = (np.array([e[k] for e in edges], dtype=np.int64) for k in (0, 1))
+            again = np.unique(parent[x][inside[x]]) if len(x) else x
+            links = pd.DataFrame({"a": sig[x], "b": sig[y], "key": np.zeros(len(x), dtype=np.int64), "fp": np.zeros(len(x), dtype=np.int64), "root": np.zeros(len(x), dtype=bool)})
+            return pd.concat([links, pd.DataFrame({"a": sig[again], "b": sig[again], "key": key[again], "fp": fp[again], "root": np.ones(len(again), dtype=bool)})])
+
+        out = written(dealt.groupBy("shard").applyInPandas(compare, "a long, b long, key long, fp long, root boolean"), "candidates")
+        pairs = out.filter("not root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = pairs if found is None else found.union(pairs)
+        level = out.filter("root").select("key", F.col("a").alias("sig"), "fp")
+        if level.isEmpty():
+            return written(found.filter("a <> b").distinct(), "pairs")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY, part_rows: int = PART_ROWS) -> DataFrame:
+    """``id_col`` and ``component_id``: the smallest id that links of similar texts reach, for rows with an id.
+
+    Similarity is the Jaccard index of the sets of word shingles.  Texts of one set are similar; of
+    others those with a near fingerprint among the texts that share a leading shingle are candidates.
+    Which shingles lead is a matter of balance only: any order does, and common shingles come last,
+    so that a passage that many texts share makes no large bucket.  Texts that candidates connect
+    are compared by their whole sets: all with all in clusters of up to ``WHOLE_TEXTS``; in larger
+    ones the candidates, and each text with the ``HUBS`` that most candidates share, so that no task
+    gets an unbounded group.  A link is lost if fingerprints of similar texts are over the last of
+    ``NEAR_BITS`` apart and no others connect them, or if a large cluster hangs together by pairs
+    that are no candidates.
+
+    Null ids have no row.  A null text is an empty text; texts without words are alike.  Rows of
+    one id with different texts fall in one component.
+    """
+    spark = docs.sparkSession
+    short_batches(spark)
+    safe_unions(spark)
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("doc is not null")
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            sets = [shingle_set(t, shingle) for t in text_bytes(rb, "text")]
+            flat = np.concatenate([np.zeros(0, dtype="<u8"), *sets]).view("<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array([i == 0 for i in range(len(flat))], pa.bool_())], names=["key", "first"])
+
+    sample = rows.filter(F.pmod(F.xxhash64("doc", F.lit(11)), F.lit(SAMPLE)) == 0)
+    least = max(8, int(sample.count() * COMMON_SHARE))
+    often = sample.select("text").mapInArrow(hashes, "key long, first boolean").groupBy("key").count().filter(F.col("count") >= least)
+    common = np.array([r.key for r in often.orderBy(F.col("count").desc(), "key").limit(MOST_COMMON).select("key").toLocalIterator()], dtype="<i8").view("<u8")
+
+    def prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            sets = [shingle_set(t, shingle) for t in text_bytes(rb, "text")]
+            sig = np.array([_signature(h) for h in sets], dtype="<u8").view("<i8")
+            fp = np.array([_print_of(h) if len(h) else 0 for h in sets], dtype="<u8").view("<i8")
+            keys = [leading(h, common, similarity).view("<i8") for h in sets]
+            sizes = pa.array([len(h) for h in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([rb.column("doc"), pa.array(sig), pa.array(fp), sizes, pa.array(keys, pa.list_(pa.int64()))], names=["doc", "sig", "fp", "n", "keys"])
+
+    found = written(rows.mapInArrow(prints, f"doc {kind}, sig long, fp long, n int, keys array<long>"), "prints")
+    distinct = written(found.groupBy("sig").agg(F.min("doc").alias("node"), F.first("n").alias("n")), "distinct")
+    first = distinct.select(F.col("sig").alias("own"), "node")
+    one = written(found.select("doc", "sig", "fp", "keys").join(first, (F.col("doc") == F.col("node")) & (F.col("sig") == F.col("own")), "left_semi").select("sig", "fp", "keys"), "leading")
+    pairs = _candidates(one.select("sig", "fp", F.explode("keys").alias("key")), part_rows)
+
+    # Texts that candidates connect are a cluster.  Clusters of a bounded size are compared whole.
+    need = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+    cluster = components(need, pairs).select(F.col("node").alias("sig"), F.col("label").alias("cluster"))
+    need = written(distinct.join(cluster, "sig"), "needed")
+    size = need.groupBy("cluster").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("entries"))
+    size = written(size.select("cluster", "entries", ((F.col("texts") > WHOLE_TEXTS) | (F.col("entries") > WHOLE_SHINGLES)).alias("large")), "clusters")
+    entries = size.filter("not large").agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // WHOLE_SHINGLES)
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            sets = [shingle_set(t, shingle) for t in text_bytes(rb, "text")]
+            own = np.array([_signature(h) for h in sets], dtype="<u8").view("<i8") == rb.column("sig").to_numpy()  # an id may have other texts too
+            kept = rb.filter(pa.array(own))
+            yield pa.RecordBatch.from_arrays([kept.column("sig"), kept.column("cluster"), kept.column("large"), pa.array([h.view("<i8") for h, ok in zip(sets, own, strict=True) if ok], pa.list_(pa.int64()))], names=["sig", "cluster", "large", "set"])
+
+    # Whole sets of the texts in clusters only.
+    wanted = need.join(size.select("cluster", "large"), "cluster").select(F.col("node").alias("doc"), "sig", "cluster", "large")
+    sets = written(rows.join(wanted, "doc").select("text", "sig", "cluster", "large").mapInArrow(whole, "sig long, cluster long, large boolean, set array<long>"), "sets")
+
+    def join_whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        pdf = pdf.drop_duplicates("sig").sort_values(["cluster", "sig"])
+        for _, own in pdf.groupby("cluster", sort=False):
+            sig, sets = own["sig"].to_numpy(), [np.asarray(x, dtype=np.int64) for x in own["set"]]
+            found += [(int(sig[i]), int(sig[j])) for i, j in linked_sets(sets, similarity)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    small = sets.filter("not large").select("sig", "cluster", "set", F.pmod(F.xxhash64("cluster"), F.lit(shards)).cast("int").alias("shard"))
+    linked = small.groupBy("shard").applyInPandas(join_whole, "a long, b long")
+    # Of larger ones the candidates, and all texts against the few that are in most of these.
+    sets = sets.filter("large").select("sig", "set").dropDuplicates(["sig"])
+    in_large = written(wanted.filter("large").select("sig", "cluster"), "in-large")
+    near = written(pairs.join(in_large.select(F.col("sig").alias("a")), "a", "left_semi"), "near")
+    degree = near.select(F.col("a").alias("sig")).unionAll(near.select("b")).groupBy("sig").count()
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("count").desc(), "sig"))
+    hubs = in_large.join(degree, "sig").withColumn("rank", rank).filter(F.col("rank") <= HUBS).select("cluster", F.col("sig").alias("hub"))
+    star = in_large.join(hubs, "cluster").filter("sig <> hub").select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b"))
+    tested = near.union(star).distinct()
+    both = F.size(F.array_intersect("x", "y"))
+    tested = tested.join(sets.select(F.col("sig").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("set").alias("y")), "b")
+    linked = written(linked.union(tested.filter(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")), "similar-pairs")
+
+    names = lambda c, n: distinct.select(F.col("sig").alias(c), F.col("node").alias(n))
+    edges = linked.join(names("a", "p"), "a").join(names("b", "q"), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
+    # An id with several texts joins them.
+    twice = found.select("doc", "sig").join(distinct, "sig").filter("doc <> node").select(F.col("node").alias("a"), F.col("doc").alias("b"))
+    twice = twice.join(found.groupBy("doc").agg((F.min("sig") < F.max("sig")).alias("several")).filter("several").select(F.col("doc").alias("b")), "b", "left_semi").select("a", "b")
+    labels = components(distinct, edges.union(twice).distinct())
+    classes = distinct.join(labels, "node", "left").select("sig", F.coalesce("label", "node").alias("component_id"))
+    return found.select("doc", "sig").join(classes, "sig").select(F.col("doc").alias(id_col), "component_id")

@@ -277,6 +277,82 @@ def test_bit_sliced_groups(radius):
     assert (got == label).all()
 
 
+def brute_similar(rows, shingle=5, similarity=0.8):
+    """The smallest id reachable by pairs of texts whose sets of word shingles have that Jaccard index."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set())
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both and both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9 or rows[i][0] == rows[j][0]:
+                label[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), d), d)
+    return {d: least[root(i)] for i, (d, _) in enumerate(rows)}
+
+
+def similar_rows():
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 5))) for _ in range(400)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+
+    def edited(text, n):
+        w = text.split()
+        for _ in range(n):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        return " ".join(w)
+
+    texts = []
+    for _ in range(80):
+        base = some(rng.randint(3, 200))
+        texts += [edited(base, rng.randint(0, max(1, len(base.split()) // 20))) for _ in range(rng.choice([1, 1, 2, 3, 8]))]
+    base, passage = some(120), some(60)
+    texts += [edited(base, rng.randint(0, 3)) for _ in range(150)]  # one large group
+    texts += [some(rng.randint(5, 100)) + " " + passage for _ in range(120)]  # one passage in unlike texts
+    texts += ["", "", None, " \n", "one", "ONE", "one two", texts[0], texts[0]]
+    rows = [(i * 3, t) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    return [*rows, rows[3], (rows[5][0], rows[40][1])]  # a repeated row, an id with two texts
+
+
+@pytest.mark.parametrize("part", [4096, 48])
+def test_similar_groups_equal_brute_force(spark, part):
+    rows = similar_rows()
+    df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in [*rows, (None, rows[0][1])]], "doc_id long, text string, sig string, component_id string").repartition(5)
+    out = simhash.similar_groups(df, part_rows=part).collect()
+    assert len(out) == len(rows) and {r.doc_id: r.component_id for r in out} == brute_similar(rows)
+
+
+def test_similar_groups_of_large_clusters(spark, monkeypatch):
+    # Clusters over the bound: candidates, and each text against a hub.  No wrong link; few lost.
+    monkeypatch.setattr(simhash, "WHOLE_TEXTS", 20)
+    rows = similar_rows()
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    want = brute_similar(rows)
+    by = {}
+    for i in want:
+        by.setdefault(got[i], set()).add(want[i])
+    assert all(len(x) == 1 for x in by.values())
+    assert sum(got[i] == want[i] for i in want) > 0.8 * len(want)
+
+
+def test_similar_groups_without_rows(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.similar_groups(df).collect() == []
+    one = spark.createDataFrame([(7, "only one text"), (8, None)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(one).collect()} == {7: 7, 8: 8}
+
+
 # ---------------------------------------------------------------- decontamination
 
 
