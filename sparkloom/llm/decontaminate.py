@@ -33,6 +33,8 @@ from sparkloom.llm.shared import map_arrays, put_arrays, scratch, short_batches,
 WINDOW, COVERAGE = 10, 1.0
 #: Characters of items in one automaton; what a task that builds one holds is bounded by this.
 BLOCK_CHARS = 2_000_000
+#: Of so many blocks at most a worker holds the words in tables of its own (some 30 MB each); of more they are searched in the maps.
+FEW_BLOCKS = 4
 
 # Everything but 0-9, a-z and non-ASCII separates words; A-Z becomes a-z.
 _NORMAL = bytes(ord(chr(b).lower()) if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -160,6 +162,12 @@ class MappedAutomaton:
         self.link, self.length, self.root, self.one_word, self.one_state, self.branches, self.more, self.more_state, self.cut, self.item_edges, self.item, self.short, self.short_edges, self.short_words, self.short_item = rest
         self.names = pickle.loads(arrays[-1].tobytes())
 
+    @functools.cached_property
+    def vocabulary(self) -> dict[bytes, int]:
+        """All words of the block's items and their numbers, as a table of this worker's own."""
+        raw, edges = self.words.tobytes(), self.word_edges.tolist()
+        return {raw[a:b]: i for a, b, i in zip(edges[:-1], edges[1:], self.ids.tolist(), strict=True)}
+
     def numbers(self, words: Iterable[bytes]) -> dict[bytes, int]:
         """The numbers of those words that the items have; hashes find them, bytes confirm."""
         import xxhash
@@ -202,7 +210,8 @@ class MappedAutomaton:
 
     def hits(self, words: list[bytes], numbers: dict[bytes, int]) -> tuple[list[tuple[int, int]], set[int]]:
         """Word spans (first, past last; merged) of hits, and the items that have them."""
-        ids = np.fromiter((numbers.get(w, -1) for w in words), dtype=np.int32, count=len(words))
+        get = numbers.get
+        ids = np.array([get(w, -1) for w in words], dtype=np.int32)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], (ids >= 0).view(np.int8), [0]])))
         spans: list[tuple[int, int]] = []
         found: set[int] = set()
@@ -297,12 +306,12 @@ def decontaminate(
         for rb in batches:
             texts = text_bytes(rb, text_col)
             split = [words_of(t) for t in texts]
-            different = set().union(*split)
+            different = set().union(*split) if len(blocks) > FEW_BLOCKS else ()
             spans: list[list] = [[] for _ in texts]
             found: list[set] = [set() for _ in texts]
             for path in blocks:
                 automaton = load_block(path)
-                numbers = automaton.numbers(different)
+                numbers = automaton.numbers(different) if different else automaton.vocabulary
                 for i, words in enumerate(split):
                     s, f = automaton.hits(words, numbers)
                     if s:
