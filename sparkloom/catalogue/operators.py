@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.catalogue.registry import query, table
+from sparkloom.operators import ordered
 from sparkloom.operators.transforms import OPERATORS as OP
 
 
@@ -227,3 +228,24 @@ def mean_and_count(spark, d):
 def top2_per_group(spark, d):
     out = OP["top_per_group"]({"df": table(spark, d, "orders")}, {"group": "o_orderpriority", "value": "o_totalprice", "n": 2, "order": ["o_orderkey"]})
     return out.select("o_orderpriority", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT c_custkey, c_name, round(sum(c_acctbal) OVER (ORDER BY c_mktsegment, c_name, c_custkey ROWS UNBOUNDED PRECEDING), 2) + 0.0 AS balance FROM customer")
+def running_sum_by_text(spark, d):
+    out = ordered.running_sum(table(spark, d, "customer"), "c_acctbal", ["c_mktsegment", "c_name", "c_custkey"], "balance")
+    return out.select("c_custkey", "c_name", (F.round("balance", 2) + 0.0).alias("balance"))
+
+
+@query("SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_name DESC) AS BIGINT) AS rank FROM part")
+def dense_rank_of_text(spark, d):
+    return ordered.dense_rank(table(spark, d, "part"), "p_name", "rank").select("p_partkey", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY text, doc_id) AS place FROM documents")
+def numbered_by_text(spark, d):
+    return ordered.numbered(table(spark, d, "documents").select("doc_id", "text"), ["text", "doc_id"], "place").select("doc_id", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT doc_id, round((rank() OVER (ORDER BY text) + (count(*) OVER (PARTITION BY text) - 1) / 2) / count(*) OVER (), 9) AS pct FROM documents")
+def rank_pct_of_text(spark, d):
+    return ordered.rank_pct(table(spark, d, "documents").select("doc_id", "text"), "text", "pct").select("doc_id", F.round("pct", 9).alias("pct"))

@@ -1,8 +1,8 @@
 """Windows over the whole table without moving it to one task.
 
 A window without ``PARTITION BY`` sorts all rows in a single task.  Here rows are cut into
-ranges of the leading order column at approximate quantiles; each range is its own window
-partition, and what the ranges before contribute (a sum, a count, a last value) is computed
+ranges of the leading order column at approximate quantiles (text: at prefixes of values drawn
+by chance); each range is its own window partition, and what the ranges before contribute (a sum, a count, a last value) is computed
 over one row a range.  Ranges never split equal keys, so ranks and ties stay exact.
 """
 
@@ -19,21 +19,38 @@ RANGES, MOST_RANGES = 64, 4096
 _PART = "__range"
 
 
-def _place(number: Column, cuts: list[float], first: int = 1) -> Column:
-    """The range of a number among sorted cuts: a tree of comparisons, which generated code walks in log steps."""
+#: Characters of a text cut, and rows drawn for each cut; their product bounds what the driver gets.
+CUT_CHARS, DRAWN = 64, 40
+
+
+def _place(key: Column, cuts: list, first: int = 1) -> Column:
+    """The range of a key among sorted cuts: a tree of comparisons, which generated code walks in log steps."""
     if not cuts:
         return F.lit(first)
     mid = len(cuts) // 2
-    return F.when(number < cuts[mid], _place(number, cuts[:mid], first)).otherwise(_place(number, cuts[mid + 1 :], first + mid + 1))
+    return F.when(key < F.lit(cuts[mid]), _place(key, cuts[:mid], first)).otherwise(_place(key, cuts[mid + 1 :], first + mid + 1))
+
+
+def _text_cuts(df: DataFrame, key: str, ranges: int) -> list[str]:
+    """Sorted prefixes of values of rows drawn by chance, at even distances.
+
+    A prefix is a cut like any other, so long texts stay where they are.  A common value may take
+    several cuts: they fall together, and the value's rows stay in one range, as ties must.
+    """
+    kept = df.filter(F.col(key).isNotNull()).select(F.substring(F.col(key).cast("string"), 1, CUT_CHARS).alias("k"))
+    drawn = sorted((r.k for r in kept.orderBy(F.rand(7)).limit(ranges * DRAWN).collect()), key=lambda t: t.encode())
+    return sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)} if drawn else set(), key=lambda t: t.encode())
 
 
 def ranged(df: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
-    """Add the range number of ``key`` (NULL first, as range 0)."""
+    """Add the range number of ``key`` (NULL first, as range 0).  Text is in the order of its code points."""
     ranges = ranges or max(RANGES, min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     kind = df.schema[key].dataType.typeName()
+    if kind == "binary":
+        raise TypeError(f"the leading order column {key!r} must be a number, a time, a boolean or text")
+    if kind.startswith(("string", "varchar", "char")):
+        return df.withColumn(_PART, F.when(F.col(key).isNull(), 0).otherwise(_place(F.col(key), _text_cuts(df, key, ranges))))
     number = F.col(key).cast("timestamp").cast("double") if kind.startswith(("timestamp", "date")) else F.col(key).cast("double")
-    if kind in ("string", "binary"):
-        raise TypeError(f"the leading order column {key!r} must be numeric or temporal")
     cuts = df.select(number.alias("k")).approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.3 / ranges)
     return df.withColumn(_PART, F.when(number.isNull(), 0).otherwise(_place(number, sorted(set(cuts)))))
 
@@ -89,10 +106,8 @@ def lagged(df: DataFrame, value: str, order: list[str], out: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """The number of each row in order, from 1; text as the leading column takes a window over all rows."""
+    """The number of each row in order, from 1."""
     keys = [F.col(c).asc_nulls_first() for c in order]
-    if df.schema[order[0]].dataType.typeName() in ("string", "binary", "boolean"):
-        return df.withColumn(out, F.row_number().over(Window.orderBy(*keys)))
     rows = ranged(df, order[0])
     before = _before(rows.groupBy(_PART).agg(F.count(F.lit(1)).alias("n")), F.col("n"), False)
     w = Window.partitionBy(_PART).orderBy(*keys)

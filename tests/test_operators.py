@@ -3,11 +3,13 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.compare import column_status, equal, modal_result, new_errors, scalar_equal, subset_equal
 from sparkloom.contracts import engine
 from sparkloom.contracts.repair import diagnose, repair, run_arm
+from sparkloom.operators import ordered
 from sparkloom.operators.slips import SLIPS
 from sparkloom.operators.transforms import OPERATORS
 from sparkloom.params import MissingRole, nan_to_null
@@ -175,3 +177,21 @@ def test_generated_tasks_are_validated(spark):
     assert Task("median_not_mean", {"group": "g", "value": "v"}) in tasks and Task("nan_as_zero_sum", {"group": "g", "value": "w"}) in tasks
     assert generate(spark.createDataFrame(rows, "g string, v double, w double"), cap=2) == tasks[:2]
     assert generate(spark.createDataFrame([(1,)], "x int")) == []
+
+
+def test_text_as_leading_order_column(spark):
+    """Ties, empty and missing keys, a hot key and keys that differ after the length of a cut, as in one window."""
+    keys = ["", None, "a", "a", "é", "\U0001f600", "\uffff", "z" * 64 + "a", "z" * 64 + "b", "z" * 64, "hot"] + ["hot"] * 300 + [f"k{i % 37}" for i in range(200)]
+    df = spark.createDataFrame([(i, k, i % 5) for i, k in enumerate(keys)], "id long, k string, v long").repartition(5)
+    w = Window.orderBy(F.col("k").asc_nulls_first(), "id")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("id", F.sum("v").over(run).alias("s"), F.row_number().over(w).alias("n"), F.lag("v").over(w).alias("l"), F.when(F.col("k").isNotNull(), F.dense_rank().over(Window.orderBy(F.col("k").desc()))).alias("d"))
+    got = {}
+    for name, out in {"s": ordered.running_sum(df, "v", ["k", "id"], "s"), "n": ordered.numbered(df, ["k", "id"], "n"), "l": ordered.lagged(df, "v", ["k", "id"], "l"), "d": ordered.dense_rank(df, "k", "d")}.items():
+        got[name] = {r["id"]: r[name] for r in out.collect()}
+    for r in want.collect():
+        assert [got[c][r.id] for c in "snld"] == [r.s, r.n, r.l, r.d], r
+    empty = df.filter("id < 0")
+    assert ordered.numbered(empty, ["k", "id"], "n").count() == 0
+    flags = df.select("id", (F.col("v") > 2).alias("f"))
+    assert sorted(r.n for r in ordered.numbered(flags, ["f", "id"], "n").collect()) == list(range(1, len(keys) + 1))
