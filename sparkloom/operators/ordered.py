@@ -49,9 +49,9 @@ def ranged(df: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
     if kind == "binary":
         raise TypeError(f"the leading order column {key!r} must be a number, a time, a boolean or text")
     if kind.startswith(("string", "varchar", "char")):
-        return df.withColumn(_PART, F.when(F.col(key).isNull(), 0).otherwise(_place(F.col(key), _text_cuts(df, key, ranges))))
+        return df.withColumn(_PART, F.when(F.col(key).isNull(), 0).otherwise(_place(F.col(key), _text_cuts(df, key, ranges) if ranges > 1 else [])))
     number = F.col(key).cast("timestamp").cast("double") if kind.startswith(("timestamp", "date")) else F.col(key).cast("double")
-    cuts = df.select(number.alias("k")).approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.3 / ranges)
+    cuts = df.select(number.alias("k")).approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.3 / ranges) if ranges > 1 else []
     return df.withColumn(_PART, F.when(number.isNull(), 0).otherwise(_place(number, sorted(set(cuts)))))
 
 
@@ -105,10 +105,10 @@ def lagged(df: DataFrame, value: str, order: list[str], out: str) -> DataFrame:
     return _finish(rows.withColumn("__own", F.lag(value).over(w)).withColumn("__first", first), before, out, lambda b: F.when(F.col("__first"), b).otherwise(F.col("__own"))).drop("__first")
 
 
-def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """The number of each row in order, from 1."""
+def numbered(df: DataFrame, order: list[str], out: str, ranges: int | None = None) -> DataFrame:
+    """The number of each row in order, from 1; ``ranges`` suits tables known to be small."""
     keys = [F.col(c).asc_nulls_first() for c in order]
-    rows = ranged(df, order[0])
+    rows = ranged(df, order[0], ranges)
     before = _before(rows.groupBy(_PART).agg(F.count(F.lit(1)).alias("n")), F.col("n"), False)
     w = Window.partitionBy(_PART).orderBy(*keys)
     return _finish(rows.withColumn("__own", F.row_number().over(w)), before, out, lambda b: F.col("__own") + b)
