@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, decontaminate, kneser_ney, license_scan, line_templates, quality_rules, rindex, simhash, url_filter, weak_labels
+from sparkloom.llm import bpe, decontaminate, kneser_ney, license_scan, line_templates, mixing, quality_rules, rindex, simhash, url_filter, weak_labels
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -93,6 +93,10 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "clean_text", "n_lines", "n_dropped")
 
 
+def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,7 +105,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_kneser_ney, op3_url_filter, op4_decontaminate, op5_bpe, op6_weak_labels, op7_license_scan, op8_run_length_index, op9_simhash, op10_line_templates, pipeline)
+    for f in (op1_quality_rules, op2_kneser_ney, op3_url_filter, op4_decontaminate, op5_bpe, op6_weak_labels, op7_license_scan, op8_run_length_index, op9_simhash, op10_line_templates, op11_mix_sources, pipeline)
 }
 
 
@@ -163,4 +167,21 @@ def _op10_sql() -> str:
     FROM m GROUP BY doc_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": _op3_sql(), "op4_decontaminate": _op4_sql(), "op10_line_templates": _op10_sql()}
+def _op11_sql() -> str:
+    weights = ", ".join(map(str, mixing.WEIGHTS))
+    most, share = mixing.MOST_EPOCHS, mixing.SHARE
+    return f"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('{mixing.SEED}:' || doc_id || ':' || md5(coalesce(text, ''))) AS shuffled FROM documents),
+    s AS (SELECT source, sum(size) AS source_size, CAST([{weights}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS DOUBLE) AS weight FROM d GROUP BY source),
+    l AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, weight, source_size * {most}.0::DOUBLE AS bound, source_size * {most}.0::DOUBLE / weight AS level, sum(weight) OVER () AS all_weight, CAST(sum(source_size) OVER () AS BIGINT) * {share}::DOUBLE AS budget FROM s),
+    u AS (SELECT *, sum(bound) OVER w + level * (all_weight - sum(weight) OVER w) <= budget AS at_bound FROM l WINDOW w AS (ORDER BY level, source ROWS UNBOUNDED PRECEDING)),
+    v AS (SELECT *, coalesce(sum(bound) FILTER (WHERE at_bound) OVER (), 0.0) AS bounds, coalesce(sum(weight) FILTER (WHERE at_bound) OVER (), 0.0) AS weights FROM u),
+    t AS (SELECT source, source_size, budget, CASE WHEN at_bound THEN bound ELSE least((budget - bounds) * weight / (all_weight - weights), bound) END AS target FROM v),
+    p AS (SELECT doc_id, size, source_size, target, budget, source, row_number() OVER (PARTITION BY source ORDER BY shuffled, size) AS place,
+            sum(size) OVER (PARTITION BY source ORDER BY shuffled, size ROWS UNBOUNDED PRECEDING) AS given FROM d JOIN t USING (source)),
+    q AS (SELECT *, (given + epoch * source_size)::DOUBLE / target AS finish FROM p, range({most}) e(epoch)),
+    r AS (SELECT *, coalesce(sum(size) OVER (ORDER BY finish, source, place, epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM q WHERE size > 0 OR epoch = 0)
+    SELECT doc_id, CAST(any_value(size) AS BIGINT) AS size, any_value(source_size) AS source_size, any_value(target) AS target, CAST(sum(greatest(0, least(size, floor(budget) - start))) AS BIGINT) AS taken FROM r GROUP BY doc_id"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": _op3_sql(), "op4_decontaminate": _op4_sql(), "op10_line_templates": _op10_sql(), "op11_mix_sources": _op11_sql()}
