@@ -13,7 +13,8 @@ source, place), which splits ties; the ranges' offsets are one row a range.
 Defined results.  A null text has size 0.  Documents of size 0 and sources without words are never
 taken.  Sources are in the order of their code points, null last.  Repeated rows are documents of
 their own.  The order is by a hash of id and text, so reruns and other partitionings give the same mix.
-The last document is taken in part, so that the words taken are the budget.  Columns of the result
+The last document is taken in part, so that the words taken are the budget.  A source is off its target by
+a document of its own, or by its share of what the others are off.  Columns of the result
 that clash with carried ones get underscores.  An empty table gives an empty mix.
 """
 

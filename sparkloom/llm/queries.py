@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, decontaminate, kneser_ney, license_scan, line_templates, mixing, quality_rules, rindex, simhash, url_filter, weak_labels
+from sparkloom.llm import bpe, decontaminate, kneser_ney, license_scan, line_templates, mixing, quality_rules, ranked_search, rindex, simhash, token_alignment, url_filter, weak_labels
 
-RANKS = "byte_bpe_50k.tiktoken"
+RANKS, A_FILE, B_FILE = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -97,6 +97,17 @@ def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_alignment.align(docs, public_tokenizers.path(A_FILE), public_tokenizers.PATTERN, public_tokenizers.path(B_FILE))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,7 +116,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_kneser_ney, op3_url_filter, op4_decontaminate, op5_bpe, op6_weak_labels, op7_license_scan, op8_run_length_index, op9_simhash, op10_line_templates, op11_mix_sources, pipeline)
+    for f in (op1_quality_rules, op2_kneser_ney, op3_url_filter, op4_decontaminate, op5_bpe, op6_weak_labels, op7_license_scan, op8_run_length_index, op9_simhash, op10_line_templates, op11_mix_sources, op12_token_alignment, op13_ranked_search, pipeline)
 }
 
 
@@ -184,4 +195,18 @@ def _op11_sql() -> str:
     SELECT doc_id, CAST(any_value(size) AS BIGINT) AS size, any_value(source_size) AS source_size, any_value(target) AS target, CAST(sum(greatest(0, least(size, floor(budget) - start))) AS BIGINT) AS taken FROM r GROUP BY doc_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": _op3_sql(), "op4_decontaminate": _op4_sql(), "op10_line_templates": _op10_sql(), "op11_mix_sources": _op11_sql()}
+def _op13_sql() -> str:
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+    WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+    c AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d WHERE len(w) > 0),
+    q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({words}) AS t FROM benchmark) GROUP BY 1, 2),
+    p AS (SELECT doc_id, t, any_value(n) AS n, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY 1, 2),
+    f AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY t),
+    i AS (SELECT doc_id, p.t, w * (({ranked_search.SCALE} * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words))) AS impact FROM p JOIN f USING (t), c),
+    s AS (SELECT item_id, doc_id, CAST(sum(times * impact) AS BIGINT) AS score FROM q JOIN i USING (t) GROUP BY 1, 2),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {ranked_search.K}"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": _op3_sql(), "op4_decontaminate": _op4_sql(), "op10_line_templates": _op10_sql(), "op11_mix_sources": _op11_sql(), "op13_ranked_search": _op13_sql()}

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch; texts are long, so batches must be short to bound a worker's memory.
 BATCH_ROWS = 256
+#: Bytes in one Arrow batch of texts; a longer text makes a batch of its own.
+BATCH_BYTES = 1 << 25
 #: Files that one worker keeps mapped.
 MOST_MAPS = 2048
 
@@ -34,6 +36,14 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches short in rows and in bytes, so that many very long texts do not meet in one."""
+    short_batches(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) != str(BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, with its file system.
 
