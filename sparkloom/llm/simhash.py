@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -244,11 +245,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bits in which fingerprints of similar texts may differ, tried from the nearest on.  At a similarity of 0.8 the
-#: angle of the shingle vectors is 27 degrees: 10 bits are expected, with a deviation of 3.
-NEAR_BITS = (4, 10, 16)
-#: Clusters of at most so many texts and shingles are compared whole, each in one task.
+#: angle of the shingle vectors is 27 degrees: 10 bits are expected, with a deviation of 3, so 22 is four of these away.
+NEAR_BITS = (4, 10, 16, 22)
+#: Clusters of at most so many texts and shingles are compared whole, each in one task; larger ones by parts of this size.
 WHOLE_TEXTS, WHOLE_SHINGLES = 1000, 4_000_000
-#: In larger clusters each text is compared with so many that most candidates share.
+#: In larger clusters each text is first compared with so many that most candidates share, which links most of them.
 HUBS = 12
 #: One document in so many tells which shingles are common; the share of these that makes one so.
 SAMPLE, COMMON_SHARE, MOST_COMMON = 16, 1 / 512, 1 << 20
@@ -296,16 +297,22 @@ def spanning(fp: np.ndarray, bucket: np.ndarray, radii: tuple[int, ...] = NEAR_B
     return parent, edges
 
 
-def linked_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Pairs of sets that hold the groups of similar sets together; all pairs are compared."""
+def linked_sets(sets: list[np.ndarray], similarity: float, group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of sets that hold the groups of similar sets together; all pairs are compared (with ``group``, those of two groups)."""
     n = len(sets)
+    if not n:
+        return []
     size = np.array([len(x) for x in sets])
     flat, of = np.concatenate(sets), np.repeat(np.arange(n), size)
     order = np.argsort(flat, kind="stable")
     flat, of = flat[order], of[order]
     new = np.concatenate([[True], flat[1:] != flat[:-1]])[: len(flat)]
     column = np.cumsum(new) - 1
-    shared = np.bincount(column) > 1 if len(column) else np.zeros(0, dtype=bool)
+    if group is None:
+        shared = np.bincount(column) > 1 if len(column) else np.zeros(0, dtype=bool)
+    else:  # what only one group has adds nothing to pairs of two
+        first = np.flatnonzero(new)
+        shared = np.minimum.reduceat(group[of], first) < np.maximum.reduceat(group[of], first) if len(first) else new
     keep = shared[column]
     column, of = (np.cumsum(shared) - 1)[column[keep]], of[keep]
     both = np.zeros((n, n), dtype=np.float32)
@@ -314,7 +321,8 @@ def linked_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, in
         block = np.zeros((n, 2048), dtype=np.float32)
         block[of[a:b], column[a:b] - first] = 1
         both += block @ block.T
-    x, y = np.nonzero(np.triu(both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6, 1))
+    alike = np.triu(both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6, 1)
+    x, y = np.nonzero(alike if group is None else alike & (group[:, None] != group[None, :]))
     parent, edges = np.arange(n), []
     for i, j in zip(x.tolist(), y.tolist(), strict=True):
         p, q = _root(parent, i), _root(parent, j)
@@ -324,6 +332,43 @@ def linked_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, in
     return edges
 
 
+def _across(texts: DataFrame, linked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of similar sets of a cluster (``texts``: sig, cluster, n) that the links leave apart.
+
+    The groups that the links make are cut in parts, small groups are put together, and every two parts are
+    compared whole but those of one group.  So no task has more than two parts, and a cluster
+    that the links nearly hold together costs its rest times its size.
+    """
+    labels = components(texts.select(F.col("sig").alias("node")), linked)
+    named = texts.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "cluster", "n", F.coalesce("label", "sig").alias("group"))
+    named = written(named, "groups")
+    part_entries = WHOLE_SHINGLES // 2
+    cuts = lambda texts, entries: F.ceil(F.greatest(F.col(texts) / WHOLE_TEXTS, F.col(entries) / part_entries)).cast("long")
+    groups = named.groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("entries"))
+    groups = groups.withColumn("alone", (F.col("texts") > WHOLE_TEXTS // 2) | (F.col("entries") > part_entries // 2)).withColumn("cuts", cuts("texts", "entries"))
+    groups = written(groups, "group-sizes")
+    whole = groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("groups"), F.sum(F.when(~F.col("alone"), F.col("texts"))).alias("rest"), F.sum(F.when(~F.col("alone"), F.col("entries"))).alias("rest_entries"))
+    whole = whole.filter("groups > 1").select("cluster", cuts("rest", "rest_entries").alias("rest_cuts"))
+    own = F.xxhash64("cluster", "group", F.pmod(F.xxhash64("sig", F.lit(5)), F.col("cuts")))
+    mixed = F.xxhash64("cluster", F.lit("rest"), F.pmod(F.xxhash64("group", F.lit(6)), F.col("rest_cuts")))
+    placed = named.join(groups.select("cluster", "group", "alone", "cuts"), ["cluster", "group"]).join(whole, "cluster")
+    placed = written(placed.select("sig", "cluster", "group", F.when(F.col("alone"), own).otherwise(mixed).alias("part"), F.when(F.col("alone"), F.col("group")).alias("only")), "parts")
+    parts = placed.select("cluster", "part", "only").distinct()
+    other = parts.select("cluster", F.col("part").alias("part2"), F.col("only").alias("only2"))
+    # A row a pair of parts, not of texts.
+    meet = parts.join(other, "cluster").filter((F.col("part") <= F.col("part2")) & ~F.coalesce(F.col("only") == F.col("only2"), F.lit(False)))
+    meet = meet.select(F.xxhash64("part", "part2").alias("block"), F.explode(F.array_distinct(F.array("part", "part2"))).alias("part"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("sig").sort_values("sig")
+        sig, group = pdf["sig"].to_numpy(), np.unique(pdf["group"].to_numpy(), return_inverse=True)[1]
+        found = linked_sets([np.asarray(x, dtype=np.int64) for x in pdf["set"]], similarity, group)
+        return pd.DataFrame([(int(sig[i]), int(sig[j])) for i, j in found], columns=["a", "b"], dtype=np.int64)
+
+    members = placed.select("sig", "group", "part").join(sets, "sig")
+    return members.join(meet, "part").groupBy("block").applyInPandas(compare, "a long, b long")
+
+
 def _candidates(rows: DataFrame, part_rows: int) -> DataFrame:
     """Pairs ``(a, b)`` of texts that share a leading shingle and have near fingerprints.
 
@@ -372,11 +417,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others those with a near fingerprint among the texts that share a leading shingle are candidates.
     Which shingles lead is a matter of balance only: any order does, and common shingles come last,
     so that a passage that many texts share makes no large bucket.  Texts that candidates connect
-    are compared by their whole sets: all with all in clusters of up to ``WHOLE_TEXTS``; in larger
-    ones the candidates, and each text with the ``HUBS`` that most candidates share, so that no task
-    gets an unbounded group.  A link is lost if fingerprints of similar texts are over the last of
-    ``NEAR_BITS`` apart and no others connect them, or if a large cluster hangs together by pairs
-    that are no candidates.
+    are compared by their whole sets: all with all in clusters of up to ``WHOLE_TEXTS``.  In larger
+    ones the candidates, and each text with the ``HUBS`` that most candidates share, link most of
+    them; what that leaves apart is compared by parts of bounded size, so the size of a cluster
+    changes no link.  A link is lost only if the fingerprints of similar texts are over the last of
+    ``NEAR_BITS`` apart and no others connect them.
 
     Null ids have no row.  A null text is an empty text; texts without words are alike.  Rows of
     one id with different texts fall in one component.
@@ -445,16 +490,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked = small.groupBy("shard").applyInPandas(join_whole, "a long, b long")
     # Of larger ones the candidates, and all texts against the few that are in most of these.
     sets = sets.filter("large").select("sig", "set").dropDuplicates(["sig"])
-    in_large = written(wanted.filter("large").select("sig", "cluster"), "in-large")
+    in_large = written(wanted.filter("large").select("sig", "cluster").join(need.select("sig", "n"), "sig"), "in-large")
     near = written(pairs.join(in_large.select(F.col("sig").alias("a")), "a", "left_semi"), "near")
     degree = near.select(F.col("a").alias("sig")).unionAll(near.select("b")).groupBy("sig").count()
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("count").desc(), "sig"))
-    hubs = in_large.join(degree, "sig").withColumn("rank", rank).filter(F.col("rank") <= HUBS).select("cluster", F.col("sig").alias("hub"))
-    star = in_large.join(hubs, "cluster").filter("sig <> hub").select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b"))
+    hubs = in_large.drop("n").join(degree, "sig").withColumn("rank", rank).filter(F.col("rank") <= HUBS).select("cluster", F.col("sig").alias("hub"))
+    star = in_large.drop("n").join(hubs, "cluster").filter("sig <> hub").select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b"))
     tested = near.union(star).distinct()
     both = F.size(F.array_intersect("x", "y"))
     tested = tested.join(sets.select(F.col("sig").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("set").alias("y")), "b")
-    linked = written(linked.union(tested.filter(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")), "similar-pairs")
+    held = written(tested.filter(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"), "held-pairs")
+    apart = [] if in_large.isEmpty() else [_across(in_large, held, sets, similarity)]
+    linked = written(reduce(DataFrame.union, [linked, held, *apart]), "similar-pairs")
 
     names = lambda c, n: distinct.select(F.col("sig").alias(c), F.col("node").alias(n))
     edges = linked.join(names("a", "p"), "a").join(names("b", "q"), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))

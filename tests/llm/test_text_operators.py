@@ -333,17 +333,33 @@ def test_similar_groups_equal_brute_force(spark, part):
     assert len(out) == len(rows) and {r.doc_id: r.component_id for r in out} == brute_similar(rows)
 
 
-def test_similar_groups_of_large_clusters(spark, monkeypatch):
-    # Clusters over the bound: candidates, and each text against a hub.  No wrong link; few lost.
-    monkeypatch.setattr(simhash, "WHOLE_TEXTS", 20)
+@pytest.mark.parametrize(("texts", "hubs"), [(20, 12), (20, 0), (7, 2)])
+def test_similar_groups_of_large_clusters(spark, monkeypatch, texts, hubs):
+    """Clusters over the bound: candidates, hubs, and parts of what these leave apart give the same groups."""
+    monkeypatch.setattr(simhash, "WHOLE_TEXTS", texts)
+    monkeypatch.setattr(simhash, "HUBS", hubs)
     rows = similar_rows()
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
-    want = brute_similar(rows)
-    by = {}
-    for i in want:
-        by.setdefault(got[i], set()).add(want[i])
-    assert all(len(x) == 1 for x in by.values())
-    assert sum(got[i] == want[i] for i in want) > 0.8 * len(want)
+    assert got == brute_similar(rows)
+
+
+def test_links_across_groups_of_sets():
+    rng = random.Random(2)
+    base = [np.array(sorted(rng.sample(range(1000 * g, 1000 * g + 400), 60)), dtype=np.int64) for g in range(3)]
+    sets = [np.unique(np.concatenate([rng.choice(base)[: rng.randint(40, 60)], np.array(rng.sample(range(9000), rng.randint(0, 6)), dtype=np.int64)])) for _ in range(90)]
+    group = np.array([rng.randint(0, 4) for _ in sets])
+    alike = [(i, j) for i in range(90) for j in range(i) if group[i] != group[j] and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    found = simhash.linked_sets(sets, 0.8, group)
+
+    def roots(edges):
+        parent = list(range(90))
+        for i, j in edges:
+            a, b = (simhash._root(np.array(parent), x) for x in (i, j))
+            parent = [min(a, b) if p in (a, b) else p for p in parent]
+        return parent
+
+    assert roots(found) == roots(alike) and {tuple(sorted(e)) for e in found} <= {tuple(sorted(e)) for e in alike} and found
+    assert simhash.linked_sets([], 0.8) == []
 
 
 def test_similar_groups_without_rows(spark):
