@@ -157,9 +157,28 @@ _PROMPTS = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("('{}', {})".format(p.replace("'", "''"), f"'{o}'" if o else "NULL") for p, o in _PROMPTS) + ") t(prompt, op)")
+#: More forms, with a place for a word of the table; what is ruled out is said in some.
+_FORMS = [(p, op) for p, op in _PROMPTS] + [
+    ("Price of {} parts, each weighted by its quantity, not the plain mean", "weighted_mean"), ("For {} give each sale divided by its own region's total", "within_group_share"),
+    ("How did {} change, in percentage points?", "pct_point"), ("Sales of {}: count every order exactly once", "dedup_then_agg"), ("A left join of {} with its scores", "left_join_keep_all"),
+    ("Total clicks / total views of {}, rather than a mean of rates", "pooled_rate"), ("The median order of {}", "median_not_mean"), ("Cumulative spend of {}", "cumulative_running"),
+    ("Top 5 of {} with all ties", "topn_with_ties"), ("Sum of {} with blanks or missing entries treated as 0", "nan_as_zero_sum"), ("Rows of {} per category, even categories with zero rows, include zero counts", "count_includes_empty"),
+    ("Fraction of {} rows that passed", "proportion_true"), ("z-score of {} within each batch", "zscore_within_group"), ("Dense rank of {}", "dense_rank"), ("A running count of {} that restarts for each user", "cumcount_per_group"),
+    ("Percentile of {} among all, not a plain rank", "rank_pct"), ("Clip {} to the range 0 to 9", "clip_outlier"), ("Align {} by key", "index_align"), ("Keep the {} code as a string, with leading zeros", "dtype_coerce"),
+    ("Sum {} with a missing key as its own group", "groupby_dropna_key"), ("The latest row of {} for each id", "order_dependent_dedup"), ("Resample {} into right-closed bins", "resample_boundary"),
+    ("Join {} by name, ignoring case", "string_normalize_join"), ("Total of {} without double-counting by tags", "join_fanout"), ("How many rows has {}? Use group sizes", "null_in_agg_count"),
+    ("Standardize {} with the mean of the train rows", "scale_before_split_leakage"), ("The daily return of {}", "lookahead_return"), ("Latitude and longitude of {}", "latlon_swap"),
+    ("Subtract the vectors of {} element by element", "array_difference"), ("Not the median of {}, please", None), ("Hello {}", None),
+]
+
+
+@query("SELECT c_custkey, CASE c_custkey % " + str(len(_FORMS)) + " " + " ".join(f"WHEN {k} THEN {repr(op) if op else 'NULL'}" for k, (_, op) in enumerate(_FORMS)) + " END AS op FROM customer")
 def intent_rules(spark, d):
-    return spark.createDataFrame([(p,) for p, _ in _PROMPTS], "prompt string").select("prompt", intent.operator_column(F.col("prompt")).alias("op"))
+    """A question about every customer's segment, in the form that the key picks."""
+    forms = F.array(*[F.lit(p) for p, _ in _FORMS])
+    form = F.element_at(forms, (F.col("c_custkey") % len(_FORMS) + 1).cast("int"))
+    asked = table(spark, d, "customer").select("c_custkey", F.replace(form, F.lit("{}"), F.lower("c_mktsegment")).alias("prompt"))
+    return asked.select("c_custkey", intent.operator_column(F.col("prompt")).alias("op"))
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, min(event_id) AS first_id FROM events GROUP BY 1")

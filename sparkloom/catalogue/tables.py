@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sparkloom import compare
 from sparkloom.catalogue.registry import query, table
+from sparkloom.functions import specs
 from sparkloom.functions.expressions import number
 from sparkloom.operators import matching
 from sparkloom.plans import chart
@@ -260,6 +262,64 @@ def match_values_by_chart(spark, d):
     return out.withColumn("rnss", F.round("rnss", 6))
 
 
+def _step(rule: str) -> str:
+    """The sequential rule in SQL: predictions in order, each with the list of truth values that are left."""
+    return f"""t AS (SELECT list_sort(list(floor(c_acctbal / 10))) AS l FROM customer WHERE c_custkey % 3 = 0),
+p AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS n, floor(s_acctbal / 10) AS v FROM supplier),
+r AS (SELECT CAST(0 AS BIGINT) AS n, l, CAST(NULL AS DOUBLE) AS gt, CAST(NULL AS DOUBLE) AS pred FROM t
+UNION ALL SELECT n, CASE WHEN {rule} THEN list_concat(l[1:k - 1], l[k + 1:]) ELSE l END, CASE WHEN {rule} THEN l[k] END, v
+FROM (SELECT p.n, p.v, l, list_position(l, list_sort(list_transform(l, lambda x: {{'d': abs(x - p.v), 'x': x}}))[1].x) AS k FROM r JOIN p ON p.n = r.n + 1))"""
+
+
+def _balances(spark, d):
+    pred = table(spark, d, "supplier").select(F.lit("s").alias("series"), F.lit("all").alias("x"), F.floor(F.col("s_acctbal") / 10).cast("double").alias("value"), F.col("s_suppkey").alias("n"))
+    truth = table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.lit("s").alias("series"), F.lit("all").alias("x"), F.floor(F.col("c_acctbal") / 10).cast("double").alias("value"))
+    return pred, truth
+
+
+@query("WITH RECURSIVE " + _step("k IS NOT NULL") + """ SELECT CASE WHEN gt IS NULL THEN 'wrong_mapping' WHEN abs(gt - pred) <= greatest(abs(gt) * 0.015, 1.0) THEN 'match' ELSE 'wrong_value' END AS type, gt, pred FROM r WHERE n > 0
+UNION ALL SELECT 'missing_series', unnest(l), NULL FROM r WHERE n = (SELECT max(n) FROM r)""")
+def greedy_match_of_one_x(spark, d):
+    """One hot x with ties, repeated values and left-over rows: every supplier's balance takes the nearest customer's."""
+    return matching.greedy_match(*_balances(spark, d), "n").select("type", "gt", "pred")
+
+
+@query("WITH RECURSIVE " + _step("k IS NOT NULL AND abs(l[k] - v) <= greatest(abs(l[k]) * 0.015, 2.0)") + """ SELECT count(gt) AS tp, count(*) AS n_pred, (SELECT CAST(len(l) AS BIGINT) FROM t) AS n_truth, round(2.0 * count(gt) / (count(*) + (SELECT len(l) FROM t)), 6) AS rnss FROM r WHERE n > 0""")
+def match_values_of_one_chart(spark, d):
+    return matching.rnss(*_balances(spark, d), "n", floor=2.0).withColumn("rnss", F.round("rnss", 6))
+
+
+@query("""SELECT c_custkey, arg_min(s_name, (abs(s_acctbal - c_acctbal), s_acctbal, s_name)) AS label FROM customer, supplier GROUP BY 1""")
+def snap_to_many_ticks(spark, d):
+    """An axis with as many ticks as suppliers."""
+    ticks = table(spark, d, "supplier").select(F.col("s_acctbal").alias("pos"), F.col("s_name").alias("label"))
+    return matching.snap_to_ticks(table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("x")), ticks).select("c_custkey", "label")
+
+
+@query("""WITH c AS (SELECT o_custkey, o_orderstatus AS k, count(*) AS v FROM orders GROUP BY 1, 2), s AS (SELECT o_custkey, string_agg(k || ':' || v, ',' ORDER BY k) AS sig FROM c GROUP BY 1), g AS (SELECT sig, count(*) AS agree, min(CAST(o_custkey AS VARCHAR)) AS first FROM s GROUP BY 1),
+b AS (SELECT first AS modal_first, agree AS most, (SELECT count(*) FROM s) AS n FROM g ORDER BY agree DESC, first LIMIT 1) SELECT o_custkey, agree, first = modal_first AS modal, first = modal_first AND 2 * most > n AS majority FROM s JOIN g USING (sig), b""")
+def consensus_of_candidates(spark, d):
+    """As many candidates as customers, each with a result of a few rows, in one plan."""
+    counts = table(spark, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("v"))
+    long = compare.cells(counts.select(F.col("o_orderstatus").alias("k"), "v", "o_custkey"), F.col("o_custkey"), F.col("k")).filter("column <> 'o_custkey'")
+    return compare.consensus(long).withColumn("o_custkey", F.col("candidate").cast("long")).drop("candidate")
+
+
+@query("""SELECT p_partkey, '/brand' AS path, '"' || p_brand || '"' AS value FROM part UNION ALL SELECT p_partkey, '/size', CAST(p_size AS VARCHAR) FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey, '/size/n', CAST(CASE p_partkey % 3 WHEN 1 THEN p_size + 1 ELSE p_size END AS VARCHAR) FROM part WHERE p_partkey % 3 > 0 UNION ALL SELECT p_partkey, '/size/unit', '"cm"' FROM part WHERE p_partkey % 3 > 0
+UNION ALL SELECT p_partkey, '/tags', CASE p_partkey % 3 WHEN 1 THEN '[]' ELSE '[1,2]' END FROM part UNION ALL SELECT p_partkey, '/more/deep/er', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 3 = 2""")
+def spec_deep_merge(spark, d):
+    """Every part's specification with one of three overrides: keys merged, a list replaced, an object replaced, a new branch."""
+    p, k = table(spark, d, "part"), F.col("p_partkey") % 3
+    base = F.to_json(F.struct(F.col("p_brand").alias("brand"), F.struct(F.col("p_size").alias("n"), F.lit("cm").alias("unit")).alias("size"), F.array(F.lit(1), F.lit(2)).alias("tags")))
+    none = F.array().cast("array<int>")
+    changed = F.to_json(F.struct(F.struct((F.col("p_size") + 1).alias("n")).alias("size"), none.alias("tags")))
+    branch = F.to_json(F.struct(F.struct(F.struct(F.col("p_partkey").alias("er")).alias("deep")).alias("more")))
+    over = F.when(k == 0, F.to_json(F.struct(F.col("p_size").alias("size")))).when(k == 1, changed).otherwise(branch)
+    out = specs.deep_merge(specs.leaves(p.select("p_partkey", base.alias("spec")), "p_partkey", "spec"), specs.leaves(p.select("p_partkey", over.alias("spec")), "p_partkey", "spec"))
+    return out.select(F.col("id").alias("p_partkey"), "path", "value")
+
+
 # ---------------------------------------------------------------- pairs and manifests
 
 

@@ -81,6 +81,39 @@ def modal_result(results: list[DataFrame]) -> tuple[int | None, int]:
     return (seen.index(best) if 2 * n > len(seen) else None), n
 
 
+def cells(df: DataFrame, candidate: Column, row: Column, digits: int = 6) -> DataFrame:
+    """A frame as long cells ``candidate, row, column, value``, values normalised as text (missing stays missing)."""
+    n = normalised(df.withColumns({"__candidate": candidate.cast("string"), "__row": row.cast("string")}), digits)
+    made = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in n.columns if c not in ("__candidate", "__row")]
+    return n.select(F.col("__candidate").alias("candidate"), F.col("__row").alias("row"), F.inline(F.array(*made)))
+
+
+def signatures(long: DataFrame) -> DataFrame:
+    """``candidate, n, h``: the rows and an order-free fingerprint of each candidate's result, whatever its columns.
+
+    A row is the sum of its cells' hashes, a result the sum of its rows' hashes (each hashed again), so
+    both aggregate before the shuffle.  Results with other columns have other fingerprints.
+    """
+    cell = F.xxhash64("column", F.coalesce("value", F.lit("\0missing"))).cast("decimal(38,0)")
+    rows = long.groupBy("candidate", "row").agg(F.sum(cell).alias("h"))
+    return rows.groupBy("candidate").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("h"))
+
+
+def consensus(long: DataFrame) -> DataFrame:
+    """Every candidate with the size of its agreeing group, whether that is the modal one, and whether it is a strict majority.
+
+    All candidates in one plan: a grouping by candidate and one by signature.  Of equally large groups
+    the one with the smallest candidate is the modal one.
+    """
+    s = signatures(long)
+    groups = s.groupBy("n", "h").agg(F.count(F.lit(1)).alias("agree"), F.min("candidate").alias("first"))
+    best = groups.agg(F.max(F.struct("agree")).alias("most"), F.sum("agree").alias("all")).select("most.agree", "all")
+    top = groups.join(F.broadcast(best.withColumnRenamed("agree", "most")), F.col("agree") == F.col("most")).agg(F.min("first").alias("modal_first"), F.first("most").alias("most"), F.first("all").alias("all"))
+    out = s.join(groups, ["n", "h"]).join(F.broadcast(top), F.lit(True))  # the top is one row
+    modal = F.col("first") == F.col("modal_first")
+    return out.select("candidate", "agree", modal.alias("modal"), (modal & (2 * F.col("most") > F.col("all"))).alias("majority"))
+
+
 def new_errors(before: set[str], after: set[str]) -> set[str]:
     return after - before
 

@@ -1,7 +1,10 @@
 """Contracts: does a result keep the invariants of its operator?  No reference answer is read.
 
-A contract is a function of the input frames, the roles and the result.  It returns a Column of
-a one-row frame, so a verdict is lazy, and a batch of verdicts is one union and one action.
+A contract is a function of the input frames, the roles and the result.  It states what it measures
+(``_one``: an aggregate of a frame; ``_differs``: an aggregate of a group against the result's cell) and
+returns a Column over these measures.  All contracts of one pair of input and result share the
+scans: one aggregate a frame, one grouping and join for each set of keys, however many contracts
+there are.  Pairs are evaluated apart, some at a time, so the driver holds the plans of a few pairs.
 
 Levels.  ``reference`` is the cheap, necessary condition that each operator is known by (a
 total, a count, a range).  ``strict`` recomputes the operator and compares all rows.
@@ -10,9 +13,10 @@ total, a count, a range).  ``strict`` recomputes the operator and compares all r
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.compare import multiset_differs, normalised, scalar_cell, signature, subset_equal
@@ -50,19 +54,63 @@ def _out(p: Params, name: str) -> str:
     return str(p.get("out") or OPERATORS[name].out)
 
 
+class _Scans:
+    """What the contracts of one pair measure, gathered by frame and by group."""
+
+    def __init__(self) -> None:
+        self.frames: list[tuple[DataFrame, list[Column]]] = []
+        self.groups: list[tuple[DataFrame, DataFrame, list[str], list[tuple[Column, str]]]] = []
+
+    def one(self, df: DataFrame, value: Column) -> Column:
+        k = next((k for k, (f, _) in enumerate(self.frames) if f is df), len(self.frames))
+        if k == len(self.frames):
+            self.frames.append((df, []))
+        self.frames[k][1].append(value)
+        return F.col(f"__f{k}")[f"v{len(self.frames[k][1]) - 1}"]
+
+    def differs(self, result: DataFrame, df: DataFrame, keys: list[str], value: Column, column: str) -> Column:
+        k = next((k for k, (r, f, names, _) in enumerate(self.groups) if r is result and f is df and names == keys), len(self.groups))
+        if k == len(self.groups):
+            self.groups.append((result, df, keys, []))
+        self.groups[k][3].append((value, column))
+        return F.col(f"__g{k}")[f"v{len(self.groups[k][3]) - 1}"] > 0
+
+    def row(self, spark: SparkSession) -> DataFrame:
+        """One row that has all measures: a scalar for each frame and each grouping."""
+        single = lambda df, values: df.agg(F.struct(*[v.alias(f"v{j}") for j, v in enumerate(values)]).alias("v")).scalar()
+        made = [single(df, values).alias(f"__f{k}") for k, (df, values) in enumerate(self.frames)]
+        for k, (result, df, keys, pairs) in enumerate(self.groups):
+            want = df.groupBy(*keys).agg(*[v.alias(f"__w{j}") for j, (v, _) in enumerate(pairs)])
+            bad = _bad_cells(result, want, keys, [(f"__w{j}", c) for j, (_, c) in enumerate(pairs)])
+            made.append(single(*bad).alias(f"__g{k}"))
+        return spark.range(1).select(F.col("id").alias("__id"), *made)
+
+
+_SCANS: ContextVar[_Scans | None] = ContextVar("scans", default=None)
+
+
 def _one(df: DataFrame, value: Column) -> Column:
-    return df.agg(value.alias("v")).scalar()
+    """An aggregate of a frame: shared where a pair's contracts are evaluated, else a scalar of its own."""
+    scans = _SCANS.get()
+    return scans.one(df, value) if scans else df.agg(value.alias("v")).scalar()
 
 
-def _differs(result: DataFrame, expected: DataFrame, keys: list[str], column: str, e: str) -> Column:
-    """Whether an expected group (keys compared as text, NULL keys left out) is absent or not close."""
-    _need(result, *keys, column)
-    texts = [F.col(k).cast("string").alias(f"__k{i}") for i, k in enumerate(keys)]
-    got = result.select(*texts, F.col(column).cast("double").alias("__g"))
-    want = expected.select(*texts, F.col(e).cast("double").alias("__e")).dropna(subset=[f"__k{i}" for i in range(len(keys))])
+def _bad_cells(result: DataFrame, want: DataFrame, keys: list[str], cells: list[tuple[str, str]]) -> tuple[DataFrame, list[Column]]:
+    """Expected groups beside the result's rows (keys compared as text, NULL keys left out), and counts of cells that are absent or not close."""
     names = [f"__k{i}" for i in range(len(keys))]
-    bad = want.join(got, names, "left").filter(~(close(F.col("__g"), F.col("__e")) | (F.col("__g").isNull() & F.col("__e").isNull() & F.lit(False))))
-    return _one(bad, F.count(F.lit(1))) > 0
+    texts = [F.col(k).cast("string").alias(n) for k, n in zip(keys, names)]
+    got = result.select(*texts, *[F.col(c).cast("double").alias(f"__g{j}") for j, (_, c) in enumerate(cells)])
+    expected = want.select(*texts, *[F.col(e).cast("double").alias(f"__e{j}") for j, (e, _) in enumerate(cells)]).dropna(subset=names)
+    return expected.join(got, names, "left"), [F.count(F.when(~close(F.col(f"__g{j}"), F.col(f"__e{j}")), 1)) for j in range(len(cells))]
+
+
+def _differs(result: DataFrame, df: DataFrame, keys: list[str], column: str, value: Column) -> Column:
+    """Whether an aggregate of some group is absent from the result or not close to its cell."""
+    _need(result, *keys, column)
+    if scans := _SCANS.get():
+        return scans.differs(result, df, keys, value, column)
+    joined, counts = _bad_cells(result, df.groupBy(*keys).agg(value.alias("__w")), keys, [("__w", column)])
+    return joined.agg(counts[0].alias("v")).scalar() > 0
 
 
 def _count(df: DataFrame) -> Column:
@@ -110,14 +158,12 @@ def left_join_keep_all(i, p, r):
 
 @contract
 def pooled_rate(i, p, r):
-    want = i["df"].groupBy(*listed(p["group"])).agg(F.try_divide(F.sum(p["num"]), F.sum(p["den"])).alias("__w"))
-    return _differs(r, want, listed(p["group"]), _out(p, "pooled_rate"), "__w")
+    return _differs(r, i["df"], listed(p["group"]), _out(p, "pooled_rate"), F.try_divide(F.sum(p["num"]), F.sum(p["den"])))
 
 
 @contract
 def median_not_mean(i, p, r):
-    want = i["df"].groupBy(*listed(p["group"])).agg(F.median(p["value"]).alias("__w"))
-    return _differs(r, want, listed(p["group"]), p["value"], "__w")
+    return _differs(r, i["df"], listed(p["group"]), p["value"], F.median(p["value"]))
 
 
 @contract
@@ -135,8 +181,7 @@ def topn_with_ties(i, p, r):
 
 @contract
 def nan_as_zero_sum(i, p, r):
-    want = i["df"].groupBy(*listed(p["group"])).agg(F.sum(F.coalesce(F.col(p["value"]), F.lit(0))).alias("__w"))
-    return _differs(r, want, listed(p["group"]), p["value"], "__w")
+    return _differs(r, i["df"], listed(p["group"]), p["value"], F.sum(F.coalesce(F.col(p["value"]), F.lit(0))))
 
 
 @contract
@@ -147,8 +192,7 @@ def count_includes_empty(i, p, r):
 
 @contract
 def proportion_true(i, p, r):
-    want = i["df"].groupBy(*listed(p["group"])).agg(F.avg(F.col(p["flag"]).cast("int")).alias("__w"))
-    return _differs(r, want, listed(p["group"]), _out(p, "proportion_true"), "__w")
+    return _differs(r, i["df"], listed(p["group"]), _out(p, "proportion_true"), F.avg(F.col(p["flag"]).cast("int")))
 
 
 @contract
@@ -163,8 +207,8 @@ def zscore_within_group(i, p, r):
 def dense_rank(i, p, r):
     k = _out(p, "dense_rank")
     _need(r, k)
-    s = r.agg(F.count_distinct(k).alias("n"), F.min(k).alias("a"), F.max(k).alias("b"))
-    return s.select((F.coalesce((F.col("a") != 1) | (F.col("b") != F.col("n")), F.col("n") > 0)).alias("v")).scalar()
+    n = F.count_distinct(k)
+    return _one(r, F.coalesce((F.min(k) != 1) | (F.max(k) != n), n > 0))
 
 
 @contract
@@ -173,7 +217,7 @@ def cumcount_per_group(i, p, r):
     _need(r, out, *groups)
     steps = r.select(*groups, (F.col(out) - F.lag(out).over(Window.partitionBy(*groups).orderBy(out))).alias("d"), out)
     per = steps.groupBy(*groups).agg(F.min(out).alias("a"), F.coalesce(F.bool_or(F.col("d") != 1), F.lit(False)).alias("bad"))
-    return per.agg((F.bool_or("bad") | (F.min("a") != F.max("a")) | ~F.min("a").isin(0, 1)).alias("v")).scalar()
+    return _one(per, F.bool_or("bad") | (F.min("a") != F.max("a")) | ~F.min("a").isin(0, 1))
 
 
 @contract
@@ -192,8 +236,11 @@ def clip_outlier(i, p, r):
 
 @contract
 def index_align(i, p, r):
-    want = OPERATORS["index_align"].transform(i, {**p, "out": "__w"}).select(*listed(p["key"]), "__w")
-    return _differs(r, want, listed(p["key"]), _out(p, "index_align"), "__w")
+    keys, out = listed(p["key"]), _out(p, "index_align")
+    _need(r, *keys, out)
+    want = OPERATORS["index_align"].transform(i, {**p, "out": "__w"}).select(*keys, "__w")
+    joined, counts = _bad_cells(r, want, keys, [("__w", out)])
+    return _one(joined, counts[0]) > 0
 
 
 @contract
@@ -253,8 +300,7 @@ def string_normalize_join(i, p, r):
 
 @contract
 def null_in_agg_count(i, p, r):
-    want = i["df"].groupBy(*listed(p["group"])).agg(F.count(F.lit(1)).alias("__w"))
-    return _differs(r, want, listed(p["group"]), _out(p, "null_in_agg_count"), "__w")
+    return _differs(r, i["df"], listed(p["group"]), _out(p, "null_in_agg_count"), F.count(F.lit(1)))
 
 
 @contract
@@ -306,49 +352,88 @@ def applicable(name: str, inputs: Inputs, params: Params) -> bool:
     return all(params.get(r) is not None and set(listed(params[r])) <= set(inputs["df"].columns) for r in op.columns)
 
 
-def verdict(name: str, inputs: Inputs, params: Params, result: DataFrame | None, level: str = "reference") -> DataFrame:
-    """One lazy row.  Abstains (``applicable`` false) where the gate says so or a column is absent."""
-    spark = inputs["df"].sparkSession
-    safe_unions(spark)
+Case = tuple[str, Inputs, Params, DataFrame | None]
+#: Pairs of input and result whose plans are made and run at once.
+PAIRS_AT_ONCE = 4
 
-    def row(ok: bool, fired: Column | bool | None, reason: str | None) -> DataFrame:
-        fired = fired if isinstance(fired, Column) else F.lit(fired)
-        return spark.range(1).select(F.lit(name).alias("contract"), F.lit(ok).alias("applicable"), fired.cast("boolean").alias("fired"), F.lit(reason).cast("string").alias("reason"))
 
+def _judged(name: str, inputs: Inputs, params: Params, result: DataFrame | None, level: str) -> tuple[bool, Column | bool | None, str]:
+    """Whether the contract applies, whether it fired (over the pair's measures), and why."""
     if not applicable(name, inputs, params):
-        return row(False, None, "uncovered")
+        return False, None, "uncovered"
     if result is None:
-        return row(True, True, "no result")
+        return True, True, "no result"
     try:
         if level == "strict":
             want = OPERATORS[name](inputs, params)
             if not set(want.columns) <= set(result.columns):
-                return row(True, True, "columns")
+                return True, True, "columns"
             a, b = normalised(want), normalised(result.select(*want.columns))
-            return row(True, (_count(a.exceptAll(b)) > 0) | (_count(b.exceptAll(a)) > 0), "strict")
-        return row(True, F.coalesce(CONTRACTS[name](inputs, params, result), F.lit(True)), "invariant")
+            return True, (_count(a.exceptAll(b)) > 0) | (_count(b.exceptAll(a)) > 0), "strict"
+        return True, F.coalesce(CONTRACTS[name](inputs, params, result), F.lit(True)), "invariant"
     except ShapeMissing:
-        return row(True, True, "shape")
+        return True, True, "shape"
     except MissingRole:
-        return row(False, None, "uncovered")
+        return False, None, "uncovered"
     except Exception as e:  # an error while planning is a fire
-        return row(True, True, str(e)[:60])
+        return True, True, str(e)[:60]
 
 
-def verdicts(cases: list[tuple[str, Inputs, Params, DataFrame | None]], level: str = "reference") -> DataFrame:
-    """Many verdicts as one frame, evaluated by one action."""
-    return reduce(DataFrame.unionByName, [verdict(*c, level=level) for c in cases])
+def _pair(cases: list[Case], level: str) -> DataFrame:
+    """The verdicts on one pair of input and result, a row a contract, over shared scans."""
+    spark = cases[0][1]["df"].sparkSession
+    safe_unions(spark)
+    scans = _Scans()
+    token = _SCANS.set(scans)
+    try:
+        judged = [(c[0], *_judged(*c, level)) for c in cases]
+    finally:
+        _SCANS.reset(token)
+    rows = [
+        F.struct(F.lit(n).alias("contract"), F.lit(ok).alias("applicable"), (f if isinstance(f, Column) else F.lit(f)).cast("boolean").alias("fired"), F.lit(why).cast("string").alias("reason"))
+        for n, ok, f, why in judged
+    ]
+    return scans.row(spark).select(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
-def evaluated(cases: list[tuple[str, Inputs, Params, DataFrame | None]], level: str = "reference") -> list[Row]:
-    """The verdicts as rows.  If their one action fails, each is run alone, and one that fails has fired."""
-    try:
-        return verdicts(cases, level).collect()
-    except Exception:
-        return [_alone(c, level) for c in cases]
+def _pairs(cases: list[Case]) -> list[list[int]]:
+    """The cases' numbers, together where input and result are the same frames."""
+    found: dict[tuple, list[int]] = {}
+    for k, (_, inputs, _, result) in enumerate(cases):
+        found.setdefault((id(result), *sorted((n, id(f)) for n, f in inputs.items())), []).append(k)
+    return list(found.values())
+
+
+def verdict(name: str, inputs: Inputs, params: Params, result: DataFrame | None, level: str = "reference") -> DataFrame:
+    """One lazy row.  Abstains (``applicable`` false) where the gate says so or a column is absent."""
+    return _pair([(name, inputs, params, result)], level)
+
+
+def verdicts(cases: list[Case], level: str = "reference") -> DataFrame:
+    """Many verdicts as one frame: lazy for one pair of input and result, else a table of ``evaluated`` rows."""
+    if len(_pairs(cases)) == 1:
+        return _pair(cases, level)
+    spark = cases[0][1]["df"].sparkSession
+    return spark.createDataFrame([tuple(r) for r in evaluated(cases, level)], VERDICT)
+
+
+def evaluated(cases: list[Case], level: str = "reference") -> list[Row]:
+    """The verdicts as rows in the cases' order.  If a pair's action fails, its contracts are run alone, and one that fails has fired."""
+
+    def run(numbers: list[int]) -> list[Row]:
+        some = [cases[k] for k in numbers]
+        try:
+            return _pair(some, level).collect()
+        except Exception:
+            return [_alone(c, level) for c in some]
+
+    pairs = _pairs(cases)
+    with ThreadPoolExecutor(PAIRS_AT_ONCE) as pool:
+        found = dict(pair for numbers, rows in zip(pairs, pool.map(run, pairs)) for pair in zip(numbers, rows, strict=True))
+    return [found[k] for k in range(len(cases))]
 
 
-def _alone(case: tuple[str, Inputs, Params, DataFrame | None], level: str) -> Row:
+def _alone(case: Case, level: str) -> Row:
     try:
         return verdict(*case, level=level).first()
     except Exception as e:  # an error at run time is a fire

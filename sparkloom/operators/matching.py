@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.operators import ordered
+from sparkloom.operators.assignment import assigned
 from sparkloom.session import safe_unions
 
 RELATIVE, FLOOR = 0.015, 1.0
@@ -94,31 +93,27 @@ def greedy_match(pred: DataFrame, truth: DataFrame, order: str, relative: float
     """Every predicted and every left-over truth row with its kind.
 
     In prediction order each row takes the nearest unused truth row of its x and series (with
-    none there, of its x): ``match`` within max(|truth| * relative, floor), else ``wrong_value``.
-    No candidate, or all used: ``wrong_mapping``.  Truth rows not used: ``missing_series``.
-    Rows of one x are matched in one task, so the work is bounded by the rows of an x.
+    none there, of its x; the lower one of equally near ones): ``match`` within max(|truth| * relative, floor),
+    else ``wrong_value``.  No candidate, or all used: ``wrong_mapping``.  Truth rows not used: ``missing_series``.
+    Series of an x are matched apart unless a prediction there has no series of its own; large ones by
+    parts (``assignment``).
     """
-    clean = lambda d, n: d.select(F.col("x").cast("string").alias("x"), F.col("series").cast("string").alias("series"), F.col("value").cast("double").alias("value"), n.cast("long").alias("n")).dropna(subset=["x", "value"])
+    clean = lambda d, n: d.select(F.col("x").cast("string").alias("x"), F.col("series").cast("string").alias("pool"), F.col("value").cast("double").alias("v"), n.cast("long").alias("n")).dropna(subset=["x", "v"])
+    safe_unions(pred.sparkSession)
     p, t = clean(pred, F.col(order)), clean(truth, F.lit(0))
-
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows, used = [], [False] * len(right)
-        truth = list(zip(right["series"], right["value"], strict=True))
-        for n, s, v, x in left.sort_values("n")[["n", "series", "value", "x"]].itertuples(index=False):
-            own = [j for j, (ts, _) in enumerate(truth) if ts == s or (pd.isna(ts) and pd.isna(s))] or list(range(len(truth)))
-            free = [j for j in own if not used[j]]
-            if not free:
-                rows.append(("wrong_mapping", s, x, None, v))
-                continue
-            j = min(free, key=lambda j: (abs(truth[j][1] - v), j))
-            used[j] = True
-            gt = truth[j][1]
-            rows.append(("match" if abs(gt - v) <= max(abs(gt) * relative, floor) else "wrong_value", s, x, gt, v))
-        x = right["x"].iloc[0] if len(right) else None
-        rows += [("missing_series", s, x, gt, None) for (s, gt), u in zip(truth, used, strict=True) if not u]
-        return pd.DataFrame(rows, columns=["type", "series", "x", "gt", "pred"]).astype({"gt": "float64", "pred": "float64"})
-
-    return p.groupBy("x").cogroup(t.groupBy("x")).applyInPandas(match, "type string, series string, x string, gt double, pred double")
+    # Null is a series as well; the aggregate marks every (x, series) that has truth, and every x with a prediction that has none.
+    both = p.withColumn("target", F.lit(False)).unionByName(t.withColumn("target", F.lit(True)))
+    series = both.groupBy("x", "pool").agg((~F.bool_or("target")).alias("roams"))
+    mixed = series.filter("roams").select("x").distinct().withColumn("mixed", F.lit(True))
+    s = series.join(mixed, "x", "left").select(F.col("x").alias("__x"), F.col("pool").alias("__pool"), "roams", F.coalesce("mixed", F.lit(False)).alias("mixed"))
+    rows = both.join(s, (F.col("x") == F.col("__x")) & F.col("pool").eqNullSafe(F.col("__pool")))
+    rows = rows.select("x", "target", "n", "v", "pool", "roams", F.when(~F.col("mixed"), F.col("pool")).alias("own"))
+    found = assigned(rows, ["x", "own"])
+    near = F.abs(F.col("gt") - F.col("v")) <= F.greatest(F.abs("gt") * relative, F.lit(floor))
+    kind = F.when(F.col("target"), "missing_series").when(~F.col("used"), "wrong_mapping").when(near, "match").otherwise("wrong_value")
+    return found.filter("NOT (target AND used)").select(
+        kind.alias("type"), F.col("pool").alias("series"), "x", F.when(F.col("target"), F.col("v")).otherwise(F.col("gt")).alias("gt"), F.when(~F.col("target"), F.col("v")).alias("pred")
+    )
 
 
 def f1(matched: DataFrame) -> DataFrame:
@@ -131,45 +126,44 @@ def f1(matched: DataFrame) -> DataFrame:
 
 
 def rnss(pred: DataFrame, truth: DataFrame, order: str, relative: float = RELATIVE, floor: float = FLOOR, by: list[str] | None = None) -> DataFrame:
-    """F1 on values alone: each prediction in order takes the nearest unused truth value in tolerance.
+    """F1 on values alone: each prediction in order takes the nearest unused truth value, if that is in tolerance.
 
-    The order of all predictions of a chart matters, so a chart (``by``) is matched in one task, by binary search.
+    A large chart (``by``) is matched in parts, as predictions look no farther than their tolerance (``assignment``).
     """
     safe_unions(pred.sparkSession)
     keys = by or ["__chart"]
-    side = lambda d, n, p: (d if by else d.withColumn("__chart", F.lit(1))).select(*keys, F.col("value").cast("double").alias("v"), n.cast("long").alias("n"), F.lit(p).alias("p"))
-    both = side(pred, F.col(order), True).unionByName(side(truth, F.lit(0), False)).dropna(subset=["v"])
-
-    def match(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left = sorted(rows.loc[~rows["p"], "v"])
-        n_truth, tp = len(left), 0
-        mine = rows[rows["p"]].sort_values("n")["v"]
-        for v in mine:
-            j = bisect_left(left, v)
-            if j and (j == len(left) or v - left[j - 1] <= left[j] - v):
-                j = bisect_left(left, left[j - 1])
-            if j < len(left) and abs(left[j] - v) <= max(abs(left[j]) * relative, floor):
-                tp += 1
-                left.pop(j)
-        own = {k: [x] for k, x in zip(keys, key, strict=True)}
-        return pd.DataFrame(own | {"tp": [tp], "n_pred": [len(mine)], "n_truth": [n_truth], "rnss": [2 * tp / (len(mine) + n_truth) if len(mine) + n_truth else 0.0]})
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*keys).schema.fields)
-    out = both.groupBy(*keys).applyInPandas(match, f"{kinds}, tp long, n_pred long, n_truth long, rnss double")
+    side = lambda d, n, target: (d if by else d.withColumn("__chart", F.lit(1))).select(
+        *keys, F.lit(target).alias("target"), n.cast("long").alias("n"), F.col("value").cast("double").alias("v"), F.lit(None).cast("string").alias("pool"), F.lit(False).alias("roams")
+    )
+    both = side(pred, F.col(order), False).unionByName(side(truth, F.lit(0), True)).dropna(subset=["v"])
+    found = assigned(both, keys, (relative, floor))
+    out = found.groupBy(*keys).agg(F.count_if(F.col("used") & ~F.col("target")).alias("tp"), F.count_if(~F.col("target")).alias("n_pred"), F.count_if("target").alias("n_truth"))
+    out = out.withColumn("rnss", F.coalesce(F.try_divide(2 * F.col("tp"), F.col("n_pred") + F.col("n_truth")), F.lit(0.0)))
     return out if by else out.drop("__chart")
 
 
 def snap_to_ticks(points: DataFrame, ticks: DataFrame) -> DataFrame:
-    """The nearest tick for each x, the first of equally near ones.
+    """The label of the nearest tick for each x, the lower one of equally near ones; none for a missing x or without ticks.
 
-    Ticks of an axis are few; they are one array, bounded by a check, and not a join by distance.
+    Points and ticks are merged in order of place: each point sees the last tick up to it and the first
+    after it.  The order is cut in ranges (``ordered``), so an axis may have any number of ticks.
     """
-    n = ticks.count()
-    if n > 10_000:
-        raise ValueError("an axis has at most 10,000 ticks")
-    axis = ticks.agg(F.collect_list(F.struct("pos", "label")).alias("__axis")).withColumn("__k", F.lit(1))
-    nearest = F.array_min(F.transform("__axis", lambda t: F.struct(F.abs(t["pos"] - F.col("x")).alias("d"), t["pos"].alias("pos"), t["label"].alias("label"))))
-    return points.withColumn("__k", F.lit(1)).join(F.broadcast(axis), "__k").withColumn("label", nearest["label"]).drop("__k", "__axis")
+    safe_unions(points.sparkSession)
+    t = ticks.select(F.col("pos").cast("double").alias("pos"), "label").dropna(subset=["pos"]).groupBy("pos").agg(F.min("label").alias("label"))
+    kind = T.StructType([T.StructField("pos", T.DoubleType()), T.StructField("label", ticks.schema["label"].dataType)])
+    rows = points.select(F.col("x").cast("double").alias("__x"), F.struct(*points.columns).alias("__row"), F.lit(None).cast(kind).alias("__tick"))
+    both = rows.unionByName(t.select(F.col("pos").alias("__x"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), F.struct("pos", "label").alias("__tick")))
+    cut = ordered.ranged(both, "__x")
+    place = Window.partitionBy("__range").orderBy("__x", F.col("__row").isNotNull())  # a tick comes before the points on it
+    upto, after = place.rowsBetween(Window.unboundedPreceding, 0), place.rowsBetween(0, Window.unboundedFollowing)
+    ends = cut.groupBy("__range").agg(F.min("__tick").alias("first"), F.max("__tick").alias("last"))
+    w = Window.orderBy("__range")  # a row a range
+    ends = ends.select("__range", F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+    seen = cut.withColumn("__low", F.last("__tick", True).over(upto)).withColumn("__high", F.first("__tick", True).over(after)).filter("__row IS NOT NULL").join(F.broadcast(ends), "__range")
+    low, high = F.coalesce("__low", "__before"), F.coalesce("__high", "__after")
+    lower = high.isNull() | (F.col("__x") - low["pos"] <= high["pos"] - F.col("__x"))
+    label = F.when(F.col("__x").isNotNull(), F.when(lower & low.isNotNull(), low["label"]).otherwise(high["label"]))
+    return seen.select("__row.*", label.alias("label"))
 
 
 def first_source(**sources: DataFrame | None) -> tuple[str, DataFrame] | None:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.expressions import clip, normal_key
+from sparkloom.functions.quantiles import exact_quantiles
 from sparkloom.operators import ordered
 from sparkloom.params import Inputs, MissingRole, Params, listed, ordering, require
 
@@ -94,7 +95,7 @@ def pooled_rate(inputs, p):
 
 @operator("group", "value", family="group")
 def median_not_mean(inputs, p):
-    return inputs["df"].groupBy(*_groups(p)).agg(F.median(p["value"]).alias(p["value"]))
+    return exact_quantiles(inputs["df"], _groups(p), p["value"], {p["value"]: 0.5})
 
 
 @operator("group", "value", family="group")

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.quantiles import exact_quantiles
 from sparkloom.params import listed
 
 # Name tokens that mark a ratio, a time, and the roles of overlays.
@@ -48,8 +49,7 @@ def histogram(df: DataFrame, value: str, bins: int = 20, empty: bool = True) ->
 
 def box(df: DataFrame, group: str, value: str, reach: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (the last values within ``reach`` times the quartile range) and outliers."""
-    q = df.groupBy(group).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = exact_quantiles(df, [group], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     rows = df.select(group, value).join(q, group)
     inside = F.col(value).between(F.col("q1") - reach * iqr, F.col("q3") + reach * iqr)
@@ -75,8 +75,8 @@ def bins_2d(df: DataFrame, x: str, y: str, grid: int = 20) -> DataFrame:
 
 def violin(df: DataFrame, group: str, value: str, points: int = 20) -> DataFrame:
     """Evenly spaced quantiles of each group, a density without a kernel."""
-    steps = F.array(*[F.lit(i / points) for i in range(points + 1)])
-    return df.groupBy(group).agg(F.percentile(value, steps).alias("q")).select(group, F.posexplode("q").alias("step", value))
+    steps = {f"__s{i}": i / points for i in range(points + 1)}
+    return exact_quantiles(df, [group], value, steps).select(group, F.posexplode(F.array(*steps)).alias("step", value))
 
 
 def stacked(df: DataFrame, x: str, series: str, y: str, ratio: bool = False, normalise: bool = False) -> DataFrame:
@@ -124,7 +124,7 @@ def is_ratio(df: DataFrame, y: str) -> DataFrame:
 def axis_break(df: DataFrame, y: str) -> DataFrame:
     """One row: where a few large values justify a gap in the axis."""
     v = F.col(y).cast("double")
-    q = df.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.percentile(v, F.lit(0.9)).alias("q90"), F.percentile(v, F.lit(0.75)).alias("q75"))
+    q = df.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).join(F.broadcast(exact_quantiles(df, [], y, {"q90": 0.9, "q75": 0.75})), F.lit(True))  # a row each
     q = q.withColumn("q", F.when(F.col("n") >= 6, F.col("q90")).otherwise(F.col("q75")))
     gap = F.col("hi") - F.col("q") > F.greatest(F.lit(1.0), 0.25 * (F.col("q") - F.col("lo")))
     return q.select("n", F.coalesce(gap, F.lit(False)).alias("gap"), F.when(gap, F.col("q")).alias("gap_start"), F.when(gap, F.col("hi") - 0.35 * (F.col("hi") - F.col("q"))).alias("gap_end"))

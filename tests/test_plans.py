@@ -1,12 +1,16 @@
 """The transform language, chart data, matching, profiles, intent rules and streams on small rows."""
 
 import datetime as dt
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom import compare
 from sparkloom.functions import expressions as X
-from sparkloom.operators import matching
+from sparkloom.functions import quantiles, specs
+from sparkloom.operators import assignment, matching
 from sparkloom.plans import chart, dsl, intent
 from sparkloom.sources import corpus, files, profile
 from sparkloom.streaming import events
@@ -168,3 +172,112 @@ def test_small_expressions(spark):
     assert one(X.half_even(F.lit(2.5))) == 2 and one(X.half_even(F.lit(3.5))) == 4
     assert one(X.wilson(F.lit(0), F.lit(0))[0]) is None
     assert one(X.quarter_text(F.lit("2024-05-01").cast("timestamp"))) == "2024Q2"
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_exact_quantiles_of_hot_groups(spark, monkeypatch, accuracy):
+    """One group of nearly all rows, ties, missing groups and values: as ``percentile``, also with a coarse sketch."""
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    rng = random.Random(4)
+    rows = [(None if i % 9 == 0 else "hot", rng.choice([rng.gauss(0, 1e3), float(rng.randint(0, 5)), None])) for i in range(6000)]
+    rows += [("one", 2.0), ("two", 1.0), ("two", 4.0), ("empty", None), ("same", 7.0), ("same", 7.0), ("same", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    steps = {f"q{i}": q for i, q in enumerate([0.5, 0.0, 0.1, 0.25, 0.777, 0.9, 1.0])}
+    want = df.groupBy("g").agg(*[F.percentile("v", F.lit(q)).alias(n) for n, q in steps.items()])
+    close = lambda r: tuple(x if isinstance(x, str) or x is None else round(x, 7) for x in r)
+    assert sorted(map(repr, map(close, quantiles.exact_quantiles(df, ["g"], "v", steps).collect()))) == sorted(map(repr, map(close, want.collect())))
+    total = df.agg(F.percentile("v", F.lit(0.3)).alias("x")).first()
+    assert close(quantiles.exact_quantiles(df, [], "v", {"x": 0.3}).first()) == close(total)
+    assert quantiles.exact_quantiles(df.filter("false"), ["g"], "v", steps).count() == 0
+    assert tuple(quantiles.exact_quantiles(df.filter("false"), [], "v", {"x": 0.3}).first()) == (None,)
+
+
+def plain_merge(base, override):
+    if isinstance(base, dict) and isinstance(override, dict):
+        return base | {k: plain_merge(base[k], v) if k in base else v for k, v in override.items()}
+    return override
+
+
+def plain_leaves(value, path=""):
+    if isinstance(value, dict) and value:
+        return {p: x for k, v in value.items() for p, x in plain_leaves(v, f"{path}/" + k.replace("~", "~0").replace("/", "~1")).items()}
+    return {path: json.dumps(value, separators=(",", ":"))}
+
+
+def test_deep_merge_equals_recursion(spark):
+    rng = random.Random(12)
+
+    def spec(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice([1, 2.5, "x", "", None, True, [1, {"a": 2}], [], {}])
+        return {k: spec(depth - 1) for k in rng.sample(["a", "b", "c/d", "e~f", "g h"], rng.randint(0, 4))}
+
+    pairs = [(i, spec(4), spec(4)) for i in range(150)] + [(900, {"a": {"b": {}}}, {"a": {}}), (901, {"a": 1}, {"a": {}}), (902, {}, {"a": {"b": 1}}), (903, {"a": {"b": 1}}, 5)]
+    frame = lambda k: spark.createDataFrame([(p[0], json.dumps(p[k])) for p in pairs] + [(-k, None), (-9, "no { json")], "id long, spec string")
+    out = specs.deep_merge(specs.leaves(frame(1), "id", "spec"), specs.leaves(frame(2), "id", "spec"))
+    got = {}
+    for r in out.collect():
+        assert r.path not in got.setdefault(r.id, {})
+        got[r.id][r.path] = r.value
+    assert {i: got.get(i) for i, _, _ in pairs} == {i: plain_leaves(plain_merge(a, b)) for i, a, b in pairs} and set(got) == {i for i, _, _ in pairs}
+
+
+def test_consensus_of_many_candidates(spark):
+    rng = random.Random(6)
+    results = {f"c{i}": rng.choice([[("x", 1.0), ("y", 2.0)], [("x", 1.0), ("y", 2.5)], [("x", 1.0)], [("x", 1.0), ("x", 1.0), ("y", 2.0)], [("x", 1.0), ("y", 2.0)]]) for i in range(200)}
+    long = [(c, str(n), col, str(v)) for c, rows in results.items() for n, row in enumerate(rng.sample(rows, len(rows))) for col, v in zip(("k", "v"), row)]
+    long += [("other", "0", "k", "x"), ("other", "0", "w", "1.0"), ("blank", "0", "k", None), ("blank", "0", "v", "1.0")]
+    got = {r.candidate: (r.agree, r.modal, r.majority) for r in compare.consensus(spark.createDataFrame(long, "candidate string, row string, column string, value string")).collect()}
+    count = {}
+    for rows in results.values():
+        count[tuple(sorted(rows))] = count.get(tuple(sorted(rows)), 0) + 1
+    most = max(count.values())
+    for c, rows in results.items():
+        n = count[tuple(sorted(rows))]
+        assert got[c] == (n, n == most, n == most and 2 * most > len(results) + 2), c
+    assert got["other"][0] == got["blank"][0] == 1
+    frame = spark.createDataFrame([(1, "x", 1.0), (2, "x", 1.0), (3, "x", 1.0000000001), (4, "x", 1.1)], "c long, k string, v double")
+    cells = compare.cells(frame.select("k", "v", "c"), F.col("c"), F.lit(0)).filter("column <> 'c'")
+    assert [r.majority for r in compare.consensus(cells).orderBy("candidate").collect()] == [True, True, True, False]
+
+
+def test_nearest_tick_by_merging(spark):
+    rng = random.Random(9)
+    ticks = [(float(p), rng.choice("abc") + str(p)) for p in rng.sample(range(-400, 400), 60)] + [(7.0, "z7"), (7.0, "a7")]
+    xs = [rng.uniform(-500, 500) for _ in range(300)] + [float(rng.randint(-400, 400)) / 2 for _ in range(200)] + [t[0] for t in ticks] + [None]
+    points = spark.createDataFrame(list(enumerate(xs)), "n long, x double").repartition(4)
+    got = {r.n: r.label for r in matching.snap_to_ticks(points, spark.createDataFrame(ticks, "pos double, label string")).collect()}
+    for n, x in enumerate(xs):
+        assert got[n] == (None if x is None else min((abs(p - x), p, label) for p, label in ticks)[2]), (n, x)
+    none = matching.snap_to_ticks(points, spark.createDataFrame([], "pos double, label string")).collect()
+    assert len(none) == len(xs) and all(r.label is None for r in none)
+
+
+def plain_assignment(seekers, targets, tolerance):
+    """``seekers``: (n, pool, v, roams), ``targets``: (pool, v); the value that each seeker takes."""
+    used, out = set(), {}
+    for n, pool, v, roams in sorted(seekers):
+        free = [(abs(t - v), t, p or "", j) for j, (p, t) in enumerate(targets) if j not in used and (roams or p == pool)]
+        if free and (tolerance is None or min(free)[0] <= max(abs(min(free)[1]) * tolerance[0], tolerance[1])):
+            used.add(min(free)[3])
+            out[n] = min(free)[1]
+    return out, sorted((str(p), t) for j, (p, t) in enumerate(targets) if j not in used)
+
+
+@pytest.mark.parametrize(("seed", "part", "tolerance", "mixed"), [(0, 8, None, True), (1, 15, (0.1, 0.5), False), (2, 5, (0.0, 0.0), False), (3, 30, None, False), (4, 10**6, (0.3, 2.0), True), (5, 12, (1.5, 0.0), False)])
+def test_assignment_in_parts_equals_the_sequential_rule(spark, seed, part, tolerance, mixed):
+    rng, rows, want = random.Random(seed), [], {}
+    for g in ("hot", "small", "surplus"):
+        targets = [(rng.choice(["a", "b", None]) if mixed else "a", rng.choice([rng.randint(-90, 90) / 2, rng.randint(0, 9) * 10.0])) for _ in range({"hot": 120, "small": 4, "surplus": 30}[g])]
+        seekers = []
+        for n in range({"hot": 110, "small": 5, "surplus": 45}[g]):
+            roams = mixed and rng.random() < 0.2
+            seekers.append((n, "q" if roams else rng.choice(["a", "b", None]) if mixed else "a", rng.choice(targets)[1] + rng.choice([0.0, 0.0, 0.25, -1.0, 6.0]), roams))
+        want[g] = plain_assignment(seekers, targets, tolerance)
+        rows += [(g, False, n, v, p, r) for n, p, v, r in seekers] + [(g, True, 0, v, p, False) for p, v in targets]
+    df = spark.createDataFrame(rows, "g string, target boolean, n long, v double, pool string, roams boolean").repartition(3)
+    out = assignment.assigned(df, ["g"], tolerance, part_rows=part).collect()
+    for g in want:
+        assert {r.n: r.gt for r in out if r.g == g and not r.target and r.used} == want[g][0]
+        assert sorted((str(r.pool), r.v) for r in out if r.g == g and r.target and not r.used) == want[g][1]
+    assert len(out) == len(rows)
