@@ -4,17 +4,18 @@ Words that license notices use (``TRIGGERS``) mark places of a text.  Around eac
 words as the longest template can span, on both sides and over line ends, are a candidate block;
 blocks that meet are one.  Each block is compressed alone and with each template as a raw
 zstandard dictionary; the larger the saving, the more of the template's wording is in the block.
-The whole ranking is then confirmed by words: a template holds in a window of the block when
-nearly all its words stand there in order and few words differ (missing, or between).  The
-longest common subsequence of all windows with one end comes from one backward pass over bits.
-The confirmed template with the most words found wins; its words are taken out of the block and
-the rest is judged again, so a block may hold several notices.
+The ranking is gone through from the largest saving on, and each template confirmed by words: it holds
+in a window of the block when nearly all its words stand there in order and few words differ (missing, or
+between).  The longest common subsequence of all windows with one end comes from one backward pass
+over bits.  The confirmed template with the largest saving wins; among those within ``CLOSE`` of it, where
+sizes are a matter of some bytes, exact wording decides, and no lower saving is looked at.  Its words
+are taken out of the block and the rest is judged again, so a block may hold several notices.
 
 Every template has two trigger words, or is so short that it only holds whole, so no notice is
 missed for lack of a trigger but one that has lost all of them.
 
-Defined results: null or empty text has no blocks.  Ties in words found go to fewer differences,
-then to the template's name.  A text without trigger words is never compressed.  Empty tables give
+Defined results: null or empty text has no blocks.  Of equal savings the template with more words found
+wins, then fewer differences, then the template's name.  A text without trigger words is never compressed.  Empty tables give
 empty results; repeated rows are each scanned; extra columns are ignored.
 """
 
@@ -80,6 +81,8 @@ TEMPLATES = {
 # Parts of words.
 TRIGGERS = ("licen", "copyright", "reserved", "distribut", "granted", "waived", "permi", "warrant", "public", "mozilla")
 LEVEL, LEAST_WORDS = 3, 0.9
+#: Savings this near to the largest confirmed one are told apart by wording.
+CLOSE = 0.05
 
 _WORD = re.compile(r"[a-z0-9.+-]*[a-z0-9]")
 
@@ -200,15 +203,15 @@ def wording(window: list[str], template: list[str]) -> tuple[list[str], list[str
 def scan_words(words: list[str], templates: dict[str, str]) -> list[tuple[str, float, int, list[str], list[str]]]:
     """Confirmed templates of a block in its order: name, saving, number of words that differ, words missing, words added."""
     own_words = {name: words_of(text) for name, text in templates.items()}
-    plain = {name: " ".join(w) for name, w in own_words.items()}
+    plain = {name: " ".join(w) for name, w in own_words.items() if w}
     place, out = list(range(len(words))), []
     while words:
-        # Only templates with enough of their words can hold; of the others no size is needed.
-        have = Counter(words)
-        likely = {k: v for k, v in plain.items() if own_words[k] and (Counter(own_words[k]) & have).total() / len(own_words[k]) >= LEAST_WORDS}
-        if not likely:
-            break
-        held = [(-own[0][0], own[0][1], name, saving, own) for name, saving in savings(" ".join(words), likely) if (own := fits(words, own_words[name]))]
+        held: list[tuple[int, int, str, float, list]] = []
+        for name, saving in savings(" ".join(words), plain):
+            if held and saving < held[0][3] - CLOSE * abs(held[0][3]):
+                break
+            if own := fits(words, own_words[name]):
+                held.append((-own[0][0], own[0][1], name, saving, own))
         if not held:
             break
         _, _, name, saving, own = min(held)

@@ -69,6 +69,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("found").cast("long").alias("n_licenses"),
         F.array_join(F.array_sort(F.array_distinct("found.license")), ",").alias("licenses"),
         F.aggregate("found.n_differences", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_differences"),
+        F.round(F.array_max("found.saving"), 6).alias("best_saving"),
     )
 
 

@@ -1,5 +1,6 @@
 """Weak labels on a task with known classes; license scan against planted notices."""
 
+import itertools
 import math
 import random
 
@@ -253,3 +254,46 @@ def test_many_short_notices_and_shuffled_words():
     words = license_scan.words_of(license_scan.TEMPLATES["BSD-3-Clause-text"]) * 200
     random.Random(2).shuffle(words)
     assert license_scan.scan_words(words, license_scan.TEMPLATES) == []
+
+
+def test_the_largest_saving_wins(monkeypatch):
+    """Two templates hold in windows that meet: the one with more words, and the one that saves more."""
+    words = "a of to in it is on at by as".split()
+    long_words = ["licensedistributorship", "permissionlessness", "copyrightability", "warrantableness", "redistributability", "publicationsystem", "reservedlyspoken"]
+    short, rare = " ".join(words + long_words[:2]), " ".join(long_words)
+    templates = {"short": short, "rare": rare}
+    block = words + long_words
+    assert [x[0] for x in license_scan.scan_words(block, templates)] == ["rare"]
+    by_name = lambda b, t: sorted((n, 0.1) for n in t)
+    monkeypatch.setattr(license_scan, "savings", by_name)
+    assert [x[0] for x in license_scan.scan_words(block, templates)] == ["short"]
+
+
+def test_scan_equals_search_of_whole_texts(spark):
+    """Notices in prose, changed and not, and words of notices without one: what all windows of the whole text hold."""
+    rng = random.Random(11)
+    prose = [f"{a}{b}" for a in "bcdfg" for b in ("ar", "en", "ost", "licen", "il")]
+    rows = []
+    for i in range(60):
+        parts = [[rng.choice(prose) for _ in range(rng.randint(0, 200))] for _ in range(3)]
+        names = rng.sample(sorted(license_scan.TEMPLATES), rng.randint(0, 2))
+        notices = []
+        for name in names:
+            w = license_scan.TEMPLATES[name].split()
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                w[rng.randrange(len(w))] = rng.choice(prose)
+            notices.append(w)
+        text = [x for p, n in itertools.zip_longest(parts, notices, fillvalue=[]) for x in p + n]
+        rows.append((i, " ".join(text)))
+    found = {r.doc_id: {f.license for f in r.found} for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    some = 0
+    for i, text in rows:
+        words = license_scan.words_of(text)
+        held = {n: license_scan.fits(words, license_scan.words_of(t)) for n, t in license_scan.TEMPLATES.items()}
+        held = {n: own for n, own in held.items() if own}
+        some += len(held)
+        assert found[i] <= set(held)
+        for name, own in held.items():  # found, or its windows belong to what was
+            taken = [(s, e) for n in found[i] for _, _, s, e in held[n]]
+            assert name in found[i] or all(any(s < past and start < e for s, e in taken) for _, _, start, past in own), (i, name)
+    assert some > 40
