@@ -11,6 +11,7 @@ from sparkloom import compare
 from sparkloom.functions import expressions as X
 from sparkloom.functions import quantiles, specs
 from sparkloom.operators import assignment, matching
+from sparkloom.operators.transforms import OPERATORS
 from sparkloom.plans import chart, dsl, intent
 from sparkloom.sources import corpus, files, profile
 from sparkloom.streaming import events
@@ -281,3 +282,20 @@ def test_assignment_in_parts_equals_the_sequential_rule(spark, seed, part, toler
         assert {r.n: r.gt for r in out if r.g == g and not r.target and r.used} == want[g][0]
         assert sorted((str(r.pool), r.v) for r in out if r.g == g and r.target and not r.used) == want[g][1]
     assert len(out) == len(rows)
+
+
+def test_stream_with_empty_bins_equals_batch(spark, tmp_path):
+    """Bins in order with the empty ones between, over restarts; a row later than the watermark allows is dropped."""
+    at = lambda day, h=0: dt.datetime(2024, 1, day, h)
+    batches = [[("a", at(1, 5), 1.0), ("a", at(4), 2.0), ("b", at(2, 1), 7.0), ("b", at(2, 3), None)], [("a", at(9, 1), 4.0), ("b", at(6, 1), 1.0), ("a", at(1, 6), 100.0)], [("a", at(9, 2), 0.5), ("z", at(30), 0.0)], []]
+    kind, kept = "k string, t timestamp, v double", [r for b in batches for r in b if r[2] != 100.0 and r[0] != "z"]
+    for rows in batches:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = events.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], kind).schema)
+        events.start(events.resampled_with_gaps(stream, "t", "v", "1 day", "1 hour", "k"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    got = sorted((r.k, r.t, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    want = []
+    for k in "ab":
+        df = spark.createDataFrame([r for r in kept if r[0] == k], kind)
+        want += [(k, r.t, r.v) for r in OPERATORS["resample_boundary"]({"df": df}, {"time": "t", "value": "v", "freq": "1 day"}).collect()]
+    assert got == sorted(want) and 0.0 in {v for _, _, v in got}
