@@ -25,7 +25,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.shared import short_batches, text_bytes, written
@@ -245,11 +245,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bits in which fingerprints of similar texts may differ, tried from the nearest on.  At a similarity of 0.8 the
-#: angle of the shingle vectors is 27 degrees: 10 bits are expected, with a deviation of 3, so 22 is four of these away.
-NEAR_BITS = (4, 10, 16, 22)
+#: angle of the shingle vectors is 27 degrees: 10 bits are expected, with a deviation of 3, so 20 leaves out 1 pair in 6000.
+NEAR_BITS = (4, 10, 16, 20)
 #: Clusters of at most so many texts and shingles are compared whole, each in one task; larger ones by parts of this size.
 WHOLE_TEXTS, WHOLE_SHINGLES = 1000, 4_000_000
-#: In larger clusters each text is first compared with so many that most candidates share, which links most of them.
+#: The texts that most candidates share; so many of a larger cluster go to all its parts, which links most of these.
 HUBS = 12
 #: One document in so many tells which shingles are common; the share of these that makes one so.
 SAMPLE, COMMON_SHARE, MOST_COMMON = 16, 1 / 512, 1 << 20
@@ -332,6 +332,29 @@ def linked_sets(sets: list[np.ndarray], similarity: float, group: np.ndarray | N
     return edges
 
 
+def _cuts(texts: str, entries: str, most_entries: int) -> Column:
+    """Parts that bound both the texts and the shingles of each."""
+    return F.ceil(F.greatest(F.col(texts) / WHOLE_TEXTS, F.col(entries) / most_entries)).cast("long")
+
+
+def _within(texts: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` that link most of each large cluster (``texts``: sig, cluster, n): its texts are dealt to parts by chance, and its hubs to all parts."""
+    size = texts.groupBy("cluster").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("entries")).select("cluster", _cuts("texts", "entries", WHOLE_SHINGLES // 2).alias("cuts"))
+    dealt = texts.join(size, "cluster").select("cluster", "sig", F.pmod(F.xxhash64("sig", F.lit(4)), F.col("cuts")).alias("part"))
+    degree = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select("b")).groupBy("sig").count()
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("count").desc(), "sig"))
+    hubs = texts.select("cluster", "sig").join(degree, "sig").withColumn("rank", rank).filter(F.col("rank") <= HUBS)
+    everywhere = hubs.join(size, "cluster").select("cluster", "sig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("part"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("sig").sort_values("sig")
+        sig = pdf["sig"].to_numpy()
+        found = linked_sets([np.asarray(x, dtype=np.int64) for x in pdf["set"]], similarity)
+        return pd.DataFrame([(int(sig[i]), int(sig[j])) for i, j in found], columns=["a", "b"], dtype=np.int64)
+
+    return dealt.unionByName(everywhere).distinct().join(sets, "sig").groupBy("cluster", "part").applyInPandas(compare, "a long, b long")
+
+
 def _across(texts: DataFrame, linked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs ``(a, b)`` of similar sets of a cluster (``texts``: sig, cluster, n) that the links leave apart.
 
@@ -343,12 +366,11 @@ def _across(texts: DataFrame, linked: DataFrame, sets: DataFrame, similarity: fl
     named = texts.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "cluster", "n", F.coalesce("label", "sig").alias("group"))
     named = written(named, "groups")
     part_entries = WHOLE_SHINGLES // 2
-    cuts = lambda texts, entries: F.ceil(F.greatest(F.col(texts) / WHOLE_TEXTS, F.col(entries) / part_entries)).cast("long")
     groups = named.groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("entries"))
-    groups = groups.withColumn("alone", (F.col("texts") > WHOLE_TEXTS // 2) | (F.col("entries") > part_entries // 2)).withColumn("cuts", cuts("texts", "entries"))
+    groups = groups.withColumn("alone", (F.col("texts") > WHOLE_TEXTS // 2) | (F.col("entries") > part_entries // 2)).withColumn("cuts", _cuts("texts", "entries", part_entries))
     groups = written(groups, "group-sizes")
     whole = groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("groups"), F.sum(F.when(~F.col("alone"), F.col("texts"))).alias("rest"), F.sum(F.when(~F.col("alone"), F.col("entries"))).alias("rest_entries"))
-    whole = whole.filter("groups > 1").select("cluster", cuts("rest", "rest_entries").alias("rest_cuts"))
+    whole = whole.filter("groups > 1").select("cluster", _cuts("rest", "rest_entries", part_entries).alias("rest_cuts"))
     own = F.xxhash64("cluster", "group", F.pmod(F.xxhash64("sig", F.lit(5)), F.col("cuts")))
     mixed = F.xxhash64("cluster", F.lit("rest"), F.pmod(F.xxhash64("group", F.lit(6)), F.col("rest_cuts")))
     placed = named.join(groups.select("cluster", "group", "alone", "cuts"), ["cluster", "group"]).join(whole, "cluster")
@@ -417,10 +439,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others those with a near fingerprint among the texts that share a leading shingle are candidates.
     Which shingles lead is a matter of balance only: any order does, and common shingles come last,
     so that a passage that many texts share makes no large bucket.  Texts that candidates connect
-    are compared by their whole sets: all with all in clusters of up to ``WHOLE_TEXTS``.  In larger
-    ones the candidates, and each text with the ``HUBS`` that most candidates share, link most of
-    them; what that leaves apart is compared by parts of bounded size, so the size of a cluster
-    changes no link.  A link is lost only if the fingerprints of similar texts are over the last of
+    are compared by their whole sets: all with all in clusters of up to ``WHOLE_TEXTS``.  Larger
+    ones are cut in parts, each compared whole with the ``HUBS`` that most candidates share; what that
+    leaves apart is compared between parts, so the size of a cluster changes no link.  A link is lost only if the fingerprints of similar texts are over the last of
     ``NEAR_BITS`` apart and no others connect them.
 
     Null ids have no row.  A null text is an empty text; texts without words are alike.  Rows of
@@ -488,20 +509,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     small = sets.filter("not large").select("sig", "cluster", "set", F.pmod(F.xxhash64("cluster"), F.lit(shards)).cast("int").alias("shard"))
     linked = small.groupBy("shard").applyInPandas(join_whole, "a long, b long")
-    # Of larger ones the candidates, and all texts against the few that are in most of these.
+    # Larger ones by parts, each with the texts that are in most candidates; then what that leaves apart.
     sets = sets.filter("large").select("sig", "set").dropDuplicates(["sig"])
     in_large = written(wanted.filter("large").select("sig", "cluster").join(need.select("sig", "n"), "sig"), "in-large")
-    near = written(pairs.join(in_large.select(F.col("sig").alias("a")), "a", "left_semi"), "near")
-    degree = near.select(F.col("a").alias("sig")).unionAll(near.select("b")).groupBy("sig").count()
-    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("count").desc(), "sig"))
-    hubs = in_large.drop("n").join(degree, "sig").withColumn("rank", rank).filter(F.col("rank") <= HUBS).select("cluster", F.col("sig").alias("hub"))
-    star = in_large.drop("n").join(hubs, "cluster").filter("sig <> hub").select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b"))
-    tested = near.union(star).distinct()
-    both = F.size(F.array_intersect("x", "y"))
-    tested = tested.join(sets.select(F.col("sig").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("set").alias("y")), "b")
-    held = written(tested.filter(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"), "held-pairs")
-    apart = [] if in_large.isEmpty() else [_across(in_large, held, sets, similarity)]
-    linked = written(reduce(DataFrame.union, [linked, held, *apart]), "similar-pairs")
+    apart: list[DataFrame] = []
+    if not in_large.isEmpty():
+        held = written(_within(in_large, pairs, sets, similarity), "held-pairs")
+        apart = [held, _across(in_large, held, sets, similarity)]
+    linked = written(reduce(DataFrame.union, [linked, *apart]), "similar-pairs")
 
     names = lambda c, n: distinct.select(F.col("sig").alias(c), F.col("node").alias(n))
     edges = linked.join(names("a", "p"), "a").join(names("b", "q"), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
