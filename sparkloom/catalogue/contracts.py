@@ -133,18 +133,24 @@ def even_stride(spark, d):
     return statistics.even_stride(table(spark, d, "events").select("event_id"), ["event_id"], 77)
 
 
-_CODE = [("df.groupby('a').sum()",), ("df.merge(x).groupby('b').rank()",), ("df.fillna(0).cumsum()",), ("df.groupby('a').apply(f)",)]
+_CODE = ("df.groupby('a').sum()", "df.merge(x).groupby('b').rank()", "df.fillna(0).cumsum()", "df.groupby('a').apply(f)")
 
 
-@query("SELECT * FROM (VALUES ('groupby', CAST(3 AS BIGINT)), ('apply', 1), ('cumulative', 1), ('fill', 1), ('join', 1), ('rank', 1)) t(family, n)")
+def _code(spark, d):
+    """A line of code for every event, in one of four forms, and the request it came from."""
+    pick = lambda *texts: F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, d, "events").select(pick(*_CODE).alias("code"), pick("sum by group", "mean by group", "running sum", "by group, please").alias("prompt"))
+
+
+@query("SELECT family, count(*) AS n FROM events JOIN (VALUES ('groupby', 0), ('groupby', 1), ('groupby', 3), ('apply', 3), ('cumulative', 2), ('fill', 2), ('join', 1), ('rank', 1)) t(family, k) ON event_id % 4 = k GROUP BY 1")
 def prevalence(spark, d):
-    return statistics.prevalence(spark.createDataFrame(_CODE, "code string"), "code")
+    return statistics.prevalence(_code(spark, d), "code")
 
 
-@query("SELECT CAST(3 AS BIGINT) AS hits, CAST(2 AS BIGINT) AS confirmed, CAST(4 AS BIGINT) AS n")
+@query("SELECT count(*) FILTER (WHERE event_id % 4 <> 2) AS hits, count(*) FILTER (WHERE event_id % 4 IN (0, 3)) AS confirmed, count(*) AS n FROM events")
 def rule_precision(spark, d):
-    rows = [("sum by group", "df.groupby('a').sum()"), ("mean by group", "df.mean()"), ("by group", "x.groupby('b')"), ("sort it", "x.sort_values()")]
-    return statistics.rule_precision(spark.createDataFrame(rows, "prompt string, code string"), "prompt", "code", "by group", r"groupby\(")
+    """How often a rule on the request is borne out by the code: here it asks for a grouping by 'a'."""
+    return statistics.rule_precision(_code(spark, d), "prompt", "code", "by group", r"groupby\('a'")
 
 
 _PROMPTS = [

@@ -14,7 +14,7 @@ def page_links(spark, d):
     return corpus.page_links(table(spark, d, "pages")).select("page_id", "title", F.size("hrefs").cast("long").alias("n"), F.array_join("hrefs", " ").alias("hrefs"))
 
 
-@query()
+@query(r"""SELECT page_id, replace(replace(replace(replace(regexp_extract(html, '(?s)<title>\s*(.*?)\s*</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title, CAST(len(regexp_extract_all(html, '<a [^>]*href=')) AS INTEGER) AS n_links, CAST(len(regexp_extract_all(html, '<figure[ >]')) AS INTEGER) AS n_figures FROM pages""")
 def page_parse(spark, d):
     p = corpus.parse_pages(table(spark, d, "pages"))
     return p.select("page_id", "title", F.size("links").alias("n_links"), F.size("figures").alias("n_figures"))
@@ -27,21 +27,6 @@ def url_parts(spark, d):
     return table(spark, d, "pages").select("page_id", *[v.alias(k) for k, v in corpus.url_parts(u).items()], corpus.query_get(u, "page").alias("page"), corpus.query_set(u, "ref", "me").alias("changed"))
 
 
-_LABELS = [("Source Data Fig. 1, 3-5 and 7", "1,3,4,5,7", "main"), ("Extended Data Fig. 9-7 (see 2)", "7,8,9", "extended"), ("Figure 2", "2", "main"), ("none", "", "main")]
-
-
-@query("SELECT * FROM (VALUES ('Source Data Fig. 1, 3-5 and 7', 'main:1,main:3,main:4,main:5,main:7'), ('Extended Data Fig. 9-7 (see 2)', 'extended:7,extended:8,extended:9'), ('Figure 2', 'main:2'), ('none', '')) t(label, keys)")
-def label_keys(spark, d):
-    df = spark.createDataFrame([(x[0],) for x in _LABELS], "label string")
-    return df.select("label", F.array_join(corpus.label_keys(F.col("label")), ",").alias("keys"))
-
-
-@query("SELECT * FROM (VALUES ('Fig. 3: dose', 0, 'main:3'), ('Extended Data Fig. 2 | rate', 1, 'extended:2'), ('A photo', 4, 'main:5')) t(caption, idx, key)")
-def figure_identity(spark, d):
-    df = spark.createDataFrame([("Fig. 3: dose", 0), ("Extended Data Fig. 2 | rate", 1), ("A photo", 4)], "caption string, idx int")
-    return df.select("caption", "idx", corpus.figure_identity(F.col("caption"), F.col("idx"))["key"].alias("key"))
-
-
 @query("SELECT text, lang, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2")
 def dedupe_keep_first(spark, d):
     return corpus.keep_first(table(spark, d, "documents").select("text", "lang", "doc_id"), ["text", "lang"], ["doc_id"])
@@ -97,12 +82,6 @@ def newest_by_year(spark, d):
     return corpus.newest_by_year(table(spark, d, "orders").select(F.year("o_orderdate").cast("long").alias("y"), "o_orderkey"), "y", ["o_orderkey"], 20, 90)
 
 
-@query("""WITH b AS (SELECT 'alpha' AS term, 0 AS s, 0 AS i, 0 AS j UNION ALL SELECT x || ' ' || y, 1, i, j FROM (VALUES ('a', 0), ('b', 1)) f(x, i), (VALUES ('u', 0), ('v', 1), ('w', 2)) g(y, j)) SELECT term FROM b ORDER BY s, i, j LIMIT 5""")
-def keyword_list(spark, d):
-    t = lambda *xs: spark.createDataFrame([(x, i) for i, x in enumerate(xs)], "term string, pos int")
-    return corpus.keyword_list(t("alpha"), t("a", "b"), t("u", "v", "w"), 5)
-
-
 @query("""WITH r AS (SELECT source, lang, doc_id, length(text) AS n, text FROM documents)
 SELECT source, lang, arg_max(text, (n, -doc_id)) AS text, min(doc_id) AS first_id, array_to_string(list_sort(list_distinct(list(doc_id % 5))), ',') AS items FROM r GROUP BY 1, 2""")
 def merge_duplicates(spark, d):
@@ -146,18 +125,15 @@ def safe_names(spark, d):
     return table(spark, d, "pages").select("page_id", slug(F.col("url")).alias("name"))
 
 
-@query("SELECT * FROM (VALUES (1, 'https://x/og.png'), (2, 'b.jpg'), (3, 'c.png'), (4, 'fig2.tif')) t(id, best)")
-def best_image(spark, d):
-    rows = [(1, "https://x/og.png", None, None, []), (2, "", "a.jpg 1x, b.jpg 2x", "z.png", []), (3, None, None, "c.png", ["fig1.png"]), (4, None, None, None, ["fig1.png", "x.tif", "fig2.tif", "fig3.tif"])]
-    df = spark.createDataFrame(rows, "id int, og string, srcset string, src string, anchors array<string>")
-    return df.select("id", corpus.best_image(F.col("og"), F.col("srcset"), F.col("src"), F.col("anchors")).alias("best"))
-
-
-@query("SELECT * FROM (VALUES (1, 'a b.csv'), (2, 'data.zip'), (3, 'item.json'), (4, 'x.bin')) t(id, name)")
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'a ' || page_id || '.csv' WHEN 1 THEN 'data' || page_id || '.zip' WHEN 2 THEN 'item' || page_id || '.json' ELSE 'x' || page_id || '.bin' END AS name FROM pages")
 def download_names(spark, d):
-    rows = [(1, "attachment; filename*=UTF-8''a%20b.csv", "https://h/q", "text/csv"), (2, None, "https://h/p/data.zip?dl=1", "application/zip"), (3, None, "https://h/item", "application/json"), (4, None, "https://h/x", "application/octet-stream")]
-    df = spark.createDataFrame(rows, "id int, disposition string, url string, content_type string")
-    return df.select("id", corpus.download_name(F.col("disposition"), F.col("url"), F.col("content_type")).alias("name"))
+    """Names of downloads by what the answer says, by the address, and by the type of the content."""
+    k, n = F.col("page_id") % 4, F.col("page_id").cast("string")
+    pick = lambda *v: F.when(k == 0, v[0]).when(k == 1, v[1]).when(k == 2, v[2]).otherwise(v[3])
+    disposition = F.when(k == 0, F.concat(F.lit("attachment; filename*=UTF-8''a%20"), n, F.lit(".csv")))
+    url = pick(F.lit("https://h/q"), F.concat(F.lit("https://h/p/data"), n, F.lit(".zip?dl=1")), F.concat(F.lit("https://h/item"), n), F.concat(F.lit("https://h/x"), n))
+    kind = pick(*map(F.lit, ("text/csv", "application/zip", "application/json", "application/octet-stream")))
+    return table(spark, d, "pages").select("page_id", corpus.download_name(disposition, url, kind).alias("name"))
 
 
 @query("SELECT o_custkey, string_agg(o_orderpriority || ', ' || o_orderstatus, '; ' ORDER BY o_orderpriority, o_orderstatus) AS authors FROM (SELECT DISTINCT o_custkey, o_orderpriority, o_orderstatus FROM orders) GROUP BY 1")

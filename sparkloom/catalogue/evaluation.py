@@ -76,12 +76,11 @@ def compare_scalar(spark, d):
     return spark.createDataFrame([(n, compare.scalar_equal(f.withColumn("note", F.lit("total")), gold)) for n, f in forms.items()], "form string, same boolean")
 
 
-@query("(SELECT event_type FROM events WHERE value > 150 EXCEPT SELECT event_type FROM events WHERE value > 150 AND event_id % 2 = 0)")
+@query("SELECT event_type, user_id, CAST(floor(value) AS BIGINT) AS v FROM events EXCEPT SELECT event_type, user_id, CAST(floor(value) AS BIGINT) FROM events WHERE event_id % 2 = 0")
 def compare_new_errors(spark, d):
-    """What fires after and did not fire before; names are few."""
-    e = table(spark, d, "events").filter("value > 150")
-    names = lambda df: {r.event_type for r in df.select("event_type").distinct().collect()}
-    return spark.createDataFrame([(n,) for n in sorted(compare.new_errors(names(e.filter("event_id % 2 = 0")), names(e)))], "event_type string")
+    """What fires after and did not fire before, over all events."""
+    e = table(spark, d, "events").withColumn("v", F.floor("value").cast("long"))
+    return compare.new_error_rows(e.filter("event_id % 2 = 0"), e, ["event_type", "user_id", "v"])
 
 
 @query("SELECT n, columns FROM (SELECT count(*) AS n FROM supplier), (SELECT 's_acctbal,s_name,s_nationkey,s_suppkey' AS columns)")

@@ -147,11 +147,11 @@ def latest_per_key(spark, d):
     return OP["order_dependent_dedup"]({"df": df}, {"key": "user_id", "order": ["ts", "event_id"]})
 
 
-@query("""WITH s AS (SELECT time_bucket(INTERVAL 1 HOUR, ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR AS ts, sum(value) AS v FROM events WHERE event_type = 'error' GROUP BY 1),
+@query("""WITH s AS (SELECT time_bucket(INTERVAL 1 HOUR, ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR AS ts, sum(value) AS v FROM events GROUP BY 1),
 spine AS (SELECT unnest(generate_series((SELECT min(ts) FROM s), (SELECT max(ts) FROM s), INTERVAL 1 HOUR)) AS ts)
 SELECT spine.ts AS ts, round(coalesce(v, 0), 6) AS value FROM spine LEFT JOIN s ON spine.ts = s.ts""")
 def resample_right(spark, d):
-    df = table(spark, d, "events").filter("event_type = 'error'")
+    df = table(spark, d, "events")
     out = OP["resample_boundary"]({"df": df}, {"time": "ts", "value": "value", "freq": "1 hour"})
     return out.select("ts", F.round("value", 6).alias("value"))
 

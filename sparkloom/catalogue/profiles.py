@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.catalogue.registry import query, table
-from sparkloom.functions.expressions import number
 from sparkloom.operators import matching
 from sparkloom.sources import profile
 
@@ -55,46 +54,6 @@ def profile_coerce(spark, d):
     return profile.coerce_types(_messy(spark, d), ["amount", "code", "half", "day"]).select("c_custkey", "amount", "code", "half")
 
 
-@query("""SELECT * FROM (VALUES ('1,200', 1200.0), ('35%', 35.0), (' 7.5 ', 7.5), ('1d', NULL), ('abc', NULL), ('-3', -3.0)) t(cell, value)""")
-def profile_number_cells(spark, d):
-    cells = spark.createDataFrame([("1,200",), ("35%",), (" 7.5 ",), ("1d",), ("abc",), ("-3",)], "cell string")
-    return cells.select("cell", number(F.col("cell"), ",%").alias("value"))
-
-
-_SHEET = [
-    (0, ["Table of results", None, None, None, None]),
-    (1, ["dose", "response", None, "time", "cells"]),
-    (2, ["1", "2.5", None, "0", "100"]),
-    (3, ["2", "3.5", None, "24", "180"]),
-    (4, ["3", "4.5", None, "48", "310"]),
-]
-
-
-def _sheet(spark):
-    return spark.createDataFrame(_SHEET, "row_idx int, cells array<string>")
-
-
-@query("SELECT * FROM (VALUES (0, 0, 1, 0), (1, 3, 4, 1)) t(block, first_col, last_col, header_row)")
-def sheet_blocks(spark, d):
-    return profile.block_headers(_sheet(spark)).select(*[F.col(c).cast("int").alias(c) for c in ("block", "first_col", "last_col", "header_row")])
-
-
-@query("SELECT 1 AS row_idx, 'dose|response|time|cells' AS cells")
-def sheet_header(spark, d):
-    return profile.header_row(_sheet(spark)).select("row_idx", F.array_join("cells", "|").alias("cells"))
-
-
-@query("SELECT true AS rows_ok, true AS numbers_ok")
-def sheet_usable(spark, d):
-    return profile.usable(_sheet(spark))
-
-
-@query("""SELECT * FROM (VALUES ('ED 1a-b', 'extended', 1, 'a-b'), ('Fig. 3', 'main', 3, ''), ('Extended Data Fig 12c', 'extended', 12, 'c'), ('Notes', 'main', NULL, ''), ('figure_2 a,b', 'main', 2, 'a,b')) t(name, kind, number, panels)""")
-def sheet_keys(spark, d):
-    names = spark.createDataFrame([("ED 1a-b",), ("Fig. 3",), ("Extended Data Fig 12c",), ("Notes",), ("figure_2 a,b",)], "name string")
-    return names.select("name", profile.sheet_key(F.col("name")).alias("k")).select("name", "k.*")
-
-
 @query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 15")
 def cap_per_source(spark, d):
     return profile.cap_per_source(table(spark, d, "documents").select("lang", "doc_id"), "lang", ["doc_id"], 15)
@@ -172,6 +131,6 @@ def corruptions(spark, d):
     return swapped.join(scaled, "l_shipdate").join(dropped, "l_shipdate")
 
 
-@query()
+@query("""WITH w AS (SELECT l_shipdate, round(sum(l_quantity), 2) AS v, md5('0|' || CAST(l_shipdate AS VARCHAR)) AS h FROM lineitem GROUP BY 1) SELECT l_shipdate, CASE WHEN h = (SELECT min(h) FROM w) THEN CASE WHEN v = 0 THEN 42.0 ELSE v * 0.6 END ELSE v END AS quantity FROM w""")
 def corruption_wrong_value(spark, d):
     return matching.wrong_value(_wide(spark, d), "quantity", ["l_shipdate"]).select("l_shipdate", "quantity")

@@ -10,7 +10,7 @@ from sparkloom.catalogue.registry import query, table
 from sparkloom.functions import specs
 from sparkloom.functions.expressions import number
 from sparkloom.operators import matching
-from sparkloom.plans import chart
+from sparkloom.plans import chart, tasks
 from sparkloom.sources import corpus, profile
 
 # ---------------------------------------------------------------- sheets
@@ -34,6 +34,13 @@ def repair_sheets(spark, d):
     return out.withColumns({"first_col": F.col("first_col").cast("int"), "header": F.array_join("header", "|"), "n_numeric": F.col("n_numeric").cast("int")})
 
 
+@query("""WITH c AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1), k AS (SELECT c_nationkey, n, CASE WHEN c_nationkey % 3 = 0 THEN n ELSE 2 * n END AS numeric, 4 * n + 5 AS filled FROM c)
+SELECT c_nationkey, true AS rows_ok, numeric / filled >= 0.3 AS numbers_ok FROM k""")
+def sheet_usable(spark, d):
+    """Which of many sheets have rows and numbers enough: name, balance, segment and key of each row, and five cells above."""
+    return profile.usable(_sheets(spark, d), ["c_nationkey"])
+
+
 @query("""SELECT row_idx, name, balance FROM (SELECT row_number() OVER (ORDER BY c_custkey) + 2 AS row_idx, c_name AS name, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS balance FROM customer WHERE c_nationkey = 7) UNION ALL SELECT 1, NULL, 'USD' WHERE (SELECT count(*) FROM customer WHERE c_nationkey = 7) > 0""")
 def build_table(spark, d):
     """One sheet as a table: rows under the header, without empty rows and columns."""
@@ -47,6 +54,19 @@ def task_columns(spark, d):
     return profile.task_columns(table(spark, d, "customer").drop("c_name"))
 
 
+@query("""WITH c AS (SELECT c_nationkey AS t, c_mktsegment AS g, c_acctbal AS x FROM customer), u AS (SELECT t FROM c GROUP BY 1 HAVING count(*) >= 8 AND count(DISTINCT g) BETWEEN 2 AND greatest(3, count(*) / 3)),
+k AS (SELECT t, g, sum(x) AS s, avg(x) AS a, median(x) AS m, stddev_pop(x) AS d FROM c SEMI JOIN u USING (t) GROUP BY 1, 2), w AS (SELECT t, sum(x) AS s, avg(x) AS a, stddev_pop(x) AS d FROM c GROUP BY 1),
+v AS (SELECT t, bool_or(k.s = 0) AS s0, bool_or(coalesce(abs(k.s / nullif(w.s, 0) - 1) > 1e-4, true)) AS s1, bool_or(abs(k.a - k.m) > greatest(abs(k.m) * 1e-6, 1e-6)) AS m1, bool_or(k.d = 0) AS z0, bool_or(coalesce(abs((k.a - w.a) / nullif(w.d, 0)) > 1e-3, true)) AS z1 FROM k JOIN w USING (t) GROUP BY 1),
+o AS (SELECT t, unnest(list_filter([CASE WHEN NOT s0 AND s1 THEN 'within_group_share' END, CASE WHEN m1 THEN 'median_not_mean' END, CASE WHEN NOT z0 AND z1 THEN 'zscore_within_group' END], lambda x: x IS NOT NULL)) AS operator FROM v)
+SELECT CAST(t AS VARCHAR) AS "table", operator, 'segment' AS grp, 'balance' AS value FROM o""")
+def tasks_of_many_tables(spark, d):
+    """A table of each nation's customers, all in one plan; tasks whose contract tells right from slip."""
+    c = table(spark, d, "customer")
+    cell = lambda name, pos, v: F.struct(F.lit(name).alias("column"), F.lit(pos).alias("pos"), v.cast("string").alias("value"))
+    cells = c.select(F.col("c_nationkey").cast("string").alias("table"), F.col("c_custkey").alias("row"), F.inline(F.array(cell("segment", 0, F.col("c_mktsegment")), cell("balance", 1, F.col("c_acctbal")))))
+    return tasks.generate_many(cells).select("table", "operator", F.col("params")["group"].alias("grp"), F.col("params")["value"].alias("value"))
+
+
 @query("SELECT c_mktsegment, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS DOUBLE) AS amount, CAST(c_custkey AS DOUBLE) AS id FROM customer WHERE c_custkey % 10 <> 0 OR c_custkey IS NOT NULL")
 def plottable_block(spark, d):
     """A text table as x and numbers; columns that hardly parse are labels."""

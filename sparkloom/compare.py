@@ -114,6 +114,12 @@ def consensus(long: DataFrame) -> DataFrame:
     return out.select("candidate", "agree", modal.alias("modal"), (modal & (2 * F.col("most") > F.col("all"))).alias("majority"))
 
 
+def new_error_rows(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """The different keys that are in ``after`` and were not in ``before``, as rows; missing parts of a key are equal."""
+    safe_unions(before.sparkSession)
+    return after.select(*key).distinct().exceptAll(before.select(*key).distinct())
+
+
 def new_errors(before: set[str], after: set[str]) -> set[str]:
     return after - before
 

@@ -182,10 +182,11 @@ def block_status(header_found: Column, coerced: Column) -> Column:
     return F.when(~header_found, "no_header").when(coerced >= 0.5, "ok").otherwise("weak")
 
 
-def usable(grid: DataFrame) -> DataFrame:
-    """Two rows or more, and three tenths of the filled cells numeric."""
-    c = grid_cells(grid)
-    return c.agg((F.count_distinct("row_idx") >= 2).alias("rows_ok"), F.coalesce(F.avg(F.when(filled(F.col("cell")), numeric_cell(F.col("cell")).cast("int"))) >= 0.3, F.lit(False)).alias("numbers_ok"))
+def usable(grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """For each sheet (``by``; without, one row): two rows or more, and three tenths of the filled cells numeric."""
+    c = grid.select(*by, "row_idx", F.explode("cells").alias("cell"))
+    numbers = F.avg(F.when(filled(F.col("cell")), numeric_cell(F.col("cell")).cast("int")))
+    return c.groupBy(*by).agg((F.count_distinct("row_idx") >= 2).alias("rows_ok"), F.coalesce(numbers >= 0.3, F.lit(False)).alias("numbers_ok"))
 
 
 def repair_sheets(grid: DataFrame, by: Sequence[str] = (), look: int = 6) -> DataFrame:

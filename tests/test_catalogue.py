@@ -11,7 +11,7 @@ from sparkloom.catalogue import contracts
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Rows-only: no SQL twin.
-NO_SQL = {"page_parse", "corruption_wrong_value"}
+NO_SQL = set()
 
 
 @pytest.fixture(scope="module")

@@ -3,12 +3,15 @@
 import hashlib
 import random
 import zipfile
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom import compare
 from sparkloom.contracts import engine
+from sparkloom.functions.expressions import number
 from sparkloom.operators import matching, ordered
 from sparkloom.operators.transforms import OPERATORS
 from sparkloom.plans import tasks
@@ -158,3 +161,41 @@ def test_generated_tasks_tell_right_from_slip(spark):
     made = tasks.generate(spark.createDataFrame(rows, "g string, v double, w double"), cap=6)
     names = [t.operator for t in made]
     assert "weighted_mean" in names and "pooled_rate" in names and 4 <= len(made) <= 6
+
+
+def test_tasks_of_many_tables_equal_those_of_each(spark):
+    rng = random.Random(5)
+    frames = {}
+    for name, n in (("plain", 40), ("gaps", 30), ("few", 6), ("flat", 24)):
+        rows = [(i, rng.choice(["x", "y", None if name == "gaps" else "z"]), f"k{i % 2}", round(rng.random() * 50, 2), None if name == "gaps" and i % 5 == 0 else float(i % 3), 1.0 if name == "flat" else rng.randint(1, 9) * 1.0) for i in range(n)]
+        frames[name] = spark.createDataFrame(rows, "row long, g string, h string, v double, w double, u double")
+    cells = reduce(DataFrame.unionByName, [tasks.as_cells(df, name, "row") for name, df in frames.items()])
+    got = {}
+    for r in tasks.generate_many(cells, cap=9).orderBy("table", "place").collect():
+        got.setdefault(r.table, []).append((r.operator, r.params))
+    for name in ("plain", "gaps", "few"):
+        want = [(t.operator, t.params) for t in tasks.generate(frames[name].drop("row"), cap=9)]
+        assert got.get(name, []) == want, name
+    assert got["flat"] and not any(op == "zscore_within_group" and p["value"] == "u" for op, p in got["flat"])
+    assert tasks.generate_many(cells.filter("false")).count() == 0
+
+
+def test_labels_captions_and_sheets_on_small_rows(spark):
+    """Forms with one right answer each."""
+    one = lambda kind, rows, c: [r.v for r in spark.createDataFrame(rows, kind).select(c.alias("v")).collect()]
+    labels = [("Source Data Fig. 1, 3-5 and 7",), ("Extended Data Fig. 9-7 (see 2)",), ("Figure 2",), ("none",)]
+    assert one("label string", labels, F.array_join(corpus.label_keys(F.col("label")), ",")) == ["main:1,main:3,main:4,main:5,main:7", "extended:7,extended:8,extended:9", "main:2", ""]
+    assert one("caption string, idx int", [("Fig. 3: dose", 0), ("Extended Data Fig. 2 | rate", 1), ("A photo", 4)], corpus.figure_identity(F.col("caption"), F.col("idx"))["key"]) == ["main:3", "extended:2", "main:5"]
+    rows = [("https://x/og.png", None, None, []), ("", "a.jpg 1x, b.jpg 2x", "z.png", []), (None, None, "c.png", ["fig1.png"]), (None, None, None, ["fig1.png", "x.tif", "fig2.tif", "fig3.tif"])]
+    assert one("og string, srcset string, src string, anchors array<string>", rows, corpus.best_image(F.col("og"), F.col("srcset"), F.col("src"), F.col("anchors"))) == ["https://x/og.png", "b.jpg", "c.png", "fig2.tif"]
+    assert one("cell string", [("1,200",), ("35%",), (" 7.5 ",), ("1d",), ("abc",), ("-3",)], number(F.col("cell"), ",%")) == [1200.0, 35.0, 7.5, None, None, -3.0]
+    keys = one("name string", [("ED 1a-b",), ("Fig. 3",), ("Extended Data Fig 12c",), ("Notes",), ("figure_2 a,b",)], profile.sheet_key(F.col("name")))
+    assert [tuple(k) for k in keys] == [("extended", 1, "a-b"), ("main", 3, ""), ("extended", 12, "c"), ("main", None, ""), ("main", 2, "a,b")]
+    grid = [["Table of results", None, None, None, None], ["dose", "response", None, "time", "cells"], ["1", "2.5", None, "0", "100"], ["2", "3.5", None, "24", "180"], ["3", "4.5", None, "48", "310"]]
+    sheet = spark.createDataFrame(list(enumerate(grid)), "row_idx int, cells array<string>")
+    assert sorted((r.block, r.first_col, r.last_col, r.header_row) for r in profile.block_headers(sheet).collect()) == [(0, 0, 1, 0), (1, 3, 4, 1)]
+    head = profile.header_row(sheet).first()
+    assert (head.row_idx, "|".join(c for c in head.cells if c)) == (1, "dose|response|time|cells")
+    assert tuple(profile.usable(sheet).first()) == (True, True)
+    t = lambda *xs: spark.createDataFrame([(x, i) for i, x in enumerate(xs)], "term string, pos int")
+    assert [r.term for r in corpus.keyword_list(t("alpha"), t("a", "b"), t("u", "v", "w"), 5).collect()] == ["alpha", "a u", "a v", "a w", "b u"]
