@@ -245,8 +245,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bits in which fingerprints of similar texts may differ, tried from the nearest on.  At a similarity of 0.8 the
-#: angle of the shingle vectors is 27 degrees: 10 bits are expected, with a deviation of 3, so 20 leaves out 1 pair in 6000.
-NEAR_BITS = (4, 10, 16, 20)
+#: angle of the shingle vectors is 27 degrees: 10 bits are expected, with a deviation of 3, so 16 leave out 1 pair in 80.
+#: With 20 (1 in 6000) unlike texts that share a shingle are candidates often enough to join most of a large corpus to one cluster.
+NEAR_BITS = (4, 10, 16)
 #: Clusters of at most so many texts and shingles are compared whole, each in one task; larger ones by parts of this size.
 WHOLE_TEXTS, WHOLE_SHINGLES = 1000, 4_000_000
 #: The texts that most candidates share; so many of a larger cluster go to all its parts, which links most of these.
