@@ -224,3 +224,15 @@ def test_packed_counts_round_trip():
         c = np.arange(1, len(keys) + 1) * 99999
         out = token_alignment._unpacked(token_alignment._packed(k, c, zstandard.ZstdCompressor(level=1)), zstandard.ZstdDecompressor())
         assert out[0].tolist() == keys and out[1].tolist() == c.tolist()
+
+
+def test_merging_by_ids_gives_the_ids_of_the_files_own_library(files):
+    """Characters of all planes beside letters, digits, signs and blanks."""
+    from tokenizers import Tokenizer
+
+    own, fast = Tokenizer.from_file(files[0]), token_alignment.byte_level(*files[:2])
+    own.encode_special_tokens = True
+    points = [c for c in range(0, 0x110000, 37) if not 0xD800 <= c <= 0xDFFF] + list(range(0x3000))
+    texts = [f"a{chr(c)}1!{chr(c)} {chr(c)}  b{chr(c)}{chr(c)}c" for c in points]
+    for text, want in zip(texts, own.encode_batch([f" {t}" for t in texts], add_special_tokens=False)):
+        assert [i for ids in fast.chunks(text) for i in ids] == want.ids
