@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.catalogue.registry import query, table
+from sparkloom.functions.expressions import rounded
 from sparkloom.operators import ordered
 from sparkloom.operators.transforms import OPERATORS as OP
 
@@ -189,7 +190,7 @@ def train_only_scaling(spark, d):
 @query("SELECT event_id, user_id, round(value / lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1, 6) + 0.0 AS ret FROM events")
 def past_return(spark, d):
     out = OP["lookahead_return"]({"df": table(spark, d, "events")}, {"price": "value", "group": "user_id", "order": ["ts", "event_id"]})
-    return out.select("event_id", "user_id", (F.round("ret", 6) + 0.0).alias("ret"))
+    return out.select("event_id", "user_id", (rounded(F.col("ret"), 6) + 0.0).alias("ret"))
 
 
 @query("SELECT event_id, round(value / lag(value) OVER (ORDER BY ts, event_id) - 1, 6) + 0.0 AS ret FROM events")

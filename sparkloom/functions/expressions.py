@@ -19,6 +19,18 @@ def clip(v: Column, lo: float, hi: float) -> Column:
     return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(lo)), F.lit(hi)))
 
 
+def ieee_divide(a: Column, b: Column) -> Column:
+    """Division as doubles do it: by zero it is infinite (0/0: NaN); missing only for a missing side."""
+    return F.when(b == 0, a.cast("double") * F.pow(b.cast("double"), F.lit(-1.0))).otherwise(F.try_divide(a, b))
+
+
+def rounded(v: Column, digits: int) -> Column:
+    """The scaled double rounded, halves away from zero, and scaled back, as DuckDB does; ``round`` takes the decimal text."""
+    scale = 10.0**digits
+    near = F.round(v * scale, 0) / scale
+    return F.when(F.isnan(near) | (F.abs(near) == float("inf")), v).otherwise(near)
+
+
 def normal_key(k: Column) -> Column:
     """Text key without edge white space, in lower case."""
     return F.lower(F.regexp_replace(k.cast("string"), EDGE_SPACE, ""))

@@ -13,7 +13,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.expressions import clip, normal_key
+from sparkloom.functions.expressions import clip, ieee_divide, normal_key
 from sparkloom.functions.quantiles import exact_quantiles
 from sparkloom.operators import ordered
 from sparkloom.params import Inputs, MissingRole, Params, listed, ordering, require
@@ -253,13 +253,13 @@ def order_dependent_dedup(inputs, p):
 
 @operator("price", out="ret", ordered=True)
 def lookahead_return(inputs, p):
-    """Relative change from the row before; nothing from later rows."""
+    """Relative change from the row before (from a zero infinite, or NaN if both are); nothing from later rows."""
     df, price = inputs["df"], F.col(p["price"])
     if p.get("group"):
         before = df.withColumn("__lag", F.lag(price).over(Window.partitionBy(*_groups(p)).orderBy(*ordering(p))))
     else:
         before = ordered.lagged(df, p["price"], listed(p["order"]), "__lag")
-    return before.withColumn(p["out"], F.try_divide(price, F.col("__lag")) - 1).drop("__lag")
+    return before.withColumn(p["out"], ieee_divide(price, F.col("__lag")) - 1).drop("__lag")
 
 
 @operator("value", out="growth", ordered=True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.compare import column_status, equal, modal_result, new_errors, scalar_equal, subset_equal
 from sparkloom.contracts import engine
 from sparkloom.contracts.repair import diagnose, repair, run_arm
+from sparkloom.functions.expressions import rounded
 from sparkloom.operators import ordered
 from sparkloom.operators.slips import SLIPS
 from sparkloom.operators.transforms import OPERATORS
@@ -108,6 +109,21 @@ def test_global_windows_over_many_ranges(spark, name):
     assert subset_equal(out, df.select("o", want[0].alias(OPERATORS[name].out)))
 
 
+def test_return_from_a_zero_is_infinite(spark):
+    prices = [1.0, 0.0, 2.0, 0.0, 0.0, -3.0, 0.0, -3.0, -0.0, 1.0, None, 4.0]
+    want = ["None", "-1.0", "inf", "-1.0", "nan", "-inf", "-1.0", "-inf", "-1.0", "-inf", "None", "None"]
+    df = spark.createDataFrame([("g", k, v) for k, v in enumerate(prices)], "g string, day long, price double")
+    for roles in ({"price": "price", "order": ["day"]}, {"price": "price", "order": ["day"], "group": "g"}):
+        out = OPERATORS["lookahead_return"]({"df": df}, roles).orderBy("day").collect()
+        assert [str(r.ret) for r in out] == want
+
+
+def test_rounding_of_the_scaled_double(spark):
+    v = [57.63 / 6.4 - 1, 8.0046875 + 2e-15, 2.5e-6, -2.5e-6, 1e300, float("inf"), float("-inf"), float("nan"), None]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(v)], "k long, v double").select("k", rounded(F.col("v"), 6).alias("r")).orderBy("k").collect()
+    assert [str(r.r) for r in got] == ["8.004687", "8.004688", "3e-06", "-3e-06", "1e+300", "inf", "-inf", "nan", "None"]
+
+
 def test_missing_roles(spark, given):
     df = given["dense_rank"][0]["df"]
     for roles in ({}, {"value": "absent"}):
