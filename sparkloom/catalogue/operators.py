@@ -196,7 +196,7 @@ def past_return(spark, d):
 @query("SELECT event_id, round(value / lag(value) OVER (ORDER BY ts, event_id) - 1, 6) + 0.0 AS ret FROM events")
 def past_return_global(spark, d):
     out = OP["lookahead_return"]({"df": table(spark, d, "events")}, {"price": "value", "order": ["ts", "event_id"]})
-    return out.select("event_id", (F.round("ret", 6) + 0.0).alias("ret"))
+    return out.select("event_id", (rounded(F.col("ret"), 6) + 0.0).alias("ret"))
 
 
 @query("SELECT s_suppkey, s_acctbal / 10000.0 * 90 AS lat, s_nationkey * 7.0 AS lon FROM supplier")
