@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -19,14 +20,22 @@ FIGURE = r"(?i)^\s*(extended\s+data\s+)?fig(?:ure|\.)?\s*(\d+)"
 # ---------------------------------------------------------------- pages
 
 
+_AND = re.compile(r"&(?:(#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);)?")
+
+
+def _only_whole(html: str, names: tuple[str, ...]) -> str:
+    """Markup whose references to other than ``names``, or without their semicolon, stand for themselves."""
+    return _AND.sub(lambda m: m[0] if m[1] in names else "&amp;" + m[0][1:], html)
+
+
 class _Page(HTMLParser):
-    """Title, links, images with their captions; tolerant of bad markup."""
+    """Title (the first), links, images with their captions; tolerant of bad markup."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.links: list[tuple[str, str]] = []
         self.figures: list[dict] = []
-        self.title, self._text, self._href, self._figure, self._in = "", [], None, None, []
+        self.title, self._titles, self._text, self._href, self._figure, self._in = "", 0, [], None, None, []
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
@@ -36,6 +45,8 @@ class _Page(HTMLParser):
             self._figure = {"img": None, "caption": [], "anchor": a.get("id")}
         elif tag == "img" and self._figure is not None and not self._figure["img"]:
             self._figure["img"] = a.get("src")
+        elif tag == "title":
+            self._titles += 1
         self._in.append(tag)
 
     def handle_endtag(self, tag):
@@ -52,7 +63,7 @@ class _Page(HTMLParser):
     def handle_data(self, data):
         if self._href is not None:
             self._text.append(data)
-        if "title" in self._in[-1:]:
+        if "title" in self._in[-1:] and self._titles == 1:
             self.title += data
         if self._figure is not None and "figcaption" in self._in:
             self._figure["caption"].append(data)
@@ -61,17 +72,21 @@ class _Page(HTMLParser):
 PAGE = "page_id long, title string, links array<struct<href:string,text:string>>, figures array<struct<idx:int,img:string,caption:string,anchor:string>>"
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """Whole pages by the tolerant parser; figures without an image go."""
+def parse_pages(pages: DataFrame, references: tuple[str, ...] | None = None) -> DataFrame:
+    """Whole pages by the tolerant parser; figures without an image go.
+
+    Character references are read as browsers do, some also without a semicolon.  With ``references`` only
+    those names are read, and only with it: ``&amp`` cut off at the end of a title stays as it is.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for page_id, html in zip(pdf["page_id"], pdf["html"], strict=True):
                 page = _Page()
-                page.feed(html or "")
+                page.feed(html or "" if references is None else _only_whole(html or "", references))
                 page.close()
-                rows.append((page_id, page.title.strip(), [{"href": h, "text": t} for h, t in page.links], [{"idx": i, "img": f["img"], "caption": f["caption"], "anchor": f["anchor"]} for i, f in enumerate(page.figures)]))
+                rows.append((page_id, page.title.strip(" \t\n\r\f"), [{"href": h, "text": t} for h, t in page.links], [{"idx": i, "img": f["img"], "caption": f["caption"], "anchor": f["anchor"]} for i, f in enumerate(page.figures)]))
             yield pd.DataFrame(rows, columns=["page_id", "title", "links", "figures"])
 
     return pages.select("page_id", "html").mapInPandas(run, PAGE)

@@ -127,6 +127,14 @@ def test_pages_with_bad_markup(spark):
     assert [(x.href, x.text) for x in r[0].links] == [("d.csv", "Data file")] and r[1].title == ""
 
 
+def test_references_of_titles(spark):
+    html = '<title>\n a&amp;lt; &lt;b&gt; &quot;&#39; &eacute; &copy=1 &ampx; &&amp</title><svg><title>other</title></svg><a href="?a=1&copy=2&amp;b">x</a>'
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    r = corpus.parse_pages(pages, ("lt", "gt", "quot", "amp")).first()
+    assert r.title == 'a&lt; <b> "&#39; &eacute; &copy=1 &ampx; &&amp' and r.links[0].href == "?a=1&copy=2&b"
+    assert corpus.parse_pages(pages).first().title.startswith("a&lt; <b> \"' é ")
+
+
 def test_intent(spark):
     df = spark.createDataFrame([("g", 1.0, 2.0, True)], "grp string, price double, qty double, ok boolean")
     op, p = intent.infer(df, "Average price weighted by quantity as 'wavg'")
