@@ -142,28 +142,53 @@ def rnss(pred: DataFrame, truth: DataFrame, order: str, relative: float = RELATI
     return out if by else out.drop("__chart")
 
 
-def snap_to_ticks(points: DataFrame, ticks: DataFrame) -> DataFrame:
+#: An axis of so many ticks is looked up row by row, by comparisons; one of more is merged with the points.
+FEW_TICKS = 256
+
+
+def snap_to_ticks(points: DataFrame, ticks: DataFrame, few: int = FEW_TICKS) -> DataFrame:
     """The label of the nearest tick for each x, the lower one of equally near ones; none for a missing x or without ticks.
 
-    Points and ticks are merged in order of place: each point sees the last tick up to it and the first
-    after it.  The order is cut in ranges (``ordered``), so an axis may have any number of ticks.
+    A point is between the last tick up to it and the first after it.  With ``few`` ticks or less (they are read
+    while the plan is built) a tree of comparisons finds the two, and points stay where they are.  More ticks and
+    the points are merged in order of place, cut in ranges (``ordered``), so an axis may have any number of ticks.
     """
-    safe_unions(points.sparkSession)
     t = ticks.select(F.col("pos").cast("double").alias("pos"), "label").dropna(subset=["pos"]).groupBy("pos").agg(F.min("label").alias("label"))
-    kind = T.StructType([T.StructField("pos", T.DoubleType()), T.StructField("label", ticks.schema["label"].dataType)])
+    axis = sorted(t.limit(few + 1).collect(), key=lambda r: r.pos)
+    return _merged_with_ticks(points, t) if len(axis) > few else _looked_up(points, axis, ticks.schema["label"].dataType)
+
+
+def _nearer(x: Column, low: Column, high: Column) -> Column:
+    """The label of one of two ticks (pos, label) around x; either may be missing."""
+    lower = high.isNull() | (x - low["pos"] <= high["pos"] - x)
+    return F.when(x.isNotNull(), F.when(lower & low.isNotNull(), low["label"]).otherwise(high["label"]))
+
+
+def _looked_up(points: DataFrame, axis: list, kind: T.DataType) -> DataFrame:
+    if not axis:
+        return points.select("*", F.lit(None).cast(kind).alias("label"))
+    all_ticks = F.array(*[F.struct(F.lit(r.pos).alias("pos"), F.lit(r.label).cast(kind).alias("label")) for r in axis])
+    x = F.col("x").cast("double")
+    placed = points.withColumn("__upto", ordered.place(x, [r.pos for r in axis], 0))  # ticks up to x
+    low = F.get(all_ticks, F.col("__upto") - 1)
+    return placed.select(*points.columns, _nearer(x, low, F.get(all_ticks, F.col("__upto"))).alias("label"))
+
+
+def _merged_with_ticks(points: DataFrame, t: DataFrame) -> DataFrame:
+    safe_unions(points.sparkSession)
+    kind = T.StructType([T.StructField("pos", T.DoubleType()), T.StructField("label", t.schema["label"].dataType)])
     rows = points.select(F.col("x").cast("double").alias("__x"), F.struct(*points.columns).alias("__row"), F.lit(None).cast(kind).alias("__tick"))
     both = rows.unionByName(t.select(F.col("pos").alias("__x"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), F.struct("pos", "label").alias("__tick")))
     cut = ordered.ranged(both, "__x")
-    place = Window.partitionBy("__range").orderBy("__x", F.col("__row").isNotNull())  # a tick comes before the points on it
-    upto, after = place.rowsBetween(Window.unboundedPreceding, 0), place.rowsBetween(0, Window.unboundedFollowing)
+    # Two running windows: a frame up to the last row would be read again for each row.
+    upward = Window.partitionBy("__range").orderBy("__x", F.col("__row").isNotNull())  # a tick comes before the points on it
+    downward = Window.partitionBy("__range").orderBy(F.col("__x").desc(), F.col("__row").isNull())  # and after them
+    last = lambda w: F.last("__tick", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     ends = cut.groupBy("__range").agg(F.min("__tick").alias("first"), F.max("__tick").alias("last"))
     w = Window.orderBy("__range")  # a row a range
     ends = ends.select("__range", F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
-    seen = cut.withColumn("__low", F.last("__tick", True).over(upto)).withColumn("__high", F.first("__tick", True).over(after)).filter("__row IS NOT NULL").join(F.broadcast(ends), "__range")
-    low, high = F.coalesce("__low", "__before"), F.coalesce("__high", "__after")
-    lower = high.isNull() | (F.col("__x") - low["pos"] <= high["pos"] - F.col("__x"))
-    label = F.when(F.col("__x").isNotNull(), F.when(lower & low.isNotNull(), low["label"]).otherwise(high["label"]))
-    return seen.select("__row.*", label.alias("label"))
+    seen = cut.withColumn("__low", last(upward)).withColumn("__high", last(downward)).filter("__row IS NOT NULL").join(F.broadcast(ends), "__range")
+    return seen.select("__row.*", _nearer(F.col("__x"), F.coalesce("__low", "__before"), F.coalesce("__high", "__after")).alias("label"))
 
 
 def first_source(**sources: DataFrame | None) -> tuple[str, DataFrame] | None:

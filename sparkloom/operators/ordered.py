@@ -23,12 +23,12 @@ _PART = "__range"
 CUT_CHARS, DRAWN = 64, 40
 
 
-def _place(key: Column, cuts: list, first: int = 1) -> Column:
-    """The range of a key among sorted cuts: a tree of comparisons, which generated code walks in log steps."""
+def place(key: Column, cuts: list, first: int = 1) -> Column:
+    """The range of a key among sorted cuts (those up to it, and ``first``): a tree of comparisons, which generated code walks in log steps."""
     if not cuts:
         return F.lit(first)
     mid = len(cuts) // 2
-    return F.when(key < F.lit(cuts[mid]), _place(key, cuts[:mid], first)).otherwise(_place(key, cuts[mid + 1 :], first + mid + 1))
+    return F.when(key < F.lit(cuts[mid]), place(key, cuts[:mid], first)).otherwise(place(key, cuts[mid + 1 :], first + mid + 1))
 
 
 def _text_cuts(df: DataFrame, key: str, ranges: int) -> list[str]:
@@ -49,10 +49,10 @@ def ranged(df: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
     if kind == "binary":
         raise TypeError(f"the leading order column {key!r} must be a number, a time, a boolean or text")
     if kind.startswith(("string", "varchar", "char")):
-        return df.withColumn(_PART, F.when(F.col(key).isNull(), 0).otherwise(_place(F.col(key), _text_cuts(df, key, ranges) if ranges > 1 else [])))
+        return df.withColumn(_PART, F.when(F.col(key).isNull(), 0).otherwise(place(F.col(key), _text_cuts(df, key, ranges) if ranges > 1 else [])))
     number = F.col(key).cast("timestamp").cast("double") if kind.startswith(("timestamp", "date")) else F.col(key).cast("double")
     cuts = df.select(number.alias("k")).approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.3 / ranges) if ranges > 1 else []
-    return df.withColumn(_PART, F.when(number.isNull(), 0).otherwise(_place(number, sorted(set(cuts)))))
+    return df.withColumn(_PART, F.when(number.isNull(), 0).otherwise(place(number, sorted(set(cuts)))))
 
 
 def _before(parts: DataFrame, value: Column, descending: bool) -> DataFrame:

@@ -262,6 +262,33 @@ def test_nearest_tick_by_merging(spark):
     assert len(none) == len(xs) and all(r.label is None for r in none)
 
 
+def test_snapping_is_the_same_by_look_up_and_by_merging(spark):
+    ticks = spark.createDataFrame([(float(p), f"t{p}") for p in (-4, 0, 1, 9)] + [(1.0, None), (0.0, "a")], "pos double, label string")
+    xs = [-9.0, -4.0, -2.0, -1.9, 0.0, -0.0, 0.5, 0.6, 1.0, 5.0, 5.1, 1e300, float("inf"), float("-inf"), None]
+    points = spark.createDataFrame(list(enumerate(xs)), "n long, x double").repartition(3)
+    want = ["t-4", "t-4", "t-4", "a", "a", "a", "a", "t1", "t1", "t1", "t9", "t9", "t9", "t-4", None]
+    for few in (0, 3, 4):
+        out = matching.snap_to_ticks(points, ticks, few).orderBy("n").collect()
+        assert [r.label for r in out] == want and [r.x for r in out] == xs, few
+    rng = random.Random(9)
+    many = spark.createDataFrame([(float(p), rng.choice("abc") + str(p)) for p in rng.sample(range(-400, 400), 60)], "pos double, label string")
+    drawn = spark.createDataFrame([(n, rng.choice([rng.uniform(-500, 500), rng.randint(-400, 400) / 2])) for n in range(500)], "n long, x double").repartition(4)
+    both = [matching.snap_to_ticks(drawn, many, few).orderBy("n").collect() for few in (0, 60)]
+    assert both[0] == both[1] and all(r.label for r in both[0])
+    # Neither way reads the rest of a range again for each of its rows.
+    for few, moved in ((0, True), (4, False)):
+        plan = matching.snap_to_ticks(points, ticks, few)._jdf.queryExecution().optimizedPlan().toString()
+        assert "unboundedfollowing" not in plan.lower().replace("1, unboundedfollowing", "") and ("Window" in plan) == moved
+
+
+def test_many_points_of_one_range(spark):
+    """Quadratic frames took minutes here."""
+    ticks = spark.createDataFrame([(0.0, "a"), (1.0, "b")], "pos double, label string")
+    points = spark.range(200_000).select(F.col("id").alias("n"), F.lit(0.4).alias("x"))
+    for few in (0, 2):
+        assert matching.snap_to_ticks(points, ticks, few).groupBy("label").count().collect() == [("a", 200_000)]
+
+
 def plain_assignment(seekers, targets, tolerance):
     """``seekers``: (n, pool, v, roams), ``targets``: (pool, v); the value that each seeker takes."""
     used, out = set(), {}
