@@ -1,7 +1,8 @@
 """Greedy assignment on an axis: seekers, in their order, each take the nearest free target.
 
 Of equally near targets the lower one goes first.  The rule is sequential within a group, so a small
-group is solved by one task, in n log n steps (pointers to the next free target on either side).
+group is solved by one task, in n log n steps (pointers to the next free target on either side);
+many small groups are dealt to a call together.
 A group of more rows than ``part_rows`` is cut in parts by value.  Every part is solved for itself,
 and each seeker states the interval it looked at: up to the target it took, or to its tolerance.  If no
 interval reaches a target of another part, the parts had nothing to do with each other and the
@@ -14,9 +15,12 @@ seekers look past all other places, as when a group has far more seekers than ta
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +28,8 @@ from sparkloom.operators import ordered
 from sparkloom.session import checkpointed, safe_unions
 
 PART_ROWS = 200_000
+#: Rows of small groups that one call solves, on average.
+SHARD_ROWS = 200_000
 #: Rounds in which cuts move before parts that meet become one.
 MOVES = 3
 
@@ -58,42 +64,58 @@ def reach(v: np.ndarray, relative: float, floor: float) -> np.ndarray:
     return np.maximum(floor, factor * np.abs(v)) if factor else np.full(len(v), floor)
 
 
-def solve(rows: pd.DataFrame, tolerance: tuple[float, float] | None) -> pd.DataFrame:
-    """One part: each seeker's target and interval, each target's use, and the place where the part may be cut."""
-    is_target = rows["target"].to_numpy(dtype=bool)
-    targets = rows[is_target].sort_values(["v", "pool"], na_position="first", kind="stable")
-    seekers = rows[~is_target].sort_values("n", kind="stable")
-    value, pools = targets["v"].to_numpy(), targets["pool"].to_numpy(dtype=object)
-    pools = np.array([None if pd.isna(p) else p for p in pools], dtype=object)
-    places: dict[object, list[int]] = {}
-    for k, pool in enumerate(pools):
-        places.setdefault(pool, []).append(k)
-    within = np.empty(len(value), np.int64)
+def greedy(value: list[float], pools: list, seekers: Iterable[tuple[float, object, bool, float]], tolerance: tuple[float, float] | None) -> Iterator[tuple[int, float]]:
+    """For each seeker (place, pool, whether it roams, how far it may look) the target it takes, or -1, and how far it looked.
+
+    Targets are sorted by place and pool.
+    """
+    one = len(set(pools)) < 2
+    places: dict[object, Sequence[int]] = {pools[0]: range(len(value))} if one and pools else {}
+    if not one:
+        for k, pool in enumerate(pools):
+            places.setdefault(pool, []).append(k)
+    within = [0] * len(value)
     for found in places.values():
-        within[found] = np.arange(len(found))
-    free = {pool: _Free(value[found].tolist()) for pool, found in places.items()}
-    roams = seekers["roams"].to_numpy(dtype=bool)
-    every = _Free(value.tolist()) if roams.any() else None
-    v = seekers["v"].to_numpy()
-    bound = np.full(len(v), np.inf) if tolerance is None else reach(v, *tolerance)
-    got, looked, used = np.full(len(v), -1, np.int64), bound.copy(), np.zeros(len(value), bool)
-    for s, (x, pool, roam) in enumerate(zip(v.tolist(), seekers["pool"], roams.tolist())):
-        pool = None if pd.isna(pool) else pool
-        axis = every if roam else free.get(pool)
+        for i, k in enumerate(found):
+            within[k] = i
+    free = {pool: _Free([value[k] for k in found]) for pool, found in places.items()}
+    every = None
+    if not one:
+        seekers = list(seekers)
+        every = _Free(list(value)) if any(s[2] for s in seekers) else None
+    for x, pool, roam, bound in seekers:
+        axis = (free[pools[0]] if one and pools else every) if roam else free.get(pool)
         k = axis.nearest(x) if axis else None
         if k is None:
+            yield -1, bound
             continue
         distance = abs(axis.values[k] - x)
-        if distance > bound[s]:
+        if distance > bound:
+            yield -1, bound
             continue
-        looked[s] = distance
         if tolerance is not None and distance > max(abs(axis.values[k]) * tolerance[0], tolerance[1]):
+            yield -1, distance
             continue
         j = k if roam else places[pool][k]
-        got[s], used[j] = j, True
-        free[pools[j]].take(int(within[j]))
+        free[pools[j]].take(within[j])
         if every:
             every.take(j)
+        yield j, distance
+
+
+def solve(rows: pd.DataFrame, tolerance: tuple[float, float] | None) -> pd.DataFrame:
+    """One part: each seeker's target and interval, each target's use, and the place where the part may be cut."""
+    is_target = rows["target"].to_numpy(dtype=bool)
+    targets = rows[is_target].sort_values(["v", "pool"], na_position="first", kind="stable")
+    seekers = rows[~is_target].sort_values("n", kind="stable")
+    value = targets["v"].to_numpy()
+    known = lambda pools: [None if pd.isna(p) else p for p in pools]
+    v = seekers["v"].to_numpy()
+    bound = np.full(len(v), np.inf) if tolerance is None else reach(v, *tolerance)
+    taken = list(greedy(value.tolist(), known(targets["pool"]), zip(v.tolist(), known(seekers["pool"]), seekers["roams"].tolist(), bound.tolist(), strict=True), tolerance))
+    got, looked = np.array([k for k, _ in taken], np.int64), np.array([far for _, far in taken], float)
+    used = np.zeros(len(value), bool)
+    used[got[got >= 0]] = True
     targets = targets.assign(gt=np.nan, used=used, lo=np.inf, hi=-np.inf)
     seekers = seekers.assign(gt=np.where(got >= 0, value[np.maximum(got, 0)] if len(value) else np.nan, np.nan), used=got >= 0, lo=v - looked, hi=v + looked)
     out = pd.concat([targets, seekers])
@@ -106,6 +128,39 @@ def solve(rows: pd.DataFrame, tolerance: tuple[float, float] | None) -> pd.DataF
     return out.assign(cut=axis[open_[-1]] if len(open_) else np.nan)
 
 
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal values (missing ones too) as equal numbers."""
+    if pa.types.is_floating(column.type):
+        column = pc.add(column, 0.0)  # one zero
+    return column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def solve_groups(rows: pa.Table, keys: list[str], tolerance: tuple[float, float] | None) -> pa.Table:
+    """Many whole groups at once: the rows as they are, with ``gt`` and ``used``."""
+    group = np.zeros(len(rows), np.int64)
+    for k in keys:
+        number = _numbers(rows[k])
+        group = np.unique(group * (number.max(initial=0) + 1) + number, return_inverse=True)[1]
+    target, v = rows["target"].to_numpy(), rows["v"].to_numpy()
+    pools = np.array(rows["pool"].to_pylist(), dtype=object) if rows["pool"].null_count < len(rows) else np.full(len(rows), None)
+    name = {p: i for i, p in enumerate(sorted({p for p in pools if p is not None}), 1)}
+    rank = np.array([name.get(p, 0) for p in pools], np.int64) if name else np.zeros(len(rows), np.int64)
+    t, s = np.flatnonzero(target), np.flatnonzero(~target)
+    t, s = t[np.lexsort((rank[t], v[t], group[t]))], s[np.lexsort((rows["n"].to_numpy()[s], group[s]))]
+    gt, used = np.full(len(rows), np.nan), np.zeros(len(rows), bool)
+    bound = np.full(len(s), np.inf) if tolerance is None else reach(v[s], *tolerance)
+    value, own, wanted = v[t].tolist(), rank[t].tolist(), list(zip(v[s].tolist(), rank[s].tolist(), rows["roams"].to_numpy()[s].tolist(), bound.tolist(), strict=True))
+    got = np.full(len(s), -1, np.int64)
+    groups = np.arange(group.max(initial=-1) + 2)
+    t_ends, s_ends = np.searchsorted(group[t], groups).tolist(), np.searchsorted(group[s], groups).tolist()
+    for a, b, c, d in zip(t_ends, t_ends[1:], s_ends, s_ends[1:], strict=False):
+        if a < b and c < d:
+            got[c:d] = [a + k if k >= 0 else -1 for k, _ in greedy(value[a:b], own[a:b], wanted[c:d], tolerance)]
+    found = got >= 0
+    gt[s[found]], used[s[found]], used[t[got[found]]] = v[t[got[found]]], True, True
+    return rows.append_column("gt", pa.array(gt, mask=~used | target)).append_column("used", pa.array(used))
+
+
 def assigned(rows: DataFrame, keys: list[str], tolerance: tuple[float, float] | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """``rows`` with ``used`` and, for seekers, ``gt`` (the value taken).
 
@@ -119,10 +174,19 @@ def assigned(rows: DataFrame, keys: list[str], tolerance: tuple[float, float] |
     schema = f"{kinds}, part long, gt double, used boolean, lo double, hi double, cut double"
     columns = [*rows.columns, "part", "gt", "used", "lo", "hi", "cut"]
     solved = lambda parts: parts.groupBy(*keys, "part").applyInPandas(lambda part: solve(part, tolerance)[columns], schema)
-    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > part_rows)
-    most = large.agg(F.sum("__n")).first()[0]
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    large = sizes.filter(F.col("__n") > part_rows)
+    n, most = sizes.agg(F.sum("__n"), F.sum(F.when(F.col("__n") > part_rows, F.col("__n")))).first()
+    # Small groups share tasks' calls; a shard has about as many rows as a part.
+    shards = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), (n or 0) // SHARD_ROWS)
+    shard = F.pmod(F.xxhash64(*keys), F.lit(shards))
+
+    def together(whole: DataFrame) -> DataFrame:
+        out = whole.withColumn("shard", shard).groupBy("shard").applyInArrow(lambda shard: solve_groups(shard, keys, tolerance), f"{kinds}, shard long, gt double, used boolean")
+        return out.select(*rows.columns, "gt", "used")
+
     if not most:
-        return solved(rows.withColumn("part", F.lit(0).cast("long"))).select(*rows.columns, "gt", "used")
+        return together(rows)
     same = [rows[k].eqNullSafe(large[k]) for k in keys]
     hot = ordered.ranged(rows.join(large, same, "left_semi"), "v", 1 + most // part_rows).withColumnRenamed("__range", "part")
     done = checkpointed(solved(hot.withColumn("part", F.col("part").cast("long"))))
@@ -135,8 +199,7 @@ def assigned(rows: DataFrame, keys: list[str], tolerance: tuple[float, float] |
         touched = done.join(m, on, "inner").withColumn("part", F.when(F.col("above").isNull() | (F.col("v") > F.col("above")), F.col("to")).otherwise(F.col("part")))
         again = solved(touched.select(*rows.columns, "part"))
         done = checkpointed(done.join(m, on, "left_anti").unionByName(again))
-    small = solved(rows.join(large, same, "left_anti").withColumn("part", F.lit(0).cast("long")))
-    return small.unionByName(done).select(*rows.columns, "gt", "used")
+    return together(rows.join(large, same, "left_anti")).unionByName(done.select(*rows.columns, "gt", "used"))
 
 
 def _moves(done: DataFrame, keys: list[str], join_all: bool) -> DataFrame:

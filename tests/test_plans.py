@@ -319,6 +319,40 @@ def test_assignment_in_parts_equals_the_sequential_rule(spark, seed, part, toler
     assert len(out) == len(rows)
 
 
+@pytest.mark.parametrize(("seed", "tolerance", "mixed"), [(0, None, True), (1, (0.1, 0.5), True), (2, (0.0, 0.0), False)])
+def test_many_small_groups_share_a_call(spark, seed, tolerance, mixed):
+    """Keys of two kinds, large and missing ones among them; a call for each group took 30 ms of a core."""
+    rng, rows, want = random.Random(seed), [], {}
+    for g in range(300):
+        key = (None if g % 100 == 7 else 2**60 + g // 2, None if g == 8 else "ab"[g % 2] + ("x" if g % 100 == 7 else "") + (str(g) if g % 100 == 7 else ""))
+        targets = [(rng.choice(["a", "b", None]) if mixed else None, rng.randint(-9, 9) / 2) for _ in range(rng.randint(0, 5))]
+        seekers = [(n, rng.choice(["a", "b", "q", None]) if mixed else None, rng.randint(-9, 9) / 2, mixed and rng.random() < 0.3) for n in range(rng.randint(0, 5))]
+        want[key] = plain_assignment(seekers, targets, tolerance)
+        rows += [(*key, False, n, v, p, r) for n, p, v, r in seekers] + [(*key, True, 0, v, p, False) for p, v in targets]
+    df = spark.createDataFrame(rows, "k long, g string, target boolean, n long, v double, pool string, roams boolean").repartition(3)
+    found = assignment.assigned(df, ["k", "g"], tolerance)
+    out = found.collect()
+    assert len(out) == len(rows) and len(want) == 300 and "FlatMapGroupsInArrow" in found._jdf.queryExecution().toString()
+    for key, (taken, left) in want.items():
+        own = [r for r in out if (r.k, r.g) == key]
+        assert {r.n: r.gt for r in own if not r.target and r.used} == taken, key
+        assert sorted((str(r.pool), r.v) for r in own if r.target and not r.used) == left
+
+
+def test_values_without_tolerance_are_counted(spark):
+    rng, rows = random.Random(4), []
+    for g in range(40):
+        rows += [(g, target, n, rng.choice([rng.randint(0, 4) / 4, 0.0, -0.0])) for target in (True, False) for n in range(rng.randint(0, 9))]
+    df = spark.createDataFrame([*rows, (50, False, 0, None), (50, True, 0, 1.0), (50, False, 1, float("nan"))], "g long, target boolean, n long, value double")
+    got = {r.g: r for r in matching.rnss(df.filter("not target"), df.filter("target"), "n", 0.0, 0.0, ["g"]).collect()}
+    for g in {r[0] for r in rows}:
+        seekers, targets = [(n, "a", v, False) for k, t, n, v in rows if k == g and not t], [("a", v) for k, t, _, v in rows if k == g and t]
+        assert (got[g].tp, got[g].n_pred, got[g].n_truth) == (len(plain_assignment(seekers, targets, (0.0, 0.0))[0]), len(seekers), len(targets))
+    assert (got[50].tp, got[50].n_pred, got[50].n_truth, got[50].rnss) == (0, 0, 1, 0.0) and not got.keys() - {50} - {r[0] for r in rows}
+    near = matching.rnss(df.filter("not target"), df.filter("target"), "n", 0.0, 1e-9, ["g"])  # the sequential rule agrees
+    assert {r.g: r for r in near.collect()} == got
+
+
 def test_stream_with_empty_bins_equals_batch(spark, tmp_path):
     """Bins in order with the empty ones between, over restarts; a row later than the watermark allows is dropped."""
     at = lambda day, h=0: dt.datetime(2024, 1, day, h)
