@@ -244,16 +244,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # ---------------------------------------------------------------- similar texts
 
 WORDS, SIMILARITY = 5, 0.8
-#: Bits in which fingerprints of similar texts may differ, tried from the nearest on.  At a similarity of 0.8 the
-#: angle of the shingle vectors is 27 degrees: 10 bits are expected, with a deviation of 3, so 16 leave out 1 pair in 80.
-#: With 20 (1 in 6000) unlike texts that share a shingle are candidates often enough to join most of a large corpus to one cluster.
+#: Bits in which fingerprints of candidates may differ, tried from the nearest on.  At a similarity of 0.8 the
+#: angle of the shingle vectors is 27 degrees: 10 bits are expected, with a deviation of 3, so 16 leave out 1 pair in 80,
+#: which ``_met`` finds.  With 20 unlike texts that share a shingle join most of a large corpus to one cluster.
 NEAR_BITS = (4, 10, 16)
 #: Clusters of at most so many texts and shingles are compared whole, each in one task; larger ones by parts of this size.
 WHOLE_TEXTS, WHOLE_SHINGLES = 1000, 4_000_000
 #: The texts that most candidates share; so many of a larger cluster go to all its parts, which links most of these.
 HUBS = 12
-#: One document in so many tells which shingles are common; the share of these that makes one so.
-SAMPLE, COMMON_SHARE, MOST_COMMON = 16, 1 / 512, 1 << 20
+#: One document in so many tells how common shingles are: those that this many of them have, the most common ones.
+SAMPLE, LEAST_COMMON, MOST_COMMON = 16, 3, 1 << 20
+#: Rows of a part of a bucket where all pairs are looked at.
+MEET_ROWS = 1024
 
 
 def shingle_set(text: bytes, shingle: int = WORDS) -> np.ndarray:
@@ -282,10 +284,14 @@ def _print_of(hashes: np.ndarray) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def leading(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """So many of the set's shingles, common ones last, that of two similar sets these have one in common."""
+def leading(hashes: np.ndarray, common: np.ndarray, seen: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of the set's shingles, common ones (``common``: sorted, with ``seen``, how often) last, that of two similar sets these have one in common."""
     least = int(np.ceil(similarity * len(hashes) - 1e-9))
-    order = np.lexsort((hashes, np.isin(hashes, common)))
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        order = np.lexsort((hashes, np.where(common[at] == hashes, seen[at], 0)))
+    else:
+        order = np.arange(len(hashes))
     return hashes[order[: len(hashes) - least + 1]]
 
 
@@ -392,22 +398,24 @@ def _across(texts: DataFrame, linked: DataFrame, sets: DataFrame, similarity: fl
     return members.join(meet, "part").groupBy("block").applyInPandas(compare, "a long, b long")
 
 
-def _candidates(rows: DataFrame, part_rows: int) -> DataFrame:
-    """Pairs ``(a, b)`` of texts that share a leading shingle and have near fingerprints.
+def _candidates(rows: DataFrame, part_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)`` of texts that share a leading shingle and have near fingerprints, and the rows (``sig, place, key``) of shared keys.
 
     A bucket (``key``) of at most ``part_rows`` rows is compared whole.  A larger one is cut into parts
     at random; each part's groups are held together by pairs, and one row of each group goes on to
-    be compared with those of the other parts, so the work stays linear in the bucket.
+    be compared with those of the other parts, so the work stays linear in the bucket.  What
+    this leaves out, ``_met`` finds among the rows of shared keys.
     """
     spark = rows.sparkSession
-    found, level = None, rows
+    found, shared, level = None, None, rows
     while True:
+        first = found is None
         counts = level.groupBy("key").count().filter(F.col("count") > part_rows)
         large = written(counts.select("key", F.ceil(F.col("count") / part_rows * 2).cast("int").alias("parts")), "large-keys")
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), level.count() // 500_000)
         part = F.xxhash64("key", F.pmod(F.xxhash64("sig", F.lit(3)), F.col("parts")))
         # A row crosses the shuffle as three numbers; only those of large buckets have the key beside.
-        dealt = level.join(F.broadcast(large) if large.count() < 10_000 else large, "key", "left").select("sig", "fp", F.coalesce(part, "key").alias("bucket"), F.when(F.col("parts").isNotNull(), F.col("key")).alias("key"))
+        dealt = level.join(F.broadcast(large) if large.count() < 10_000 else large, "key", "left").select("sig", "fp", "place", F.coalesce(part, "key").alias("bucket"), F.when(F.col("parts").isNotNull(), F.col("key")).otherwise(0).alias("key"), F.col("parts").isNotNull().alias("large"))
         dealt = dealt.withColumn("shard", F.pmod("bucket", F.lit(shards)).cast("int"))
 
         def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -415,22 +423,123 @@ def _candidates(rows: DataFrame, part_rows: int) -> DataFrame:
             bucket = pdf["bucket"].to_numpy()[order]
             # Most shingles are in one text only.
             same = bucket[1:] == bucket[:-1]
-            order = order[np.append(same, False) | np.append(False, same)] if len(bucket) else order
+            cut = pdf["large"].to_numpy(dtype=bool)[order]
+            with_other = np.append(same, False) | np.append(False, same) if len(bucket) else cut
+            whole = order[with_other | cut] if first else order[:0]
+            order, inside = order[with_other], cut[with_other]
+            keys = np.where(pdf["large"].to_numpy(dtype=bool), pdf["key"].to_numpy(), pdf["bucket"].to_numpy())
             bucket, fp, sig = (pdf[c].to_numpy()[order] for c in ("bucket", "fp", "sig"))
-            inside = pdf["key"].notna().to_numpy()[order]
-            key = pdf["key"].fillna(0).astype("int64").to_numpy()[order]
+            key = keys[order]
             parent, edges = spanning(np.ascontiguousarray(fp).view("<u8"), bucket)
             x, y = (np.array([e[k] for e in edges], dtype=np.int64) for k in (0, 1))
             again = np.unique(parent[x][inside[x]]) if len(x) else x
-            links = pd.DataFrame({"a": sig[x], "b": sig[y], "key": np.zeros(len(x), dtype=np.int64), "fp": np.zeros(len(x), dtype=np.int64), "root": np.zeros(len(x), dtype=bool)})
-            return pd.concat([links, pd.DataFrame({"a": sig[again], "b": sig[again], "key": key[again], "fp": fp[again], "root": np.ones(len(again), dtype=bool)})])
-
-        out = written(dealt.groupBy("shard").applyInPandas(compare, "a long, b long, key long, fp long, root boolean"), "candidates")
-        pairs = out.filter("not root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            none = lambda rows: np.zeros(len(rows), dtype=np.int64)
+            return pd.concat([
+                pd.DataFrame({"a": sig[x], "b": sig[y], "key": none(x), "fp": none(x), "kind": none(x)}),
+                pd.DataFrame({"a": sig[again], "b": sig[again], "key": key[again], "fp": fp[again], "kind": none(again) + 1}),
+                pd.DataFrame({"a": pdf["sig"].to_numpy()[whole], "b": pdf["place"].to_numpy()[whole].astype(np.int64), "key": keys[whole], "fp": none(whole), "kind": none(whole) + 2}),
+            ])
+
+        out = written(dealt.groupBy("shard").applyInPandas(compare, "a long, b long, key long, fp long, kind long"), "candidates")
+        shared = out.filter("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("place"), "key") if first else shared
+        pairs = out.filter("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = pairs if found is None else found.union(pairs)
-        level = out.filter("root").select("key", F.col("a").alias("sig"), "fp")
+        level = out.filter("kind = 1").select("key", F.col("a").alias("sig"), "fp", F.lit(0).alias("place"))
         if level.isEmpty():
-            return written(found.filter("a <> b").distinct(), "pairs")
+            return written(found.filter("a <> b").distinct(), "pairs"), shared
+
+
+def spread(hashes: np.ndarray) -> np.ndarray:
+    """How many of a set's shingles are in each of equal ranges of their hashes, four or fewer a range on average; 255 stands for more."""
+    bits = max(4, int(len(hashes) / 4).bit_length())
+    return np.minimum(np.bincount((hashes.view("<u8") >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def unshared(a: np.ndarray, b: np.ndarray) -> int:
+    """The least number of shingles that only one of two sets has, from their spreads."""
+    n = min(len(a), len(b))
+    a, b = (np.minimum(x.reshape(n, -1).sum(axis=1, dtype=np.int64), 255) for x in (a, b))
+    return int(np.abs(a - b).sum())
+
+
+def _least_shared(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """How many shingles two similar sets of these sizes share, at least."""
+    return np.ceil(similarity / (1 + similarity) * (n + m) - 1e-6)
+
+
+def meeting(bucket: np.ndarray, n: np.ndarray, place: np.ndarray, cluster: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (sorted by bucket and size) of a bucket that may be similar and are not of one cluster.
+
+    Their sizes allow it, and so does what is left of both from the shingle that they share on: the first one that
+    two similar texts share is such a one.
+    """
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    rows, step = np.arange(len(bucket)), 1
+    while len(rows):
+        rows = rows[rows + step < len(bucket)]
+        rows = rows[(bucket[rows] == bucket[rows + step]) & (n[rows] >= similarity * n[rows + step] - 1e-6)]
+        x, y = rows, rows + step
+        left = np.minimum(n[x] - place[x], n[y] - place[y])
+        may = (left >= _least_shared(n[x], n[y], similarity)) & (cluster[x] != cluster[y])
+        found.append((x[may], y[may]))
+        step += 1
+    return tuple(np.concatenate([f[k] for f in found]) if found else rows for k in (0, 1))
+
+
+def _met(shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of texts (``shared``: sig, place, key, n, cluster) that share a leading shingle, are of no common cluster and may be similar.
+
+    A cluster goes by the ``sig`` of one of its texts; null: none.  All pairs of a key are looked at; a large one is cut in parts, and every two parts meet in a call of their own.
+    """
+    spark = shared.sparkSession
+    shared = written(shared.select("sig", "place", "key", "n", "cluster"), "shared")
+    large = shared.groupBy("key").count().filter(F.col("count") > MEET_ROWS).select("key", F.ceil(F.col("count") / MEET_ROWS).cast("int").alias("parts"))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shared.count() // 100_000)
+    own = F.pmod(F.xxhash64("sig", F.lit(8)), F.col("parts")).cast("int")
+    blocks = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("own")).alias("lo"), F.greatest(p, F.col("own")).alias("hi")))
+    )
+    dealt = shared.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", own)
+    dealt = dealt.select("sig", "place", "key", "n", F.coalesce("cluster", "sig").alias("cluster"), F.explode(blocks).alias("block"))
+    dealt = dealt.select("sig", "place", "n", "cluster", F.xxhash64("key", "block.lo", "block.hi").alias("bucket")).withColumn("shard", F.pmod("bucket", F.lit(shards)).cast("int"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = np.lexsort((pdf["n"].to_numpy(), pdf["bucket"].to_numpy()))
+        bucket, n, place, cluster, sig = (pdf[c].to_numpy()[order] for c in ("bucket", "n", "place", "cluster", "sig"))
+        x, y = meeting(bucket, n.astype(np.int64), place.astype(np.int64), cluster, similarity)
+        return pd.DataFrame({"a": np.minimum(sig[x], sig[y]), "b": np.maximum(sig[x], sig[y])}).drop_duplicates()
+
+    return dealt.groupBy("shard").applyInPandas(compare, "a long, b long").filter("a <> b").distinct()
+
+
+def _not_apart(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs whose spreads (``texts``: sig, n, spread) do not rule out that they are similar."""
+    side = lambda c: texts.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("spread").alias(f"spread_{c}"))
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            n, m = rb.column("n_a").to_numpy().astype(np.int64), rb.column("n_b").to_numpy().astype(np.int64)
+            most = n + m - 2 * _least_shared(n, m, similarity)
+            near = [unshared(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(rb.column("spread_a").to_pylist(), rb.column("spread_b").to_pylist(), strict=True)]
+            yield rb.select(["a", "b"]).filter(pa.array(np.array(near, dtype=np.int64) <= most))
+
+    return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long"), "far-pairs")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs whose whole sets are similar."""
+    side = lambda c: sets.select(F.col("sig").alias(c), F.col("set").alias(f"set_{c}"))
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            like = []
+            for x, y in zip(rb.column("set_a"), rb.column("set_b"), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                like.append(both >= similarity * (len(x) + len(y) - both) - 1e-6)
+            yield rb.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY, part_rows: int = PART_ROWS) -> DataFrame:
@@ -442,8 +551,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     so that a passage that many texts share makes no large bucket.  Texts that candidates connect
     are compared by their whole sets: all with all in clusters of up to ``WHOLE_TEXTS``.  Larger
     ones are cut in parts, each compared whole with the ``HUBS`` that most candidates share; what that
-    leaves apart is compared between parts, so the size of a cluster changes no link.  A link is lost only if the fingerprints of similar texts are over the last of
-    ``NEAR_BITS`` apart and no others connect them.
+    leaves apart is compared between parts, so the size of a cluster changes no link.
+
+    Fingerprints only find most links at little cost.  All other pairs that share a leading shingle, as similar
+    texts must, are looked at too: sizes, the place of the shingle and how the shingles spread
+    over ranges of hashes rule out pairs that cannot be similar, and the whole sets of the rest are compared.
+    So the links are those of all pairs.
 
     Null ids have no row.  A null text is an empty text; texts without words are alike.  Rows of
     one id with different texts fall in one component.
@@ -461,29 +574,35 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array([i == 0 for i in range(len(flat))], pa.bool_())], names=["key", "first"])
 
     sample = rows.filter(F.pmod(F.xxhash64("doc", F.lit(11)), F.lit(SAMPLE)) == 0)
-    least = max(8, int(sample.count() * COMMON_SHARE))
-    often = sample.select("text").mapInArrow(hashes, "key long, first boolean").groupBy("key").count().filter(F.col("count") >= least)
-    common = np.array([r.key for r in often.orderBy(F.col("count").desc(), "key").limit(MOST_COMMON).select("key").toLocalIterator()], dtype="<i8").view("<u8")
+    often = sample.select("text").mapInArrow(hashes, "key long, first boolean").groupBy("key").count().filter(F.col("count") >= LEAST_COMMON)
+    often = often.orderBy(F.col("count").desc(), "key").limit(MOST_COMMON).select("key", F.col("count").cast("int").alias("n")).toArrow()
+    common, seen = often["key"].to_numpy().view("<u8"), often["n"].to_numpy()
+    by_hash = np.argsort(common)
+    common, seen = common[by_hash], seen[by_hash]
 
     def prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             sets = [shingle_set(t, shingle) for t in text_bytes(rb, "text")]
             sig = np.array([_signature(h) for h in sets], dtype="<u8").view("<i8")
             fp = np.array([_print_of(h) if len(h) else 0 for h in sets], dtype="<u8").view("<i8")
-            keys = [leading(h, common, similarity).view("<i8") for h in sets]
+            keys = [leading(h, common, seen, similarity).view("<i8") for h in sets]
             sizes = pa.array([len(h) for h in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([rb.column("doc"), pa.array(sig), pa.array(fp), sizes, pa.array(keys, pa.list_(pa.int64()))], names=["doc", "sig", "fp", "n", "keys"])
+            yield pa.RecordBatch.from_arrays(
+                [rb.column("doc"), pa.array(sig), pa.array(fp), sizes, pa.array(keys, pa.list_(pa.int64())), pa.array([spread(h).tobytes() for h in sets], pa.binary())],
+                names=["doc", "sig", "fp", "n", "keys", "spread"],
+            )
 
-    found = written(rows.mapInArrow(prints, f"doc {kind}, sig long, fp long, n int, keys array<long>"), "prints")
-    distinct = written(found.groupBy("sig").agg(F.min("doc").alias("node"), F.first("n").alias("n")), "distinct")
+    found = written(rows.mapInArrow(prints, f"doc {kind}, sig long, fp long, n int, keys array<long>, spread binary"), "prints")
+    distinct = written(found.groupBy("sig").agg(F.min("doc").alias("node"), F.first("n").alias("n"), F.first("spread").alias("spread")), "distinct")
     first = distinct.select(F.col("sig").alias("own"), "node")
-    one = written(found.select("doc", "sig", "fp", "keys").join(first, (F.col("doc") == F.col("node")) & (F.col("sig") == F.col("own")), "left_semi").select("sig", "fp", "keys"), "leading")
-    pairs = _candidates(one.select("sig", "fp", F.explode("keys").alias("key")), part_rows)
+    one = found.select("doc", "sig", "fp", "keys").join(first, (F.col("doc") == F.col("node")) & (F.col("sig") == F.col("own")), "left_semi")
+    one = written(one.select("sig", "fp", "keys"), "leading")
+    pairs, shared = _candidates(one.select("sig", "fp", F.posexplode("keys").alias("place", "key")), part_rows)
 
     # Texts that candidates connect are a cluster.  Clusters of a bounded size are compared whole.
     need = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
     cluster = components(need, pairs).select(F.col("node").alias("sig"), F.col("label").alias("cluster"))
-    need = written(distinct.join(cluster, "sig"), "needed")
+    need = written(distinct.drop("spread").join(cluster, "sig"), "needed")
     size = need.groupBy("cluster").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("entries"))
     size = written(size.select("cluster", "entries", ((F.col("texts") > WHOLE_TEXTS) | (F.col("entries") > WHOLE_SHINGLES)).alias("large")), "clusters")
     entries = size.filter("not large").agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
@@ -517,7 +636,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not in_large.isEmpty():
         held = written(_within(in_large, pairs, sets, similarity), "held-pairs")
         apart = [held, _across(in_large, held, sets, similarity)]
-    linked = written(reduce(DataFrame.union, [linked, *apart]), "similar-pairs")
+    # What no cluster holds together: the other pairs that share a leading shingle.
+    met = _met(shared.join(distinct.select("sig", "n"), "sig").join(need.select("sig", "cluster"), "sig", "left"), similarity)
+    far = _not_apart(met, distinct.select("sig", "n", "spread"), similarity)
+    ends = far.select(F.col("a").alias("sig")).union(far.select("b")).distinct()
+    alone = F.lit(0).cast("long").alias("cluster"), F.lit(False).alias("large")
+    ends = rows.join(ends.join(distinct.select("sig", F.col("node").alias("doc")), "sig"), "doc").select("text", "sig", *alone)
+    ends = written(ends.mapInArrow(whole, "sig long, cluster long, large boolean, set array<long>"), "far-sets").select("sig", "set").dropDuplicates(["sig"])
+    linked = written(reduce(DataFrame.union, [linked, *apart, _alike(far, ends, similarity)]), "similar-pairs")
 
     names = lambda c, n: distinct.select(F.col("sig").alias(c), F.col("node").alias(n))
     edges = linked.join(names("a", "p"), "a").join(names("b", "q"), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))

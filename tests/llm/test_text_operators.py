@@ -343,6 +343,63 @@ def test_similar_groups_of_large_clusters(spark, monkeypatch, texts, hubs):
     assert got == brute_similar(rows)
 
 
+def far_pairs(most_bits=16):
+    """Pairs of similar texts whose fingerprints are far apart, and the rest that was drawn."""
+    rng, far, near = random.Random(12), [], []
+    while len(far) < 6:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(13, 20))]
+        a, b = " ".join(words), " ".join([*words[:-1], "other"])
+        x, y = (simhash.shingle_set(t.encode()) for t in (a, b))
+        alike = len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+        bits = (simhash._print_of(x) ^ simhash._print_of(y)).bit_count()
+        (far if alike and bits > most_bits else near)[:0] = [(a, b)]
+    return far, near[:40]
+
+
+@pytest.mark.parametrize("meet", [1024, 3])
+def test_similar_texts_with_far_fingerprints(spark, monkeypatch, meet):
+    monkeypatch.setattr(simhash, "MEET_ROWS", meet)
+    far, near = far_pairs()
+    hot = [(" ".join([f"h{k % 3}" for k in range(12)] + [f"v{i}"]),) for i in range(12)]  # one key of many texts
+    rows = list(enumerate(t for p in [*far, *near, *hot] for t in p))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute_similar(rows) and all(got[2 * k + 1] == 2 * k for k in range(len(far)))
+
+
+def test_candidates_of_a_large_key_keep_it_whole(spark):
+    """Keys over 53 bits beside rows without one: both parts of a large key go on to the next round under the same key."""
+    fp = [1 << k for k in range(40)]
+    rows = [(k + 1, f, 0, 2**62 + 1) for k, f in enumerate(fp)] + [(100 + k, k, 0, 7 * k) for k in range(200)]
+    pairs, shared = simhash._candidates(spark.createDataFrame(rows, "sig long, fp long, place int, key long"), 16)
+    roots = {k: k for k in range(1, 41)}
+    for r in pairs.collect():
+        a, b = sorted((roots[r.a], roots[r.b]))
+        roots = {k: a if v == b else v for k, v in roots.items()}
+    assert set(roots.values()) == {1}
+    assert sorted((r.sig, r.key) for r in shared.collect()) == [(k + 1, 2**62 + 1) for k in range(40)]
+
+
+def test_filters_of_pairs_lose_none():
+    """Spreads never count more than the shingles that only one has; similar sets meet at some shared leading one."""
+    rng = np.random.default_rng(3)
+    for n in (1, 4, 20, 90, 700, 4000):
+        a = np.unique(rng.integers(0, 2**64, n, dtype="<u8"))
+        for share in (0.5, 0.8, 0.9, 1.0):
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < share], rng.integers(0, 2**64, rng.integers(0, n // 8 + 2), dtype="<u8")]))
+            if not len(b):
+                continue
+            both = len(np.intersect1d(a, b))
+            assert simhash.unshared(simhash.spread(a), simhash.spread(b)) <= len(a) + len(b) - 2 * both
+            common = np.unique(np.concatenate([a[::3], b[::5]]))
+            x, y = (simhash.leading(h, common, (common % 5 + 1).astype(np.int64), 0.8) for h in (a, b))
+            rows = sorted([(int(k), len(h), i, c) for c, (h, lead) in enumerate([(a, x), (b, y)]) for i, k in enumerate(lead)])
+            bucket, size, place, cluster = (np.array([r[k] for r in rows], dtype="<u8" if k == 0 else np.int64) for k in range(4))
+            if both >= 0.8 * (len(a) + len(b) - both):
+                assert len(simhash.meeting(bucket, size, place, cluster, 0.8)[0])
+    same = np.full(300, 7, dtype="<u8")
+    assert simhash.spread(same).max() == 255 and simhash.unshared(simhash.spread(same), simhash.spread(same[:280])) <= 20
+
+
 def test_links_across_groups_of_sets():
     rng = random.Random(2)
     base = [np.array(sorted(rng.sample(range(1000 * g, 1000 * g + 400), 60)), dtype=np.int64) for g in range(3)]
